@@ -1,10 +1,16 @@
 """Queries of this subpackage by name, and the SQL that says the same where SQL can."""
 
 from sourcelens.llm.packing import op10_packing
+from sourcelens.llm.simhash import op5_simhash
 from sourcelens.llm.token_files import op4_token_files
+from sourcelens.llm.vectors import OP7_SQL, op7_embeddings
 
 QUERIES = {
     "op4_token_files": op4_token_files,
+    "op5_simhash": op5_simhash,
+    "op7_embeddings": op7_embeddings,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_embeddings": OP7_SQL,
+}
