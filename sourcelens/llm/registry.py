@@ -2,10 +2,12 @@
 
 from sourcelens.llm.packing import op10_packing
 from sourcelens.llm.simhash import op5_simhash
+from sourcelens.llm.suffix import op1_suffix_array
 from sourcelens.llm.token_files import op4_token_files
 from sourcelens.llm.vectors import OP7_SQL, op7_embeddings
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op4_token_files": op4_token_files,
     "op5_simhash": op5_simhash,
     "op7_embeddings": op7_embeddings,
