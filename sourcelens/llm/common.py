@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
@@ -115,7 +115,7 @@ def group_starts(columns: list[np.ndarray]) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def dealt(rows: DataFrame, key: list[str], ident: str, limit: int, extra: Column | None = None) -> DataFrame:
+def dealt(rows: DataFrame, key: list[str], ident: str, limit: int) -> DataFrame:
     """Split groups of equal key into cells of bounded size such that every pair of a group meets in exactly one cell.
 
     Adds cell_a, cell_b and side. A group of at most limit rows is one cell (0, 0). A larger one is dealt by hash into
@@ -123,10 +123,19 @@ def dealt(rows: DataFrame, key: list[str], ident: str, limit: int, extra: Column
     sides are to be compared. Groups of one row go.
     """
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    chunks = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
+    return _chunks(rows.join(sizes, key), ident, limit)
+
+
+def dealt_once(rows: DataFrame, key: list[str], ident: str, limit: int) -> DataFrame:
+    """As dealt(), but of the groups with the same members only one stays: near-copies meet in many groups."""
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64(ident).cast("decimal(20,0)")).alias("_s"), F.sum(F.hash(ident).cast("long")).alias("_h")).where("_n > 1")
+    one = sizes.groupBy("_n", "_s", "_h").agg(F.min(F.struct(*key)).alias("_k")).select("_n", *(F.col("_k")[k].alias(k) for k in key))
+    return _chunks(rows.join(one, key), ident, limit)
+
+
+def _chunks(rows: DataFrame, ident: str, limit: int) -> DataFrame:
     return (
-        rows.join(sizes, key)
-        .withColumn("_m", chunks)
+        rows.withColumn("_m", F.ceil(F.col("_n") / F.lit(limit)).cast("int"))
         .withColumn("side", F.pmod(F.xxhash64(ident), F.col("_m")).cast("int"))
         .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
         .withColumn("cell_a", F.least("side", "_o"))

@@ -135,7 +135,7 @@ def near_components(prints: DataFrame, radius: int = RADIUS, cell: int = 4096) -
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tables = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(masks(radius))]))
     rows = nodes.select("fp", tables.alias("t")).select("t.mask", "t.bucket", "fp")
-    cells = common.dealt(rows, ["mask", "bucket"], "fp", cell)
+    cells = common.dealt_once(rows, ["mask", "bucket"], "fp", cell)
     keys = ["mask", "bucket", "cell_a", "cell_b"]
     pairs = cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cells(radius), "u long, v long")
     least = nodes.select(F.col("fp").alias("u"), F.col("least").alias("a"))
