@@ -80,7 +80,8 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = WORDS, containme
 
 def clean_of(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without those that contain an item."""
-    return docs.join(contained_items(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = contained_items(docs, items, **options).select("doc_id").distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,15 +253,16 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with the removed lines gone from text (and n_chars set anew); documents that lose all their text go."""
-    marks = line_occurrences(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)))
-    joined = keyed.join(marks.withColumnRenamed("doc_id", "_id"), "_id", "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
-    out = joined.withColumn("text", text).where(F.col("_gone").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    marks = line_occurrences(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    gone, own = marks["gone"], F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID))
+    joined = docs.join(marks, own == marks["doc_id"], "left")
+    lines = F.split(docs["text"], "\n")
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), gone)
+    rest = F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n")
+    text = F.when(gone.isNull(), docs["text"]).otherwise(rest)
+    count = F.when(gone.isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None
+    new = {"text": text, "n_chars": count}
+    return joined.where(gone.isNull() | text.rlike(r"\S")).select(*(new.get(c, docs[c]).alias(c) if c in new else docs[c] for c in docs.columns))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,15 +56,14 @@ def majority(h: np.ndarray) -> np.uint64:
     return np.packbits(count * 2 > len(h), bitorder="little").view("<u8")[0]
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in common.slices(batch, "text", 4 << 20):
-            made = [fingerprint(t) for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
-
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in common.slices(batch, "text", 4 << 20):
+                made = [fingerprint(t, words) for t in piece.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    return common.keyed(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return common.keyed(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -145,12 +144,19 @@ def near_components(prints: DataFrame, radius: int = RADIUS, cell: int = 4096) -
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
-    prints = common.cut(fingerprints(docs), "fingerprints")
+    prints = common.cut(fingerprints(docs, words), "fingerprints")
     out = near_components(prints, radius)
     return common.unkeyed(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "doc_id", "component_id")
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id."""
+    found = near_duplicates(docs, **options)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
