@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sourcelens.llm import common
 
-TRAINING_ROWS, STRENGTH, Z_LEAST, DRIFT, DOCS_LEAST, E_MOST = 200_000, 100.0, 4.0, 1.5, 5, 0.01
+TRAINING_ROWS, STRENGTH, Z_LEAST, DRIFT, DOCS_LEAST, E_MOST = 200_000, 10.0, 3.0, 1.5, 5, 0.01
 PREFIXES = (5, 7)
 THRESHOLD = 0.7
 #: Bytes of words stay, as lower case; all others part words.
