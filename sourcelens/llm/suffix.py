@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,7 +273,7 @@ def _send(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
 def suffix_dedup(docs: DataFrame, block_bytes: int = 6 << 20, with_kept: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_kept adds the remaining bytes and the spans."""
     blocks = common.parts_for(common.text_bytes(docs), block_bytes)
-    buckets = max(1, blocks // 2)
+    buckets = 3 * blocks  # of some 2 MB of contexts each
     base = common.keyed(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
     def anchors(key, rows):
@@ -299,13 +300,15 @@ def suffix_dedup(docs: DataFrame, block_bytes: int = 6 << 20, with_kept: bool =
             return _send([], ["bucket", "block", "rows", "least"], kinds)
         block = Block(rows)
         block.keep(_answers(told, 0), buckets)
-        out = [(b, key[0].as_py(), block.rows[x:y].tobytes(), block.least[x:y].tobytes()) for b, (x, y) in enumerate(zip(block.row_edges[:-1], block.row_edges[1:], strict=True)) if y > x]
+        pack = zstandard.ZstdCompressor(level=3).compress
+        out = [(b, key[0].as_py(), pack(block.rows[x:y].tobytes()), block.least[x:y].tobytes()) for b, (x, y) in enumerate(zip(block.row_edges[:-1], block.row_edges[1:], strict=True)) if y > x]
         return _send(out, ["bucket", "block", "rows", "least"], kinds)
 
     def sort(key, rows):
         sent = [np.frombuffer(x, np.int64) for x in rows.column("least").to_pylist()]
         own = np.concatenate(sent)
-        every = np.frombuffer(b"".join(rows.column("rows").to_pylist()), _ROW)
+        unpack = zstandard.ZstdDecompressor().decompress
+        every = np.frombuffer(b"".join(map(unpack, rows.column("rows").to_pylist())), _ROW)
         unique, of = np.unique(every, return_inverse=True)
         least = np.full(len(unique), np.iinfo(np.int64).max)
         np.minimum.at(least, of, own)
