@@ -66,6 +66,12 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """One to one; least hashes crowd at the low end, and buckets are ranges."""
+    h = (h ^ (h >> _U(32))) * _C[4]
+    return h ^ (h >> _U(32))
+
+
 def contexts(data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first string and number of strings of each context of the concatenated texts."""
     out = []
@@ -93,7 +99,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 20) -> tup
         count = edge[np.searchsorted(edge, first, "right")] - first
         bad = np.append(np.flatnonzero(~valid[:strings]), strings)
         count = np.minimum(count, bad[np.searchsorted(bad, first)] - first)
-        out.append((h[anchor[first]], first + base, count))
+        out.append((_spread(h[anchor[first]]), first + base, count))
     if not out:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -273,7 +279,7 @@ def _send(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
 def suffix_dedup(docs: DataFrame, block_bytes: int = 6 << 20, with_kept: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_kept adds the remaining bytes and the spans."""
     blocks = common.parts_for(common.text_bytes(docs), block_bytes)
-    buckets = 3 * blocks  # of some 2 MB of contexts each
+    buckets = 8 * blocks  # of some 50,000 contexts each at most
     base = common.keyed(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
     def anchors(key, rows):
