@@ -164,22 +164,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, h, told = key[-1:], h[-1:], told_last
 
 
-def links(texts: list[str], hashes: np.ndarray, side: np.ndarray, across: bool, similarity: float) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs with the similarity, within texts or only across sides."""
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted, as numbers that are equal only for equal shingles."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if code.max() >= 1 << 12:
+        code = np.unique(code, return_inverse=True)[1]
+    code, n = code.astype(_U), len(code) - SHINGLE + 1
+    bits = max(1, int(code.max()).bit_length())
+    value = code[:n].copy()
+    for k in range(1, SHINGLE):
+        if SHINGLE * bits <= 64:
+            value |= code[k : n + k] << _U(bits * k)
+        else:  # too many characters to put five side by side: number what there is, one character after the other
+            value = np.unique((value << _U(32)) | code[k : n + k], return_inverse=True)[1].astype(_U)
+    out = []
+    for a, m in zip((np.cumsum(size) - size).tolist(), (size - SHINGLE + 1).tolist(), strict=True):
+        own = np.sort(value[a : a + m])
+        out.append(own[np.append(True, own[1:] != own[:-1])])
+    return out
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    every = np.sort(np.concatenate([a, b]))
+    both = np.count_nonzero(every[1:] == every[:-1])
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def links(sets: list[np.ndarray], hashes: np.ndarray, side: np.ndarray, across: bool, similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs with the similarity, within sets or only across sides."""
     us, vs = [], []
-    sets = [{t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)} for t in texts]
-    if len(texts) == 2:
-        both = len(sets[0] & sets[1])
-        if both >= similarity * (len(sets[0]) + len(sets[1]) - both) and (not across or side[0] != side[1]):
+    if len(sets) == 2:
+        if (not across or side[0] != side[1]) and _similar(sets[0], sets[1], similarity):
             return [int(hashes[0])], [int(hashes[1])]
         return [], []
-    names: dict[str, int] = {}
-    flat = np.fromiter((names.setdefault(s, len(names)) for x in sets for s in x), np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     starts = np.cumsum(size) - size
-    label, mark = np.arange(len(texts)), np.zeros(len(names), np.int64)
-    for i in range(len(texts)):
-        other = label != label[i]
+    label, mark = np.arange(len(sets)), np.zeros(int(flat.max()) + 1, np.int64)
+    for i in range(len(sets)):
+        other = (label != label[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
         if across:
             other &= side != side[i]
         if not other.any():
@@ -204,10 +230,18 @@ def _verified(similarity: float):
             cols = [np.asarray(rows.column(k)) for k in keys]
             h, side, text = np.asarray(rows.column("h")), np.asarray(rows.column("side")), rows.column("line_text").to_pylist()
             us, vs = [], []
-            starts = common.group_starts(cols).tolist()
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if b - a > 1:
-                    u, v = links(text[a:b], h[a:b], side[a:b], bool(cols[1][a] != cols[2][a]), similarity)
+            starts = common.group_starts(cols)
+            groups = [(a, b) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1]
+            while groups:
+                n, chars = 0, 0
+                while n < len(groups) and chars < 1 << 20:
+                    chars += sum(map(len, text[groups[n][0] : groups[n][1]]))
+                    n += 1
+                now, groups = groups[:n], groups[n:]
+                base = now[0][0]
+                sets = shingle_sets(text[base : now[-1][1]])
+                for a, b in now:
+                    u, v = links(sets[a - base : b - base], h[a:b], side[a:b], bool(cols[1][a] != cols[2][a]), similarity)
                     us += u
                     vs += v
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
