@@ -18,11 +18,11 @@ alone. At most TARGETS target documents are counted; raw counts cover every docu
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,31 +32,54 @@ from sourcelens.llm import common
 BUCKETS, SEED, SHARE = 10_000, 42, 0.8
 #: The target model is fitted on at most about so many documents, chosen by hash of doc_id; their ids are broadcast.
 TARGETS = 200_000
-_TOKENS = regex.compile(r"[\p{L}\p{N}]+|([^\s\p{L}\p{N}])\1*")
-_MEMO: dict[str, tuple[int, int]] = {}
-
-
-def _word(w: str) -> tuple[int, int]:
-    """Hashes of a word and of its shape."""
-    got = _MEMO.get(w)
-    if got is None:
-        if len(_MEMO) > 400_000:
-            _MEMO.clear()
+#: Runs of letters and digits, or of one other mark.
+_TOKENS = re.compile(r"[^\W_]+|([^\w\s]|_)\1*")
+
+
+class _Words:
+    """Hashes of words and of their shapes by number; a bounded memo that lives as long as the worker."""
+
+    def __init__(self, most: int = 400_000):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.hashes = np.zeros((1 << 14, 2), np.uint64)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Hash and shape of each word, as two columns."""
+        if len(self.number) > self.most:
+            self.forget()
+        got = list(map(self.number.get, words))
+        if None in got:
+            for w in set(words):
+                if w not in self.number:
+                    self._add(w)
+            got = list(map(self.number.__getitem__, words))
+        return self.hashes[np.array(got, np.int64)]
+
+    def _add(self, w: str) -> None:
         if w[0].isalnum():
             case = "U" if w.isupper() and len(w) > 1 else "T" if w[0].isupper() else "l" if w.isalpha() else "n"
             shape = f"{case}{min(len(w), 12) // 4}"
         else:
             shape = f"{w[0]}{min(len(w), 3)}"
-        got = _MEMO[w] = xxhash.xxh64_intdigest(w.lower(), 1), xxhash.xxh64_intdigest(shape, 2)
-    return got
+        n = self.number[w] = len(self.number)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[n] = xxhash.xxh64_intdigest(w.lower(), 1), xxhash.xxh64_intdigest(shape, 2)
+
+
+_WORDS = _Words()
 
 
 def ngrams(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     """Bucket of every n-gram of a text."""
-    words = [m.group() for m in _TOKENS.finditer(text or "")]
+    words = [m[0] for m in _TOKENS.finditer(text or "")]
     if not words:
         return np.zeros(0, np.int64)
-    pairs = np.array([_word(w) for w in words], np.uint64)
+    pairs = _WORDS.of(words)
     h, s = pairs[:, 0], pairs[:, 1].copy()
     s[1:] ^= (h[1:] == h[:-1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mul = np.uint64(0xBF58476D1CE4E5B9)
