@@ -48,6 +48,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; long texts would else make batches of any size.
+ARROW_BYTES = 8 << 20
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Total UTF-8 bytes of docs.text: one cheap aggregate that sizes partitions and buckets."""
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -168,7 +172,8 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[low[own]]
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contract batches of edges to the stars of their components, (u, v) with v the least node."""
     held = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         held = union_find(np.concatenate([held[0], np.asarray(batch.column(0))]), np.concatenate([held[1], np.asarray(batch.column(1))]))
@@ -178,17 +183,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["u", "v"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", contracted: bool = False) -> DataFrame:
     """Connected components of an edge table by distributed union-find: (node, component), component the least node.
 
     Every partition first contracts its own edges to a forest, then large-star and small-star rounds (Kiveris et al.,
     2014) shrink the rest to stars. Each round ends in a table in the shared scratch folder. Nodes without edges and
-    the least nodes themselves are absent: a caller takes coalesce(component, node).
+    the least nodes themselves are absent: a caller takes coalesce(component, node). contracted: the edges come from
+    forest() already, in the Python step that made them; a second one in the same task would take a second worker.
     """
-    now = cut(
-        edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v").mapInArrow(_forest, "u long, v long").distinct(),
-        "edges",
-    )
+    own = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v")
+    now = cut((own if contracted else own.mapInArrow(forest, "u long, v long")).distinct(), "edges")
     seen = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -210,6 +214,7 @@ NULL_ID = -(2**63)
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (long, never null), text and more; any other columns of docs, whatever their names, stay behind."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc_id"), docs["text"].cast("string").alias("text"), *(docs[c] for c in more))
 
 

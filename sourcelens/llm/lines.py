@@ -249,6 +249,10 @@ def _verified(similarity: float):
     return run
 
 
+def _forest_of(links):
+    return lambda batches: common.forest(links(batches))
+
+
 def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, cell: int = 2000) -> DataFrame:
     """Every line that takes part, and a row for each document with line = -1 - its number of lines.
 
@@ -264,8 +268,8 @@ def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars:
     wanted = cells.select("h").distinct()
     texts = base.select("text").mapInArrow(_texts(min_chars), "h long, line_text string").join(wanted.hint("shuffle_hash"), "h", "left_semi").dropDuplicates(["h"])
     keys = ["key", "cell_a", "cell_b"]
-    edges = cells.join(texts, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified(similarity), "a long, b long")
-    parts = common.components(edges)
+    edges = cells.join(texts, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_forest_of(_verified(similarity)), "u long, v long")
+    parts = common.components(edges, "u", "v", contracted=True)
     first = seen.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     named = first.join(parts, first["h"] == parts["node"], "left").select("h", "first", F.coalesce("component", "h").alias("c"))
     keeper = named.groupBy("c").agg(F.min("first").alias("keep"))
