@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sourcelens import config as C
 from sourcelens.functions import text as T
 from sourcelens.functions import urls as U
-from sourcelens.operators import agreement, audit, graph, retrieval, signals, similarity, vectors
+from sourcelens.operators import agreement, audit, decisions, graph, impressions, pages, retrieval, signals, similarity, vectors
+from sourcelens.sources import html
 from sourcelens.sources.tables import benchmark_queries, citation_log, table
 
 K = 10
@@ -128,12 +129,46 @@ def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_topk(own.where(F.col("vec_id") % 20 == 0), own, K).withColumn("cosine", F.round("cosine", 6))
 
 
+def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.page_context(html.parse_pages(table(spark, sf_dir, "pages")))
+    return out.select("url", "title", "list_items", "tables", F.round("cta_density", 9).alias("cta_density"), F.round("structure_density", 9).alias("structure_density"), F.array_join("context_flags", ",").alias("flags"), "commercial_tier")
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_links(html.parse_pages(table(spark, sf_dir, "pages")))
+
+
+def page_concealment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.concealment(html.parse_pages(table(spark, sf_dir, "pages")))
+    return out.select("url", "hidden_words", F.round("hidden_ratio", 9).alias("hidden_ratio"), F.array_join("concealment_flags", ",").alias("flags"), "concealment_risk")
+
+
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.segment_chunks(html.parse_pages(table(spark, sf_dir, "pages"))).select("url", "chunk_id", "segment", T.word_count(F.col("text")).alias("n_words"))
+
+
+def source_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a source for the query that its title is: trust, permissions and the action that follows."""
+    parsed = pages.concealment(pages.page_context(html.parse_pages(table(spark, sf_dir, "pages"))))
+    rows = signals.content_signals(parsed).withColumn("query", F.col("title")).withColumn("intent", U.query_intent(F.col("title")))
+    rows = rows.withColumn("hidden_instruction", F.array_contains("concealment_flags", "hidden_instruction_pattern"))
+    rows = rows.withColumn("trust", signals.trust_score(rows))
+    out = decisions.actions(decisions.permissions(decisions.subscores(rows)))
+    return out.select("url", "role", "intent", F.round("trust", 6).alias("trust"), "retrieve_permission", "mention_permission", "factual_permission", "endorsement_permission", "recommended_action")
+
+
+def answer_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as answers over five sources."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return impressions.impressions(turns.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("answer_id"), "text", F.lit(5).alias("n_sources")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tfidf_topk, pawc_by_host, pawc_dominance, diversify_by_host, rhetoric_signals, contestability_rank_delta, chunking, turn_clusters, citation_share,
         citation_persistence, paraphrase_sensitivity, confusion_matrix, agreement_measures, registrable_domains, page_roles, query_intents, outbound_links,
-        link_promotion, embedding_cosine_topk,
+        link_promotion, embedding_cosine_topk, page_context, page_links, page_concealment, page_chunks, source_permissions, answer_impressions,
     )
 }
 
