@@ -260,10 +260,21 @@ class Block:
         pick = on[self.of]
         self.hash, self.first, self.count, self.doc = self.hash[pick], self.first[pick], self.count[pick], self.doc[pick]
         rows = _rows_of(self.data, self.first, self.count)
-        key = np.concatenate([self.hash.astype(">u8").view(np.uint8).reshape(-1, 8), rows], axis=1) if len(rows) else np.zeros((0, WIDE + 9), np.uint8)
-        unique, self.context = np.unique(key.view(f"S{WIDE + 9}").ravel(), return_inverse=True)
-        unique = np.ascontiguousarray(unique).view(np.uint8).reshape(-1, WIDE + 9)
-        self.rows, self.row_edges = unique[:, 8:], self.edges(unique[:, :8].copy().view(">u8").ravel().astype(_U), buckets)
+        order = np.argsort(self.hash, kind="stable")
+        h = self.hash[order]
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        tied = ~new
+        tied[:-1] |= ~new[1:]  # bytes are compared only among contexts of one anchor
+        if tied.any():
+            some = order[tied]
+            key = np.concatenate([self.hash[some].astype(">u8").view(np.uint8).reshape(-1, 8), rows[some]], axis=1)
+            order[tied] = some[np.argsort(key.view(f"S{WIDE + 9}").ravel(), kind="stable")]
+            later = np.flatnonzero(~new)
+            new[later[(rows[order[later]] != rows[order[later - 1]]).any(axis=1)]] = True
+        self.context = np.empty(len(order), np.int64)
+        self.context[order] = np.cumsum(new) - 1
+        unique = order[new]
+        self.rows, self.row_edges = rows[unique], self.edges(self.hash[unique], buckets)
         self.least = np.full(len(unique), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.context, self.doc)
 
