@@ -27,7 +27,8 @@ SIMILARITY, SHINGLE, BANDS, BAND_ROWS, MIN_CHARS = 0.8, 5, 14, 5, 20
 _U = np.uint64
 _rng = np.random.default_rng(5)
 _ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) | _U(1)
-_BINS = BANDS * BAND_ROWS
+_ODD32 = _ODD.astype(np.uint32)
+_BINS, _BLOCK = BANDS * BAND_ROWS, 1 << 15
 _DONORS = np.random.default_rng(6).integers(0, _BINS, (_BINS, 200))
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -40,20 +41,39 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def _mix32(h: np.ndarray, spare: np.ndarray) -> None:
+    for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
+        np.right_shift(h, np.uint32(shift), out=spare)
+        h ^= spare
+        if odd:
+            h *= np.uint32(odd)
+
+
 def signatures(lines: list[str]) -> np.ndarray:
-    """A row of 70 minima for each line; every line has SHINGLE characters at least."""
+    """A row of 70 minima for each line; every line has SHINGLE characters at least.
+
+    A shingle's 32-bit hash names its bin with the upper half and is ranked there by a product that permutes it.
+    """
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-    n = len(code) - SHINGLE + 1
-    h = code[:n] * _ODD[0]
-    for k in range(1, SHINGLE):
-        h += code[k : n + k] * _ODD[k]
-    h = _mix(h)
-    line = np.repeat(np.arange(len(lines)), size)[:n]
-    inside = np.arange(n) - np.repeat(np.cumsum(size) - size, size)[:n] <= (size - SHINGLE)[line]
-    slot = line * _BINS + (((h >> _U(32)) * _U(_BINS)) >> _U(32)).astype(np.int64)
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, ends = len(code) - SHINGLE + 1, np.cumsum(size)
+    first = np.repeat(np.arange(len(lines)) * _BINS, size)[:n]
+    across = (ends[:-1, None] - np.arange(1, SHINGLE)).ravel()  # shingles that begin in one line and end in the next
+    across.sort()
     out = np.full(len(lines) * _BINS, _EMPTY, np.uint32)
-    np.minimum.at(out, slot[inside], (h & _U(0xFFFFFFFF)).astype(np.uint32)[inside])
+    for a in range(0, n, _BLOCK):  # in blocks that stay in a core's cache
+        b = min(n, a + _BLOCK)
+        h, spare = code[a:b] * _ODD32[0], np.empty(b - a, np.uint32)
+        for k in range(1, SHINGLE):
+            np.multiply(code[a + k : b + k], _ODD32[k], out=spare)
+            h += spare
+        _mix32(h, spare)
+        np.right_shift(h, np.uint32(16), out=spare)
+        spare *= np.uint32(_BINS)
+        spare >>= np.uint32(16)
+        h *= _ODD32[SHINGLE]
+        h[across[np.searchsorted(across, a) : np.searchsorted(across, b)] - a] = _EMPTY
+        np.minimum.at(out, first[a:b] + spare, h)
     out = out.reshape(-1, _BINS)
     own = out.copy()
     row, bin_ = np.nonzero(own == _EMPTY)
@@ -169,7 +189,9 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     if code.max() >= 1 << 12:
-        code = np.unique(code, return_inverse=True)[1]
+        known = np.zeros(int(code.max()) + 1, bool)
+        known[code] = True
+        code = (np.cumsum(known) - 1)[code]
     code, n = code.astype(_U), len(code) - SHINGLE + 1
     bits = max(1, int(code.max()).bit_length())
     value = code[:n].copy()
