@@ -184,15 +184,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, h, told = key[-1:], h[-1:], told_last
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The distinct shingles of each text, sorted, as numbers that are equal only for equal shingles."""
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct shingles of all texts as numbers of so many bits, sorted text by text, and where each text's begin.
+
+    Numbers are equal only for equal shingles; a text's place stands above them.
+    """
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    if code.max() >= 1 << 12:
-        known = np.zeros(int(code.max()) + 1, bool)
-        known[code] = True
-        code = (np.cumsum(known) - 1)[code]
-    code, n = code.astype(_U), len(code) - SHINGLE + 1
+    known = np.zeros(int(code.max()) + 1, bool)
+    known[code] = True
+    code, n = (np.cumsum(known) - 1)[code].astype(_U), len(code) - SHINGLE + 1
     bits = max(1, int(code.max()).bit_length())
     value = code[:n].copy()
     for k in range(1, SHINGLE):
@@ -200,28 +201,32 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
             value |= code[k : n + k] << _U(bits * k)
         else:  # too many characters to put five side by side: number what there is, one character after the other
             value = np.unique((value << _U(32)) | code[k : n + k], return_inverse=True)[1].astype(_U)
-    out = []
-    for a, m in zip((np.cumsum(size) - size).tolist(), (size - SHINGLE + 1).tolist(), strict=True):
-        own = np.sort(value[a : a + m])
-        out.append(own[np.append(True, own[1:] != own[:-1])])
-    return out
-
-
-def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    every = np.sort(np.concatenate([a, b]))
-    both = np.count_nonzero(every[1:] == every[:-1])
-    return both >= similarity * (len(a) + len(b) - both)
+    inside = np.ones(n, bool)
+    inside[(np.cumsum(size)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+    value, owner = value[inside], np.repeat(np.arange(len(texts), dtype=_U), size)[:n][inside]
+    wide = int(value.max()).bit_length()
+    if wide + len(texts).bit_length() > 64:
+        value = np.unique(value, return_inverse=True)[1].astype(_U)
+        wide = int(value.max()).bit_length()
+    value |= owner << _U(wide)
+    value.sort()
+    value = value[np.append(True, value[1:] != value[:-1])]
+    return value, np.searchsorted(value, np.arange(len(texts) + 1, dtype=_U) << _U(wide)), wide
+
+
+def _common(value: np.ndarray, starts: np.ndarray, wide: int, firsts: np.ndarray) -> np.ndarray:
+    """How many shingles each of the texts at firsts shares with the text after it; no text is in two pairs."""
+    of = np.full(len(starts) - 1, -1)
+    of[firsts] = of[firsts + 1] = np.arange(len(firsts))
+    of = np.repeat(of, np.diff(starts))
+    every = (value & _U((1 << wide) - 1))[of >= 0] | of[of >= 0].astype(_U) << _U(wide)
+    every.sort()
+    return np.bincount((every[1:] >> _U(wide))[every[1:] == every[:-1]].astype(np.int64), minlength=len(firsts))
 
 
 def links(sets: list[np.ndarray], hashes: np.ndarray, side: np.ndarray, across: bool, similarity: float) -> tuple[list[int], list[int]]:
     """A spanning forest of the pairs with the similarity, within sets or only across sides."""
     us, vs = [], []
-    if len(sets) == 2:
-        if (not across or side[0] != side[1]) and _similar(sets[0], sets[1], similarity):
-            return [int(hashes[0])], [int(hashes[1])]
-        return [], []
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     starts = np.cumsum(size) - size
@@ -256,16 +261,26 @@ def _verified(similarity: float):
             groups = [(a, b) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1]
             while groups:
                 n, chars = 0, 0
-                while n < len(groups) and chars < 1 << 20:
+                while n < len(groups) and chars < 1 << 19:
                     chars += sum(map(len, text[groups[n][0] : groups[n][1]]))
                     n += 1
                 now, groups = groups[:n], groups[n:]
                 base = now[0][0]
-                sets = shingle_sets(text[base : now[-1][1]])
+                value, starts_of, wide = shingle_sets(text[base : now[-1][1]])
+                size = np.diff(starts_of)
+                two = np.array([a for a, b in now if b - a == 2 and (cols[1][a] == cols[2][a] or side[a] != side[a + 1])], np.int64)
+                if len(two):
+                    both = _common(value, starts_of, wide, two - base)
+                    two = two[both >= similarity * (size[two - base] + size[two - base + 1] - both)]
+                    us += h[two].tolist()
+                    vs += h[two + 1].tolist()
+                value &= _U((1 << wide) - 1)
                 for a, b in now:
-                    u, v = links(sets[a - base : b - base], h[a:b], side[a:b], bool(cols[1][a] != cols[2][a]), similarity)
-                    us += u
-                    vs += v
+                    if b - a > 2:
+                        sets = [value[starts_of[i] : starts_of[i + 1]] for i in range(a - base, b - base)]
+                        u, v = links(sets, h[a:b], side[a:b], bool(cols[1][a] != cols[2][a]), similarity)
+                        us += u
+                        vs += v
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
