@@ -85,3 +85,34 @@ SPEC_PATH = r"(?i)productsheets|/literature/|_?spec\.pdf\b|spec_sheet|/psref\b"
 DIRECTORY_PATH = r"(?i)/(?:directory|directories)(?:/|$)|/[a-z0-9_-]+[_-]forums?(?:/|$)|/best[-_][a-z0-9_-]*forums?(?:/|$)"
 BUY_TEXT = r"\b(buy now|add to cart|free trial|subscribe)\b"
 AFFILIATE_TEXT = r"\b(affiliate|sponsored|paid partnership)\b"
+
+# What a post that mentions a brand is up to; looked for in lower-case text.
+AFFILIATE_PROMOTION = r"\b(affiliate|sponsored|paid\s+partnership|partner\s+link|my\s+link|use\s+(?:my\s+)?code|discount\s+code|promo\s+code|coupon\s+code)\b"
+GLOWING = (
+    r"\b(highly\s+recommend|must[- ]buy|game[- ]?changer|life[- ]?changing|best\s+purchase|absolutely\s+love|genuinely\s+love|obsessed\s+with|"
+    r"switched\s+to|go\s+with|check\s+(?:them|it)\s+out|worth\s+every\s+(?:penny|cent))\b"
+)
+RIVAL_BASHING = r"\b(instead\s+of|skip\s+\w+|don'?t\s+buy\s+\w+|avoid\s+\w+|better\s+than\s+\w+|unlike\s+\w+|ditch(?:ed)?\s+\w+|switch(?:ed)?\s+(?:from|away\s+from)\s+\w+)\b"
+COMPLAINT = (
+    r"\b(scam|fraud|ripoff|rip[- ]off|never\s+received|didn'?t\s+arrive|no\s+refund|stolen|chargeback|do\s+not\s+buy|don'?t\s+buy|customer\s+service|"
+    r"terrible|horrible|worst\s+(?:company|experience)|complaint|refund\s+denied|still\s+waiting|ghosted\s+me)\b"
+)
+
+# Names in title case, and words that make no name.
+TITLE_CASE = r"\b([A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+){0,2})\b"
+INTERROGATIVES = "what which who whom whose where when why how".split()
+DANGLING = "in for with and or to".split()
+NAME_STOPWORDS = (
+    "a an the and or for to of in on at by with from your our my me you we is are was were be been what which who whom whose where when why how "
+    "this that these those right wrong information guide guides review reviews advice tips options picks list lists article blog post page home "
+    "official top updated contents forum forums community discussion thread threads topics topic directory"
+).split()
+WEAK_MARKERS = (
+    "topic topics forum forums community discussion thread threads index home top best reviews review guide blog news search login about contact "
+    "help faq menu categories category tags tag latest popular trending messages posts users members headphones laptop laptops earbuds software"
+).split()
+
+# Tiers of listed domains, worst first, and the actions that show a fault of the page itself.
+TIERS = ["very_high", "high", "medium", "review", "clean"]
+HARD_ACTIONS = ["reject", "reject_consensus", "block_factual_use", "block_endorsement"]
+SOFT_ACTIONS = ["attribute_only", "require_corroboration", "require_authoritative_corroboration", "mention_only", "downrank", "defer_fetch"]

@@ -62,3 +62,8 @@ def role_share(cited: DataFrame) -> DataFrame:
     """role, n, share in percent. cited: role, one row a citation."""
     each = cited.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
     return each.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()), 6))
+
+
+def top_risk(scored: DataFrame, k: int = 5) -> DataFrame:
+    """The k pages with the highest retrieval_risk, each once: url, retrieval_risk, commercial_tier."""
+    return scored.groupBy("url").agg(F.max_by(F.struct("retrieval_risk", "commercial_tier"), "retrieval_risk").alias("s")).select("url", "s.*").orderBy(F.desc("retrieval_risk"), "url").limit(k)

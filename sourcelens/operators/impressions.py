@@ -32,3 +32,46 @@ def impressions(answers: DataFrame) -> DataFrame:
     total = W.partitionBy("answer_id")
     share = lambda c: F.round(F.coalesce(F.try_divide(F.coalesce(F.col(c), F.lit(0.0)), F.nullif(F.sum(c).over(total), F.lit(0.0))), F.lit(1.0) / F.col("n_sources")), 9)
     return full.select("answer_id", "source", share("words").alias("by_words"), share("position").alias("by_position"), share("both").alias("by_both"))
+
+
+def paragraph_impressions(answers: DataFrame, alpha: float = 1.1, beta: float = 1.5) -> DataFrame:
+    """Per answer and source number 1..n_sources: by_paragraph, a share of the answer's total, 0 without citations.
+
+    A source's part of a paragraph's cited words counts more in long and early paragraphs, and the sum over paragraphs
+    more where the parts are large. Paragraphs end at blank lines; numbers out of range are dropped.
+    """
+    paras = F.filter(F.split("text", r"\n{2,}"), lambda p: p.rlike(r"\S"))
+    rows = answers.select("answer_id", "n_sources", F.size(paras).alias("n"), F.posexplode(paras).alias("i", "text"))
+    own = sentences(rows.select(F.struct("answer_id", "i").alias("answer_id"), "text"))
+    cited = own.select("answer_id.answer_id", F.col("answer_id.i").alias("i"), F.col("n").alias("lines"), "n_words", F.explode_outer("cites").alias("source"))
+    lines = own.groupBy("answer_id.answer_id").agg(F.count(F.lit(1)).alias("all_lines"))
+    shape = rows.select("answer_id", "i", "n", "n_sources")
+    words = cited.join(shape, ["answer_id", "i"]).where("source between 1 and n_sources").groupBy("answer_id", "i", "n", "lines", "source").agg(F.sum("n_words").alias("w"))
+    part = F.try_divide(F.col("w"), F.sum("w").over(W.partitionBy("answer_id", "i")))
+    place = F.when(F.col("i") == 0, 1.0).when(F.col("i") < F.col("n") - 1, F.exp(-F.col("i") / (F.col("n") - 2))).otherwise(F.exp(F.lit(-1.0)))
+    long = F.pow(F.lit(beta), F.col("lines") * F.col("n") / F.col("all_lines") - 1)
+    scored = words.withColumn("part", part).where("part > 0").join(lines, "answer_id").groupBy("answer_id", "source").agg((F.sum(F.col("part") * long * place) * F.pow(F.lit(alpha), F.sum("part"))).alias("score"))
+    slots = answers.where("n_sources > 0").select("answer_id", F.explode(F.sequence(F.lit(1), F.col("n_sources"))).alias("source"))
+    share = F.try_divide(F.coalesce("score", F.lit(0.0)), F.sum("score").over(W.partitionBy("answer_id")))
+    return slots.join(scored, ["answer_id", "source"], "left").select("answer_id", "source", F.round(F.coalesce(share, F.lit(0.0)), 9).alias("by_paragraph"))
+
+
+def improvements(scores: DataFrame, drop_zero: bool = False) -> DataFrame:
+    """Per query, method and source: gain of the mean score over the answers before any rewrite, and wins (the rewritten source gains).
+
+    scores: query_id, method (null: before), completion, source, score, and idx, the rewritten source. drop_zero leaves
+    out completions in which every source scores 0.
+    """
+    if drop_zero:
+        scores = scores.withColumn("_any", F.max(F.abs("score")).over(W.partitionBy("query_id", "method", "completion"))).where("_any > 0").drop("_any")
+    means = scores.groupBy("query_id", "method", "source").agg(F.avg("score").alias("mean"), F.max("idx").alias("idx"))
+    before = means.where("method is null").select("query_id", "source", F.col("mean").alias("before"))
+    gains = means.where("method is not null").join(before, ["query_id", "source"]).withColumn("gain", F.col("mean") - F.col("before"))
+    wins = F.max(F.when(F.col("source") == F.col("idx"), F.col("gain") > 0)).over(W.partitionBy("query_id", "method"))
+    return gains.select("query_id", "method", "source", F.round("gain", 9).alias("gain"), F.coalesce(wins, F.lit(False)).alias("wins"))
+
+
+def leaderboard(rows: DataFrame, metrics: list[str], by: str) -> DataFrame:
+    """Mean of each metric per method in percent to one decimal, the best by `by` first. rows: method and the metrics."""
+    means = rows.groupBy("method").agg(*(F.avg(m).alias(m) for m in metrics)).orderBy(F.desc(by), "method")
+    return means.select("method", *(F.round(F.col(m) * 100, 1).alias(m) for m in metrics))

@@ -91,3 +91,20 @@ def endorsement_risk(query: Column, intent: Column) -> Column:
 
 def endorsement_action(risk: Column) -> Column:
     return F.when(risk >= C.ENDORSEMENT_BLOCK, "block_endorsement").when(risk >= C.ENDORSEMENT_DOWNRANK, "downrank").otherwise("pass")
+
+
+def domain_signals(pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds host and domain_flags. pages: url, redirect_count. facts: host, whois_age_days, cert_age_days, dns_resolves; a host without facts resolves."""
+    host = F.lower(F.regexp_replace(U.authority(F.col("url")), r"^.*@|:\d*$", ""))
+    own = pages.withColumn("host", host).join(facts.dropDuplicates(["host"]), "host", "left")
+    https = F.col("url").rlike("(?i)^https:")
+    whois, cert = F.col("whois_age_days"), F.col("cert_age_days")
+    flags = F.array(
+        F.when(~F.coalesce("dns_resolves", F.lit(True)), "dns_failure"),
+        F.when(~https, "no_https"),
+        F.when(whois < 90, F.format_string("young_domain_%dd", whois)).when(whois.isNull() & https & (cert < 60), F.format_string("young_cert_%dd", cert)),
+        F.when(F.col("host").rlike(C.SUSPICIOUS_TLD), F.concat(F.lit("suspicious_tld."), F.substring_index("host", ".", -1))),
+        F.when(F.col("redirect_count") > 2, F.format_string("excess_redirects_%d", F.col("redirect_count"))),
+        F.when((F.size(F.split("host", r"\.")) >= 4) & ~F.col("host").rlike(r"\.(gov|edu)$"), "deep_subdomain"),
+    )
+    return own.select(*(pages[c] for c in pages.columns), "host", F.array_compact(flags).alias("domain_flags"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourcelens import config as C
 from sourcelens.functions import text as T
 from sourcelens.functions import urls as U
-from sourcelens.operators import agreement, audit, decisions, graph, impressions, pages, retrieval, signals, similarity, vectors
+from sourcelens.operators import agreement, audit, claims, decisions, graph, impressions, pages, retrieval, signals, similarity, tiers, vectors
 from sourcelens.sources import html
 from sourcelens.sources.tables import benchmark_queries, citation_log, table
 
@@ -147,14 +147,17 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.segment_chunks(html.parse_pages(table(spark, sf_dir, "pages"))).select("url", "chunk_id", "segment", T.word_count(F.col("text")).alias("n_words"))
 
 
-def source_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page as a source for the query that its title is: trust, permissions and the action that follows."""
+def _permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = pages.concealment(pages.page_context(html.parse_pages(table(spark, sf_dir, "pages"))))
     rows = signals.content_signals(parsed).withColumn("query", F.col("title")).withColumn("intent", U.query_intent(F.col("title")))
     rows = rows.withColumn("hidden_instruction", F.array_contains("concealment_flags", "hidden_instruction_pattern"))
     rows = rows.withColumn("trust", signals.trust_score(rows))
-    out = decisions.actions(decisions.permissions(decisions.subscores(rows)))
-    return out.select("url", "role", "intent", F.round("trust", 6).alias("trust"), "retrieve_permission", "mention_permission", "factual_permission", "endorsement_permission", "recommended_action")
+    return decisions.actions(decisions.permissions(decisions.subscores(rows)))
+
+
+def source_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a source for the query that its title is: trust, permissions and the action that follows."""
+    return _permitted(spark, sf_dir).select("url", "role", "intent", F.round("trust", 6).alias("trust"), "retrieve_permission", "mention_permission", "factual_permission", "endorsement_permission", "recommended_action")
 
 
 def answer_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +166,45 @@ def answer_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impressions.impressions(turns.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("answer_id"), "text", F.lit(5).alias("n_sources")))
 
 
+def paragraph_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as answers over five sources."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return impressions.paragraph_impressions(turns.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("answer_id"), "text", F.lit(5).alias("n_sources")))
+
+
+def shared_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims.shared_claims(table(spark, sf_dir, "documents").select(F.col("source").alias("scope"), "text"))
+
+
+def plant_stances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", claims.plant_stance(F.col("text")).alias("stance"))
+
+
+def domain_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without registry facts, which the tables don't have."""
+    facts = spark.createDataFrame([], "host string, whois_age_days int, cert_age_days int, dns_resolves boolean")
+    out = signals.domain_signals(table(spark, sf_dir, "pages").select("page_id", "url", F.lit(0).alias("redirect_count")), facts)
+    return out.select("page_id", "host", F.array_join("domain_flags", ",").alias("flags"))
+
+
+def domain_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by domain, with no referrers verified yet."""
+    rows = tiers.list_tiers(_permitted(spark, sf_dir).withColumn("llm_action", F.col("recommended_action")))
+    out = tiers.domain_tiers(rows.select("query", "url", "tier", "mechanisms"))
+    return out.select("domain", "tier", "n_queries", F.array_join("mechanisms", ",").alias("mechanisms"), F.array_join("urls", " ").alias("urls"))
+
+
+def top_risk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.top_risk(_permitted(spark, sf_dir)).select("url", F.round("retrieval_risk", 9).alias("retrieval_risk"), "commercial_tier")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tfidf_topk, pawc_by_host, pawc_dominance, diversify_by_host, rhetoric_signals, contestability_rank_delta, chunking, turn_clusters, citation_share,
         citation_persistence, paraphrase_sensitivity, confusion_matrix, agreement_measures, registrable_domains, page_roles, query_intents, outbound_links,
         link_promotion, embedding_cosine_topk, page_context, page_links, page_concealment, page_chunks, source_permissions, answer_impressions,
+        paragraph_impressions, shared_claims, plant_stances, domain_signals, domain_tiers, top_risk_pages,
     )
 }
 
@@ -255,6 +291,22 @@ def _intent_sql() -> str:
       FROM (SELECT item_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS q FROM benchmark)"""
 
 
+_list = lambda words: ", ".join(f"'{w}'" for w in words)
+_CLAIMS = f"""
+names AS (SELECT source, unnest(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '{FOREIGN_SQL}', 'q', 'g'), '{C.TITLE_CASE}'))) AS claim FROM documents),
+split AS (SELECT *, string_split_regex(lower(claim), '\\s+') AS w FROM names),
+own AS (SELECT *, len(list_filter(w, lambda x: x NOT IN ({_list(C.NAME_STOPWORDS)}) AND NOT regexp_full_match(x, '\\d+'))) AS n FROM split),
+counts AS (SELECT source AS scope, claim, count(*) AS n_sources FROM own WHERE length(claim) >= 4 AND w[1] NOT IN ({_list(C.INTERROGATIVES)}) AND w[-1] NOT IN ({_list(C.DANGLING)})
+  AND n > 0 AND (len(w) < 2 OR n * 2 > len(w)) AND array_to_string(w, ' ') NOT IN ({_list(C.WEAK_MARKERS)}) GROUP BY source, claim HAVING count(*) >= 2)
+"""
+
+
+def _stance_sql() -> str:
+    m = lambda p: "regexp_matches(p, '" + p.replace("'", "''") + "')"
+    return f"""SELECT doc_id, CASE WHEN NOT {m(chr(92) + "S")} THEN 'unknown' WHEN {" OR ".join(map(m, (C.AFFILIATE_PROMOTION, C.GLOWING, C.RIVAL_BASHING, C.ENDORSES)))} THEN 'promotional'
+      WHEN {m(C.COMPLAINT)} THEN 'complaint' ELSE 'neutral' END AS stance FROM (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '{FOREIGN_SQL}', 'q', 'g') AS p FROM documents)"""
+
+
 ORACLE_SQL = {
     "tfidf_topk": f"WITH {_TFIDF} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked",
     "pawc_by_host": f"WITH {_PAWC} SELECT * FROM shares",
@@ -303,4 +355,9 @@ ORACLE_SQL = {
     "embedding_cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
       s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
       SELECT query_id, vec_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "shared_claims": f"WITH {_CLAIMS} SELECT scope, claim, n_sources FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n_sources DESC, claim) AS k FROM counts) WHERE k = 1",
+    "plant_stances": _stance_sql(),
+    "domain_signals": f"""SELECT page_id, host, array_to_string(list_filter([CASE WHEN NOT regexp_matches(url, '(?i)^https:') THEN 'no_https' END, CASE WHEN regexp_matches(host, '{C.SUSPICIOUS_TLD}') THEN 'suspicious_tld.' || string_split(host, '.')[-1] END,
+      CASE WHEN len(string_split(host, '.')) >= 4 AND NOT regexp_matches(host, '\\.(gov|edu)$') THEN 'deep_subdomain' END], lambda x: x IS NOT NULL), ',') AS flags
+      FROM (SELECT page_id, url, lower(regexp_replace({_AUTHORITY_SQL}, '^.*@|:\\d*$', '', 'g')) AS host FROM pages)""",
 }

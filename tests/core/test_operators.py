@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from sourcelens.functions import urls as U
-from sourcelens.operators import agreement, audit, decisions, graph, impressions, pages, signals, similarity
+from sourcelens.operators import agreement, audit, claims, decisions, graph, impressions, pages, signals, similarity, tiers
 from sourcelens.sources import html
 from sourcelens.streaming import citations
 
@@ -119,3 +119,63 @@ def test_stream_equals_table(spark, tmp_path):
     whole = {tuple(r) for r in citations.daily_counts(log).collect()}
     assert streamed and streamed <= whole  # the days within the watermark are still open
     assert {r for r in whole if r[0].day <= 12} <= streamed
+
+
+def test_paragraph_impressions(spark):
+    text = "Alpha beta gamma [1]. Delta epsilon [2][9].\n\nZeta theta kappa [2].\n\nLambda sigma omega [1]. More words here."
+    rows = spark.createDataFrame([(1, text, 2), (2, "nothing", 2), (3, None, 1)], "answer_id long, text string, n_sources int")
+    got = {(r["answer_id"], r["source"]): r["by_paragraph"] for r in impressions.paragraph_impressions(rows).collect()}
+    parts = [({1: 3 / 5, 2: 2 / 5}, 2, 1.0), ({2: 1.0}, 1, math.exp(-1 / 1)), ({1: 1.0}, 2, math.exp(-1))]
+    want = {s: sum(p.get(s, 0) * 1.5 ** (n / (5 / 3) - 1) * w for p, n, w in parts) * 1.1 ** sum(p.get(s, 0) for p, _, _ in parts) for s in (1, 2)}
+    assert all(math.isclose(got[1, s], want[s] / sum(want.values()), abs_tol=1e-8) for s in want)
+    assert got[2, 1] == got[2, 2] == got[3, 1] == 0.0
+
+
+def test_improvements_and_leaderboard(spark):
+    rows = [(1, 2, None, 0, 1, 0.4), (1, 2, None, 0, 2, 0.6), (1, 2, "quote", 0, 1, 0.2), (1, 2, "quote", 0, 2, 0.8), (1, 2, "quote", 1, 1, 0.0), (1, 2, "quote", 1, 2, 0.0)]
+    scores = spark.createDataFrame(rows, "query_id long, idx int, method string, completion int, source int, score double")
+    both = {d: {r["source"]: (r["gain"], r["wins"]) for r in impressions.improvements(scores, d).collect()} for d in (False, True)}
+    assert both == {False: {1: (-0.3, False), 2: (-0.2, False)}, True: {1: (-0.2, True), 2: (0.2, True)}}
+    board = spark.createDataFrame([("a", 0.1, 0.2), ("a", 0.3, 0.2), ("b", 0.1, 0.5)], "method string, word double, both double")
+    assert [tuple(r) for r in impressions.leaderboard(board, ["word", "both"], "both").collect()] == [("b", 10.0, 50.0), ("a", 20.0, 20.0)]
+
+
+def test_claims_and_stance(spark):
+    rows = [("s", "we try Acme Widget today. The Best Guide"), ("s", "we like Acme Widget and Acme Widget"), ("t", "Acme Widget"), ("t", None), ("u", "What Now What Now")]
+    out = claims.shared_claims(spark.createDataFrame(rows, "scope string, text string"))
+    assert [tuple(r) for r in out.collect()] == [("s", "Acme Widget", 2)]
+    posts = ["I highly recommend it", "total SCAM, avoid Acme", "total scam, still waiting", "a plain note", " ", None]
+    got = spark.createDataFrame(list(enumerate(posts)), "i int, text string").select("i", claims.plant_stance(F.col("text")).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == ["promotional", "promotional", "complaint", "neutral", "unknown", "unknown"]
+
+
+def test_domain_signals(spark):
+    pages_ = spark.createDataFrame([("http://a.b.c.shop.xyz:8080/x", 3), ("https://d.com/", 0), ("https://e.com", 0), ("https://a.b.c.gov/", 0)], "url string, redirect_count int")
+    facts = spark.createDataFrame([("d.com", 10, 5, False), ("e.com", None, 20, True)], "host string, whois_age_days int, cert_age_days int, dns_resolves boolean")
+    got = {r["host"]: r["domain_flags"] for r in signals.domain_signals(pages_, facts).collect()}
+    assert got == {"a.b.c.shop.xyz": ["no_https", "suspicious_tld.xyz", "excess_redirects_3", "deep_subdomain"], "d.com": ["dns_failure", "young_domain_10d"], "e.com": ["young_cert_20d"], "a.b.c.gov": []}
+
+
+def test_tiers(spark):
+    names = "query string, url string, llm_action string, is_ugc boolean, suspected boolean, n_verified int, status string, confidence string, semantic_risk double"
+    rows = [
+        ("q1", "https://bad.com/1", "pass", False, True, 12, "complete", "high", 0.0),
+        ("q2", "https://www.bad.com/2", "pass", False, False, 12, "complete", "high", 0.0),
+        ("q1", "https://once.com/", "pass", False, True, 12, "complete", "high", 0.0),
+        ("q1", "https://soft.com/", "downrank", False, False, 12, "complete", "high", 0.0),
+        ("q1", "https://weak.com/", "reject", False, None, 0, None, None, 0.0),
+        ("q1", "https://forum.com/", None, True, None, 0, None, None, 0.0),
+        ("q1", "https://good.com/", "pass", False, False, 12, "complete", "high", 0.1),
+        ("q1", None, "reject", False, None, 0, None, None, 0.0),
+    ]
+    rated = tiers.list_tiers(spark.createDataFrame(rows, names))
+    got = {r["url"]: (r["tier"], r["mechanisms"]) for r in rated.collect()}
+    assert got["https://bad.com/1"] == ("high", ["referrer"]) and got["https://weak.com/"] == ("medium", ["on_page"]) and got["https://forum.com/"] == ("review", [])
+    by = {r["domain"]: (r["tier"], r["n_queries"], r["urls"]) for r in tiers.domain_tiers(rated).collect()}
+    assert by["bad.com"] == ("high", 2, ["https://bad.com/1", "https://www.bad.com/2"]) and by["once.com"][0] == "medium"
+    assert by["soft.com"][0] == "medium" and by["good.com"][0] == "clean" and len(by) == 6
+
+
+def test_top_risk(spark):
+    rows = spark.createDataFrame([("a", 0.2, "high"), ("a", 0.4, "low"), ("b", 0.9, "none"), ("c", 0.1, "none")], "url string, retrieval_risk double, commercial_tier string")
+    assert [r["url"] for r in audit.top_risk(rows, 2).collect()] == ["b", "a"]
