@@ -99,48 +99,45 @@ def split_lines(text: str | None) -> list[str]:
     return [] if text is None else [x.strip() for x in text.split("\n")]
 
 
-def line_hash(line: str) -> int:
-    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def line_hashes(lines: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
 
 
 def _occurrences(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, "text", 4 << 20):
-                docs, numbers, hashes = [], [], []
+                docs, numbers, found = [], [], []
                 for d, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
                     own = split_lines(text)
-                    docs.append(d)
+                    kept = [k for k, line in enumerate(own) if len(line) >= least]
+                    docs += [d] * (len(kept) + 1)
                     numbers.append(-len(own) - 1)  # a row for the document itself: how many lines it has
-                    hashes.append(None)
-                    for k, line in enumerate(own):
-                        if len(line) >= least:
-                            docs.append(d)
-                            numbers.append(k)
-                            hashes.append(line_hash(line))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(hashes, pa.int64())], ["doc_id", "line", "h"])
+                    numbers += kept
+                    found.append(None)
+                    found += [own[k] for k in kept]
+                whole = np.fromiter((x is None for x in found), bool, len(found))
+                hashes = np.zeros(len(found), np.int64)
+                hashes[~whole] = line_hashes([x for x in found if x is not None])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(hashes, mask=whole)], ["doc_id", "line", "h"])
 
     return run
 
 
-def _distinct(piece: pa.RecordBatch, least: int) -> dict[int, str]:
-    found: dict[int, str] = {}
-    for text in piece.column("text").to_pylist():
-        for line in split_lines(text):
-            if len(line) >= least:
-                found[line_hash(line)] = line
-    return found
+def _distinct(piece: pa.RecordBatch, least: int) -> tuple[np.ndarray, list[str]]:
+    """The distinct lines that take part, and their hashes."""
+    found = list({line: None for text in piece.column("text").to_pylist() for line in split_lines(text) if len(line) >= least})
+    return line_hashes(found), found
 
 
 def _bands(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, "text", 2 << 20):
-                found = _distinct(piece, least)
+                h, found = _distinct(piece, least)
                 if found:
-                    keys = band_keys(signatures(list(found.values())))
-                    h = np.repeat(np.fromiter(found, np.int64, len(found)), BANDS)
+                    keys = band_keys(signatures(found))
+                    h = np.repeat(h, BANDS)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(h)], ["key", "h"])
 
     return run
@@ -150,8 +147,8 @@ def _texts(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, "text", 4 << 20):
-                found = _distinct(piece, least)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["h", "line_text"])
+                h, found = _distinct(piece, least)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(found, pa.string())], ["h", "line_text"])
 
     return run
 
