@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelens.llm import benchmark, common, lines, packing, simhash, toxicity
+from sourcelens.llm import benchmark, common, lines, near_documents, packing, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays; five-word shingles."""
-    return simhash.one_of_each(docs, words=5)
+    """Of documents whose five-word shingles have a Jaccard similarity of 0.8 or more one stays."""
+    return near_documents.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,9 +28,9 @@ _U = np.uint64
 _rng = np.random.default_rng(5)
 _ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) | _U(1)
 _ODD32 = _ODD.astype(np.uint32)
-_BINS, _BLOCK = BANDS * BAND_ROWS, 1 << 15
-_DONORS = np.random.default_rng(6).integers(0, _BINS, (_BINS, 200))
-_EMPTY = np.uint32(0xFFFFFFFF)
+BINS, _BLOCK = BANDS * BAND_ROWS, 1 << 15
+_DONORS = np.random.default_rng(6).integers(0, BINS, (BINS, 200))
+EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,10 +57,10 @@ def signatures(lines: list[str]) -> np.ndarray:
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     n, ends = len(code) - SHINGLE + 1, np.cumsum(size)
-    first = np.repeat(np.arange(len(lines)) * _BINS, size)[:n]
+    first = np.repeat(np.arange(len(lines)) * BINS, size)[:n]
     across = (ends[:-1, None] - np.arange(1, SHINGLE)).ravel()  # shingles that begin in one line and end in the next
     across.sort()
-    out = np.full(len(lines) * _BINS, _EMPTY, np.uint32)
+    out = np.full(len(lines) * BINS, EMPTY, np.uint32)
     for a in range(0, n, _BLOCK):  # in blocks that stay in a core's cache
         b = min(n, a + _BLOCK)
         h, spare = code[a:b] * _ODD32[0], np.empty(b - a, np.uint32)
@@ -69,20 +69,24 @@ def signatures(lines: list[str]) -> np.ndarray:
             h += spare
         _mix32(h, spare)
         np.right_shift(h, np.uint32(16), out=spare)
-        spare *= np.uint32(_BINS)
+        spare *= np.uint32(BINS)
         spare >>= np.uint32(16)
         h *= _ODD32[SHINGLE]
-        h[across[np.searchsorted(across, a) : np.searchsorted(across, b)] - a] = _EMPTY
+        h[across[np.searchsorted(across, a) : np.searchsorted(across, b)] - a] = EMPTY
         np.minimum.at(out, first[a:b] + spare, h)
-    out = out.reshape(-1, _BINS)
+    return densified(out.reshape(-1, BINS))
+
+
+def densified(out: np.ndarray) -> np.ndarray:
+    """Rows of minima whose empty bins take those of other bins of the row."""
     own = out.copy()
-    row, bin_ = np.nonzero(own == _EMPTY)
+    row, bin_ = np.nonzero(own == EMPTY)
     for t in range(_DONORS.shape[1]):
         if not len(row):
             break
         got = own[row, _DONORS[bin_, t]]
         out[row, bin_] = got
-        left = got == _EMPTY
+        left = got == EMPTY
         row, bin_ = row[left], bin_[left]
     if len(row):
         out[row, bin_] = own[row].min(axis=1)
@@ -153,7 +157,7 @@ def _texts(least: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and h, the distinct ones whose key has two h or more; holds one row besides the batch."""
     key, h = np.zeros(0, np.int64), np.zeros(0, np.int64)
     told = False  # the held row has been handed on already
@@ -296,7 +300,7 @@ def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars:
     seen = common.cut(base.mapInArrow(_occurrences(min_chars), "doc_id long, line long, h long"), "lines")
     bands = base.select("text").mapInArrow(_bands(min_chars), "key long, h long")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = common.cut(bands.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(_shared, "key long, h long"), "bands")
+    met = common.cut(bands.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(shared, "key long, h long"), "bands")
     cells = common.dealt_once(met, ["key"], "h", cell)
     cells = common.cut(cells, "cells")
     wanted = cells.select("h").distinct()

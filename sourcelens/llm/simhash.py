@@ -28,21 +28,25 @@ RADIUS, WORDS, SEED = 4, 4, 42
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The fingerprint of one text, as a signed 64-bit number."""
+def shingles(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of a text's runs of so many words, in order; a shorter text is one run."""
     import xxhash
 
     parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
     joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    ends = np.cumsum(np.fromiter(map(len, parts or [b""]), np.int64) + 1) - 1
     n = max(1, len(parts) - words + 1)
     starts = np.append(0, ends[: n - 1] + 1).tolist()
     stops = ends[-n:].tolist()
     one = xxhash.xxh64_intdigest
-    h = np.fromiter((one(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
-    return int(majority(h).view(np.int64))
+    return np.fromiter((one(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The fingerprint of one text, as a signed 64-bit number."""
+    if not (text or "").encode().split():
+        return 0
+    return int(majority(shingles(text, words, seed)).view(np.int64))
 
 
 def majority(h: np.ndarray) -> np.uint64:
@@ -151,12 +155,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -
     return common.unkeyed(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id."""
-    found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
