@@ -8,7 +8,9 @@ Z_LEAST count. A token scores its best feature less DRIFT, any other token -DRIF
 Scoring. One linear scan (Ruzzo and Tompa, 1999) finds all maximal scoring segments. With lambda from
 sum p(s) exp(lambda s) = 1 over other documents' tokens, a segment of score S in n tokens has the E-value
 n exp(-lambda S) (Karlin and Altschul, 1990): segments with E <= E_MOST are significant passages. A document's evidence
-is the sum over segments of lambda S less ln n; a logistic curve fitted to training documents turns it into a score.
+is the sum of -ln E = lambda S - ln n over its segments with E < 1, or without any that of its best segment. In clean
+text of any length about one segment has E < 1, so evidence does not grow with length; a logistic curve fitted to
+training documents turns it into a score.
 
 At most TRAINING_ROWS labelled documents train the model, chosen by hash of doc_id; that bounds the model, which
 tasks get as a constant. Every document is scored as a whole. Null and empty texts have no evidence and get the least
@@ -93,8 +95,11 @@ class Model:
                 del out[k:]
         return [(a, b, r - l) for a, b, l, r in out]
 
-    def evidence(self, words: list[bytes]) -> float:
-        return self.rate * sum(s for _, _, s in self.segments(words)) - math.log(max(1, len(words)))
+    def evidence(self, words: list[bytes], found: list[tuple[int, int, float]] | None = None) -> float:
+        """found: the words' segments, where they are known already."""
+        least = math.log(max(1, len(words)))
+        own = [self.rate * s - least for _, _, s in (self.segments(words) if found is None else found)]
+        return sum(x for x in own if x > 0) or max(own, default=-least)
 
     def chance(self, evidence: float) -> float:
         return 0.0 if self.empty else 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.offset))))
@@ -211,7 +216,7 @@ def score(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFra
             for text in texts:
                 words = tokens(text)
                 own = model.segments(words)
-                found.append(model.chance(model.rate * sum(s for _, _, s in own) - math.log(max(1, len(words)))))
+                found.append(model.chance(model.evidence(words, own)))
                 if with_passages:
                     e = [(a, b, len(words) * math.exp(-model.rate * s)) for a, b, s in own]
                     spans.append([{"first": a, "end": b, "e_value": v} for a, b, v in e if v <= E_MOST])
