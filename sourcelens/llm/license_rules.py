@@ -1,7 +1,7 @@
 """Signature rules for licences: hand-written families, each with forms in which a licence is named.
 
-A rule has a name, a label, a keyword that a text must hold before its pattern is tried, a pattern over lower-case
-text, a priority (higher wins) and a confidence. FAMILIES is the table; the forms below turn each family into rules.
+A rule has a name, a label, keywords of which a text must hold one before its pattern is tried (every alternative of
+the pattern contains one of them), a pattern over lower-case text, a priority (higher wins) and a confidence. FAMILIES is the table; the forms below turn each family into rules.
 """
 
 from __future__ import annotations
@@ -9,12 +9,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-#: label, keyword, pattern of the licence's full name, SPDX identifiers, pattern of its addresses (or "")
+#: label, keywords with | between them, pattern of the licence's full name, SPDX identifiers, pattern of its addresses (or "")
 FAMILIES = [
-    ("mit", "mit", r"(?:the )?mit licen[sc]e|(?:the )?expat licen[sc]e", ["mit", "mit-0", "x11"], r"opensource\.org/licenses/mit\b"),
+    ("mit", "mit|expat", r"(?:the )?mit licen[sc]e|(?:the )?expat licen[sc]e", ["mit", "mit-0", "x11"], r"opensource\.org/licenses/mit\b"),
     ("apache", "apache", r"(?:the )?apache(?: software)? licen[sc]e", ["apache-2.0", "apache-1.1", "apache-1.0"], r"apache\.org/licenses/"),
     ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", ["gpl-2.0", "gpl-3.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0-only", "gpl-3.0-or-later"], r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
-    ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", ["lgpl-2.1", "lgpl-3.0", "lgpl-2.1-or-later", "lgpl-3.0-or-later"], r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
+    ("lgpl", "lesser general|library general", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", ["lgpl-2.1", "lgpl-3.0", "lgpl-2.1-or-later", "lgpl-3.0-or-later"], r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", ["agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"], r"gnu\.org/licenses/agpl"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation licen[sc]e", ["gfdl-1.2", "gfdl-1.3"], r"gnu\.org/licenses/fdl"),
     ("bsd", "bsd", r"(?:the )?(?:[234]-clause |(?:new|modified|revised|simplified|original) )?bsd licen[sc]e", ["bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd"], r"opensource\.org/licenses/bsd"),
@@ -28,7 +28,7 @@ FAMILIES = [
     ("boost", "boost", r"(?:the )?boost software licen[sc]e", ["bsl-1.0"], r"boost\.org/license_"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", ["unlicense"], r"unlicense\.org"),
     ("wtfpl", "want to", r"do what the \w+ you want to public licen[sc]e", ["wtfpl"], r"wtfpl\.net"),
-    ("cc0", "cc0", r"cc0 1\.0(?: universal)?|creative commons zero", ["cc0-1.0"], r"creativecommons\.org/publicdomain/zero"),
+    ("cc0", "cc0|creative commons zero", r"cc0 1\.0(?: universal)?|creative commons zero", ["cc0-1.0"], r"creativecommons\.org/publicdomain/zero"),
     ("cc-by", "attribution", r"creative commons attribution(?!-| share| non| no)", ["cc-by-3.0", "cc-by-4.0"], r"creativecommons\.org/licenses/by/"),
     ("cc-by-sa", "attribution", r"creative commons attribution[- ]share ?-?alike", ["cc-by-sa-3.0", "cc-by-sa-4.0"], r"creativecommons\.org/licenses/by-sa/"),
     ("cc-by-nc", "attribution", r"creative commons attribution[- ]non ?-?commercial(?![- ](?:share|no))", ["cc-by-nc-3.0", "cc-by-nc-4.0"], r"creativecommons\.org/licenses/by-nc/"),
@@ -98,14 +98,14 @@ SENTENCES = [
 class Rule:
     name: str
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
     priority: int
     confidence: float
 
 
 def _rule(name: str, label: str, keyword: str, pattern: str, priority: int, confidence: float) -> Rule:
-    return Rule(name, label, keyword, re.compile(rf"(?<!\w)(?:{pattern})(?!\w)" if not pattern.endswith("/") else rf"(?<!\w)(?:{pattern})"), priority, confidence)
+    return Rule(name, label, tuple(keyword.split("|")), re.compile(rf"(?<!\w)(?:{pattern})(?!\w)" if not pattern.endswith("/") else rf"(?<!\w)(?:{pattern})"), priority, confidence)
 
 
 def rules() -> list[Rule]:
@@ -121,7 +121,7 @@ def rules() -> list[Rule]:
             out.append(_rule(f"{label}-spdx-{tag}", label, "spdx", rf"spdx-license-identifier:\s*\(?{re.escape(tag)}", 100, 1.0))
         if spdx:
             tags = "|".join(re.escape(t) for t in sorted(spdx, key=len, reverse=True))
-            out.append(_rule(f"{label}-field", label, spdx[0][:3], rf"[\"']?licen[sc]e[\"']?\s*[:=]\s*[\"']?(?:{tags})", 85, 0.97))
+            out.append(_rule(f"{label}-field", label, "|".join(spdx), rf"[\"']?licen[sc]e[\"']?\s*[:=]\s*[\"']?(?:{tags})", 85, 0.97))
         if url:
             out.append(_rule(f"{label}-address", label, url.split(r"\.")[0].split("/")[0][:8], url, 60, 0.9))
     return sorted(out, key=lambda r: -r.priority)

@@ -1,7 +1,7 @@
 """Licence scan by ordered signature rules (operator 8).
 
-The rules of license_rules are tried on the lower-case text, white space made single, only where the rule's keyword is
-there; one Aho-Corasick pass over the text finds all keywords. Detections are taken by priority, then length, then
+The rules of license_rules are tried on the lower-case text, white space made single, only where one of the rule's
+keywords is there; one Aho-Corasick pass over the text finds all keywords. Detections are taken by priority, then length, then
 place; one that lies within the interval of a detection already taken is suppressed. So "lesser general public
 license" is no second detection inside a longer grant of the same place.
 
@@ -33,7 +33,8 @@ class Scanner:
         self.rules = rules() if own is None else own
         self.by_key: dict[str, list[Rule]] = {}
         for r in self.rules:
-            self.by_key.setdefault(r.keyword, []).append(r)
+            for k in r.keywords:
+                self.by_key.setdefault(k, []).append(r)
         self.keys = ahocorasick.Automaton()
         for k in self.by_key:
             self.keys.add_word(k, k)
@@ -45,7 +46,7 @@ class Scanner:
         live = {k for _, k in self.keys.iter(flat)}
         if not live:
             return []
-        found = [(m.start(), m.end(), r) for k in live for r in self.by_key[k] for m in r.pattern.finditer(flat) if m.end() > m.start()]
+        found = [(m.start(), m.end(), r) for r in {r.name: r for k in live for r in self.by_key[k]}.values() for m in r.pattern.finditer(flat) if m.end() > m.start()]
         found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name))
         kept: list[tuple[int, int, Rule]] = []
         for a, b, r in found:
