@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash (operator 2).
 
-Lines are stripped of white space at both ends; lines of fewer than min_chars characters are left alone. A line's set is
-its five-character shingles. Signatures are one-permutation MinHashes with optimal densification, 14 bands of 5: at a
+Lines are stripped of white space at both ends; every line that is not blank takes part. A line's set is its
+five-character shingles; a shorter line has none and is similar to its exact copies only. Signatures are one-permutation MinHashes with optimal densification, 14 bands of 5: at a
 Jaccard similarity of 0.8 a pair shares a band with probability 0.996. Lines that share a band meet in bounded cells
 with their texts, the exact Jaccard similarity decides, and a cell hands on a spanning forest of its links. A
 distributed union-find joins them; of each component the occurrence with the least (doc_id, line number) stays.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sourcelens.llm import common
 
-SIMILARITY, SHINGLE, BANDS, BAND_ROWS, MIN_CHARS = 0.8, 5, 14, 5, 20
+SIMILARITY, SHINGLE, BANDS, BAND_ROWS, MIN_CHARS = 0.8, 5, 14, 5, 1
 _U = np.uint64
 _rng = np.random.default_rng(5)
 _ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) | _U(1)
@@ -129,7 +129,8 @@ def _occurrences(least: int):
 
 
 def _distinct(piece: pa.RecordBatch, least: int) -> tuple[np.ndarray, list[str]]:
-    """The distinct lines that take part, and their hashes."""
+    """The distinct lines that take part and have shingles, and their hashes."""
+    least = max(least, SHINGLE)
     found = list({line: None for text in piece.column("text").to_pylist() for line in split_lines(text) if len(line) >= least})
     return line_hashes(found), found
 
