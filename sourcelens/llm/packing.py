@@ -3,7 +3,7 @@
 Lengths are whole numbers, so best fit needs one stack of bins for each possible gap and a bit set of the gaps in use.
 The search then takes underfull bins, emptiest first, and moves their documents into others or exchanges one for one,
 two for one or one for two, each time raising the sum of squared fills, until a bin is empty or nothing improves.
-Groups of bounded size, dealt by hash, are packed side by side; bins that stay underfull are pooled and packed again.
+Groups of bounded size, dealt by a number of the written row, are packed side by side; bins that stay underfull are pooled and packed again.
 
 Null and empty texts are a document of the end id alone. Repeated rows are packed each on their own. An empty table
 gives no rows. Columns other than doc_id and text are not read.
@@ -46,8 +46,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience: int = 40) -> list[list[int]]:
-    """Local search over the underfull bins; full bins stay. patience: bins in a row that may resist being emptied."""
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Local search that visits every underfull bin; full bins stay."""
     fill = np.array([sum(int(lengths[i]) for i in b) for b in bins], np.int64)
     loose = np.flatnonzero(fill < capacity)
     if len(loose) < 2:
@@ -55,10 +55,8 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience:
     items = np.array([i for b in loose for i in bins[b]], np.int64)
     home = np.array([k for k, b in enumerate(loose) for _ in bins[b]], np.int64)
     size, gap = lengths[items].astype(np.int64), capacity - fill[loose]
-    alive, failed = np.ones(len(loose), bool), 0
+    alive = np.ones(len(loose), bool)
     for e in np.argsort(-gap, kind="stable").tolist():
-        if failed >= patience:
-            break
         if gap[alive].sum() - gap[e] < capacity - gap[e]:
             continue
         before = home.copy(), gap.copy()
@@ -101,9 +99,9 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience:
                 gap[to] -= size[i]
                 home[i] = to
         if (home == e).any():
-            home, gap, failed = before[0], before[1], failed + 1  # what was gained without emptying a bin is given back
+            home, gap = before  # what was gained without emptying a bin is given back
         else:
-            alive[e], failed = False, 0
+            alive[e] = False
     kept = [bins[b] for b in np.flatnonzero(fill >= capacity)]
     moved: dict[int, list[int]] = {}
     for i, k in zip(items.tolist(), home.tolist(), strict=True):
@@ -162,16 +160,16 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocab
     """
     kind = PIECE + ", ids array<int>" * with_ids
     run = _pieces(vocabulary or tokens.default_vocabulary(), end_id, capacity, with_ids)
-    pieces = common.cut(common.keyed(docs).mapInArrow(run, kind), "pieces")
-    names = pieces.columns
+    pieces = common.cut(common.keyed(docs).mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    names = [c for c in pieces.columns if c != "row"]
     short = pieces.where(F.col("length") < capacity)
     groups = common.parts_for(short.count(), group)
     packed = kind + ", g int, sequence_id long, offset long, fill long"
-    first = common.cut(short.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int")).groupBy("g").applyInArrow(_pack(capacity), packed), "packed")
+    first = common.cut(short.select(*names, F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("g")).groupBy("g").applyInArrow(_pack(capacity), packed), "packed")
     open_bin = F.col("fill") < capacity
     again = common.parts_for(first.where(open_bin).count(), group)
     second = first.where(open_bin).select(*names, F.pmod(F.xxhash64("sequence_id", "g"), F.lit(again)).cast("int").alias("g")).groupBy("g").applyInArrow(_pack(capacity), packed)
-    number = lambda kind: F.col("g").cast("long") * F.lit(4 * group) + F.col("sequence_id") * 4 + kind
+    number = lambda kind: F.shiftleft(F.col("g").cast("long"), 33) + F.col("sequence_id") * 4 + kind  # noqa: E731  # a task's table has fewer than 2**31 bins
     full = pieces.where(F.col("length") == capacity).select(*names, (F.monotonically_increasing_id() * 4 + 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out = first.where(~open_bin).select(*names, number(0).alias("sequence_id"), "offset").union(second.select(*names, number(1).alias("sequence_id"), "offset")).union(full)
     return common.unkeyed(out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids))
