@@ -4,10 +4,10 @@ Lines are stripped of white space at both ends; every line that is not blank tak
 five-character shingles; a shorter line has none and is similar to its exact copies only. Signatures are one-permutation MinHashes with optimal densification, 14 bands of 5: at a
 Jaccard similarity of 0.8 a pair shares a band with probability 0.996. Lines that share a band meet in bounded cells
 with their texts, the exact Jaccard similarity decides, and a cell hands on a spanning forest of its links. A
-distributed union-find joins them; of each component the occurrence with the least (doc_id, line number) stays.
+distributed union-find joins them; of each component the occurrence with the least (doc_id, row, line number) stays.
 
 Equal lines are one node (by a 64-bit hash). Null texts have no lines; a blank line is never removed; rows that repeat
-a doc_id are lines of one document, numbered apart by their order of text. An empty table gives no rows. Only doc_id
+a doc_id, or have none, are documents of their own, in order of their text. An empty table gives no rows. Only doc_id
 and text are read.
 """
 
@@ -111,11 +111,12 @@ def _occurrences(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, "text", 4 << 20):
-                docs, numbers, found = [], [], []
-                for d, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                docs, rows, numbers, found = [], [], [], []
+                for d, r, text in zip(piece.column("doc_id").to_pylist(), piece.column("_row").to_pylist(), piece.column("text").to_pylist(), strict=True):
                     own = split_lines(text)
                     kept = [k for k, line in enumerate(own) if len(line) >= least]
                     docs += [d] * (len(kept) + 1)
+                    rows += [r] * (len(kept) + 1)
                     numbers.append(-len(own) - 1)  # a row for the document itself: how many lines it has
                     numbers += kept
                     found.append(None)
@@ -123,7 +124,7 @@ def _occurrences(least: int):
                 whole = np.fromiter((x is None for x in found), bool, len(found))
                 hashes = np.zeros(len(found), np.int64)
                 hashes[~whole] = line_hashes([x for x in found if x is not None])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(hashes, mask=whole)], ["doc_id", "line", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int64()), pa.array(hashes, mask=whole)], ["doc_id", "row", "line", "h"])
 
     return run
 
@@ -292,13 +293,24 @@ def _forest_of(links):
     return lambda batches: common.forest(links(batches))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row: 0 where no other row has the doc_id, else a number that grows with the text; such rows are written, so that it stays."""
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID))
+    many = common.cut(docs.groupBy(own.alias("_many")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_many"), "repeated")
+    if many.isEmpty():
+        return docs.withColumn("_row", F.lit(0).cast("long"))
+    some = docs.join(many, own == many["_many"], "left_semi").orderBy(own, docs["text"])
+    some = common.cut(some.withColumn("_row", F.monotonically_increasing_id() + 1), "repeated-rows")
+    return docs.join(many, own == many["_many"], "left_anti").withColumn("_row", F.lit(0).cast("long")).union(some)
+
+
 def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, cell: int = 2000) -> DataFrame:
     """Every line that takes part, and a row for each document with line = -1 - its number of lines.
 
-    Columns doc_id, line, removed; doc_id stands for null as in common.keyed.
+    docs are numbered(). Columns doc_id, row, line, removed; doc_id stands for null as in common.keyed.
     """
-    base = common.keyed(docs)
-    seen = common.cut(base.mapInArrow(_occurrences(min_chars), "doc_id long, line long, h long"), "lines")
+    base = common.keyed(docs, "_row")
+    seen = common.cut(base.mapInArrow(_occurrences(min_chars), "doc_id long, row long, line long, h long"), "lines")
     bands = base.select("text").mapInArrow(_bands(min_chars), "key long, h long")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = common.cut(bands.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(shared, "key long, h long"), "bands")
@@ -309,37 +321,38 @@ def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars:
     keys = ["key", "cell_a", "cell_b"]
     edges = cells.join(texts, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_forest_of(_verified(similarity)), "u long, v long")
     parts = common.components(edges, "u", "v", contracted=True)
-    first = seen.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    first = seen.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
     named = first.join(parts, first["h"] == parts["node"], "left").select("h", "first", F.coalesce("component", "h").alias("c"))
     keeper = named.groupBy("c").agg(F.min("first").alias("keep"))
     keep = named.join(keeper, "c").select("h", "keep")
-    lines = seen.where("h is not null").join(keep, "h").select("doc_id", "line", (F.struct("doc_id", "line") != F.col("keep")).alias("removed"))
-    return lines.union(seen.where("h is null").select("doc_id", "line", F.lit(False)))
+    lines = seen.where("h is not null").join(keep, "h").select("doc_id", "row", "line", (F.struct("doc_id", "row", "line") != F.col("keep")).alias("removed"))
+    return lines.union(seen.where("h is null").select("doc_id", "row", "line", F.lit(False)))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending)."""
-    rows = line_occurrences(docs, **options)
-    out = rows.groupBy("doc_id").agg(
+    """Per row: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending)."""
+    rows = line_occurrences(numbered(docs), **options)
+    out = rows.groupBy("doc_id", "row").agg(
         F.sum(F.when(F.col("line") < 0, -F.col("line") - 1).otherwise(0)).alias("n_lines"),
         F.count_if("removed").alias("n_removed"),
         F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed"),
     )
-    return common.unkeyed(out)
+    return common.unkeyed(out.drop("row"))
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with the removed lines gone from text (and n_chars set anew); documents that lose all their text go."""
-    marks = line_occurrences(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    names, docs = docs.columns, numbered(docs)
+    marks = line_occurrences(docs, **options).where("removed").groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
     gone, own = marks["gone"], F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID))
-    joined = docs.join(marks, own == marks["doc_id"], "left")
+    joined = docs.join(marks, (own == marks["doc_id"]) & (docs["_row"] == marks["row"]), "left")
     lines = F.split(docs["text"], "\n")
     left = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), gone)
     rest = F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n")
     text = F.when(gone.isNull(), docs["text"]).otherwise(rest)
-    count = F.when(gone.isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None
+    count = F.when(gone.isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in names else None
     new = {"text": text, "n_chars": count}
-    return joined.where(gone.isNull() | text.rlike(r"\S")).select(*(new.get(c, docs[c]).alias(c) if c in new else docs[c] for c in docs.columns))
+    return joined.where(gone.isNull() | text.rlike(r"\S")).select(*(new.get(c, docs[c]).alias(c) if c in new else docs[c] for c in names))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Lines of any length take part."""
+"""Lines of any length take part, and those of each row are its own."""
 
 from helpers import documents
 
@@ -11,3 +11,13 @@ def test_copies_of_short_lines_go(spark):
     assert got == {1: [], 2: [0, 1], 3: [0]}
     kept = {r.doc_id: r.text for r in lines.without_repeated_lines(documents(spark, rows)).collect()}
     assert kept == {1: rows[0][1], 2: " \nLess.", 3: "seven c"}
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    one, two, three = "first line of some length here", "another line, of other words", "and nothing like the others 42"
+    rows = [(1, one), (2, f"{one}\n{two}"), (2, f"{three}\nunique to this row, surely"), (None, two), (None, "rows without any id, number one"), (None, "rows without any id, number one")]
+    got = sorted((str(r.doc_id), r.text) for r in lines.without_repeated_lines(documents(spark, rows)).collect())
+    # null ids come first, so theirs is the copy of two that stays; of the equal rows one stays
+    assert got == sorted([("1", one), ("2", rows[2][1]), ("None", two), ("None", rows[4][1])])
+    made = sorted((str(r.doc_id), r.n_lines, r.removed) for r in lines.dedup_lines(documents(spark, rows)).collect())
+    assert made == sorted([("1", 1, []), ("2", 2, [0, 1]), ("2", 2, []), ("None", 1, []), ("None", 1, []), ("None", 1, [0])])
