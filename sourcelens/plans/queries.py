@@ -80,9 +80,12 @@ def citation_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paraphrase_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's first user turn is the original, its next one the paraphrase; their tokens stand for cited domains."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user' and turn in (0, 2)")
+    users = table(spark, sf_dir, "conversations").where("role = 'user'")
+    both = users.join(users.groupBy("conv_id").agg(F.min("turn").alias("one")), "conv_id")
+    second = both.where("turn > one").groupBy("conv_id").agg(F.min("turn").alias("two"))
+    turns = both.join(second, "conv_id", "left").where("turn = one or turn = two")
     name = F.col("conv_id").cast("string")
-    rows = turns.select(name.alias("query"), F.when(F.col("turn") == 2, name).alias("paraphrase_of"), F.col("turn").alias("ord"), F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("domains"))
+    rows = turns.select(name.alias("query"), F.when(F.col("turn") == F.col("two"), name).alias("paraphrase_of"), F.col("turn").alias("ord"), F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("domains"))
     return audit.paraphrase_sensitivity(rows)
 
 
