@@ -4,8 +4,9 @@ Texts become lower-case words of letters and digits, and shingles of five words
 its words). Items are partitioned by size: class k holds items of 2**k to 2**(k+1)-1 distinct shingles. A class has one
 sketch length, sized for its largest items: the s least shingle hashes of an item, where s - 1 is the most shingles an
 item of that class can miss and still reach the containment. So a document that contains an item enough has one of its
-sketch hashes, however long the document is: the search misses nothing. A sketch hit makes a candidate, and a
-candidate stays if the exact share of the item's shingles, compared as words, is high enough.
+sketch hashes, however long the document is: the search misses nothing. But documents are joined with all item
+shingles at once, a plain inverted index, and pairs without a sketch hit go afterwards: the sketch saves no work and
+changes no row. A pair stays if the exact share of the item's shingles, compared as words, is high enough.
 
 Null, empty and wordless texts match nothing. Rows that repeat a doc_id are one document; items that repeat an item_id
 are one item. Empty tables give no rows. Other columns are not read.
