@@ -114,7 +114,7 @@ def _pieces(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
         encode = tokens.encoder(vocabulary).encode
         for batch in batches:
             for part in common.slices(batch, "text", 2 << 20):
-                ids, offsets = with_end(*encode(*common.flat_bytes(part.column("text"))), end_id)
+                ids, offsets = with_end(*encode(part.column("text").to_pylist()), end_id)
                 total = np.diff(offsets)
                 n = -(-total // capacity)
                 first = total - (n - 1) * capacity

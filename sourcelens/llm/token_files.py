@@ -180,7 +180,7 @@ def _records(vocabulary: str, end_id: int, block_tokens: int, record_tokens: int
 
         for batch in batches:
             for piece in common.slices(batch, "text", 2 << 20):
-                ids, offsets = with_end(*encode(*common.flat_bytes(piece.column("text"))), end_id)
+                ids, offsets = with_end(*encode(piece.column("text").to_pylist()), end_id)
                 held.append((np.asarray(piece.column("doc_id")), np.diff(offsets), ids))
                 if sum(len(h[2]) for h in held) >= record_tokens:
                     yield done()
@@ -224,8 +224,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32, and the ids where asked for."""
     files = spark.read.parquet(path)
     docs = files.select("part", "record", "data").mapInArrow(_documents(with_ids), "part int, record int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
-    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_at"))  # a row for each part: small
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("run", F.shiftright("part", 10))
+    runs = parts.groupBy("run").agg(F.sum("n").alias("all"))
+    runs = runs.select("run", (F.sum("all").over(W.orderBy("run")) - F.col("all")).alias("run_at"))  # a row for each 1,024 parts, or 24 GB
+    before = parts.join(runs, "run").select("part", (F.sum("n").over(W.partitionBy("run").orderBy("part")) - F.col("n") + F.col("run_at")).alias("part_at"))
     inside = W.partitionBy("part").orderBy("record")
     at = files.select("part", "record", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("record_at")).join(before, "part")
     out = docs.join(at, ["part", "record"]).select("doc_id", (F.col("start") + F.col("record_at") + F.col("part_at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

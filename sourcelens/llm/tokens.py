@@ -1,179 +1,105 @@
-"""Token ids of whole texts: the tokenizers library encodes each distinct pre-token once, numpy puts texts together.
-
-A byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in a row. The split below is
-the byte-level pattern ('s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+) on arrays.
-Texts with characters it has no table for, or with a special token's string, are encoded whole by the library.
+"""Token ids of whole texts by the tokenizers library, which encodes each distinct chunk of text once a worker.
+
+A byte-level BPE never merges across pre-tokens, and its pre-tokens never reach from the end of a word (a run of other
+than white space) into the white space after it. So a text cut before each run of white space, a chunk being that run
+and the word after it, has the ids of its chunks in a row. Chunks are remembered by their text itself, never by a hash
+of it. A text with a special token's string, or with a character of which Python and the library may disagree whether
+it is white space, is encoded whole; so is every text where the tokenizer isn't of that kind. Nor does a pre-token reach from
+a letter or digit to a mark of ASCII, so a chunk ends there as well and most chunks are plain words.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import json
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 
-LETTER, DIGIT, OTHER, SPACE = 1, 2, 3, 4
-#: Characters below this have a class in the table; the UTF-8 forms have at most two bytes.
-KNOWN = 0x250
-CACHE_MOST = 1_500_000
+#: Chunks and characters of one chunk that a worker remembers at most.
+CACHE_MOST, CHUNK_MOST = 800_000, 64
+_CHUNKS = re.compile(r"\s*[^\W_]++(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
+_DOUBTFUL = re.compile("[\x1c-\x1f᠎​﻿]")
 _TOKENIZERS: dict[str, "Encoder"] = {}
 
 
-def _kind(code: int) -> int:
-    if code in (9, 10, 11, 12, 13, 32, 0x85, 0xA0):
-        return SPACE
-    return {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(code))[0], OTHER)
-
-
-_KINDS = np.array([_kind(c) for c in range(KNOWN)], np.uint8)
-#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
-_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_rng = np.random.default_rng(7)
-_MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 2**64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out) if n else out
-
-
 class Encoder:
-    """Encodes many texts at once; pre-tokens seen before come from a bounded cache that lives as long as the worker."""
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.up, self.down = _powers(_BASE, 1 << 16), _powers(_UNBASE, 1 << 16)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        kind = json.loads(self.tokenizer.to_str())
+        split = kind["pre_tokenizer"] or {}
+        self.chunked = kind["normalizer"] is None and kind["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.begin, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(data) > len(self.up):
-            n = 1 << int(len(data) - 1).bit_length()
-            self.up, self.down = _powers(_BASE, n), _powers(_UNBASE, n)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_MIX[data] * self.up[: len(data)], out=total[1:])
-        h = (total[ends] - total[starts]) * self.down[starts]
-        h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        return h * np.uint64(0xBF58476D1CE4E5B9)
-
-    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where pre-tokens begin in the concatenated texts, and which texts the table doesn't cover."""
-        table = np.full(256, OTHER, np.uint8)
-        table[:128] = _KINDS[:128]
-        kind = table[data]
-        hard = np.zeros(len(offsets) - 1, bool)
-        lead = np.flatnonzero(data >= 0xC2)
-        if len(lead):
-            code = ((data[lead].astype(np.int32) & 0x1F) << 6) | (data[np.minimum(lead + 1, len(data) - 1)] & 0x3F)
-            known = (data[lead] < 0xE0) & (code < KNOWN)
-            kind[lead[known]] = kind[lead[known] + 1] = _KINDS[code[known]]
-            if not known.all():
-                hard[np.searchsorted(offsets, lead[~known], "right") - 1] = True
-        n = len(data)
-        first = np.zeros(n + 1, bool)
-        first[offsets] = True
-        new = np.empty(n, bool)  # a run of one class begins
-        new[1:] = kind[1:] != kind[:-1]
-        new[:1] = True
-        new |= first[:n]
-        tail = (data & 0xC0) == 0x80
-        space = kind == SPACE
-        follows = np.zeros(n, bool)  # the character before is a white space, in the same text
-        follows[1:] = space[:-1] & ~first[1:n]
-        begin = new & ~space
-        run = np.flatnonzero(begin & follows)  # a run of other than white space after white space
-        before = run - 1
-        before -= tail[before]  # the white space's first byte
-        joined = data[before] == 32
-        begin[run[joined]] = False
-        begin[before] = True
-        begin |= new & space
-        quote = np.flatnonzero((data[: max(n - 1, 0)] == 39) & begin[: max(n - 1, 0)])
-        ends_at = np.append(offsets[1:], n)
-        text_end = ends_at[np.searchsorted(offsets, quote, "right") - 1] if len(quote) else quote
-        for q, stop in zip(quote.tolist(), text_end.tolist(), strict=True):
-            two, three = bytes(data[q + 1 : min(q + 2, stop)]), bytes(data[q + 1 : min(q + 3, stop)])
-            size = 2 if two in (b"s", b"t", b"m", b"d") else 3 if three in (b"re", b"ve", b"ll") else 0
-            if size:
-                begin[q + 1] = False
-                if q + size < stop and not (kind[q + size] == SPACE):
-                    begin[q + size] = True
-        return begin, hard
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts in a row (int32), and len+1 offsets into them."""
-        texts = len(offsets) - 1
-        if not len(data):
-            return np.zeros(0, np.int32), np.zeros(texts + 1, np.int64)
-        begin, hard = self.split(data, offsets)
-        for s in self.special:
-            whole, at = data.tobytes(), -1
-            while (at := whole.find(s, at + 1)) >= 0:
-                hard[np.searchsorted(offsets, at, "right") - 1] = True
-        starts = np.flatnonzero(begin)
-        ends = np.append(starts[1:], len(data))
-        owner = np.searchsorted(offsets, starts, "right") - 1
-        if hard.any():
-            easy = ~hard[owner]
-            starts, ends, owner = starts[easy], ends[easy], owner[easy]
-        code, keys = pd.factorize(self._hash(data, starts, ends))
-        where = self._known(data, starts, ends, code, keys)
-        count = self.count[where][code]
-        sizes = np.zeros(texts, np.int64)
-        np.add.at(sizes, owner, count)
-        if hard.any():
-            slow = np.flatnonzero(hard)
-            extra = [e.ids for e in self.tokenizer.encode_batch([bytes(data[offsets[i] : offsets[i + 1]]).decode() for i in slow], add_special_tokens=False)]
-            sizes[slow] = [len(e) for e in extra]
-        out_at = np.zeros(texts + 1, np.int64)
-        np.cumsum(sizes, out=out_at[1:])
-        base = np.repeat(self.begin[where][code] - (np.cumsum(count) - count), count)
-        made = self.flat[base + np.arange(len(base))]
-        if not hard.any():
-            return made, out_at
-        out = np.empty(out_at[-1], np.int32)
-        keep = np.repeat(~hard, sizes)
-        out[keep] = made
-        out[~keep] = np.concatenate([np.asarray(e, np.int32) for e in extra])
-        return out, out_at
-
-    def _known(self, data, starts, ends, code, keys) -> np.ndarray:
-        """Each key's place in the cache, after the library has encoded those not in it."""
-        if len(self.keys) + len(keys) > CACHE_MOST:
-            self.forget()
-        at = np.searchsorted(self.keys, keys)
-        found = np.zeros(len(keys), bool)
-        if len(self.keys):
-            found = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        if not found.all():
-            missing = np.flatnonzero(~found)
-            first = np.empty(len(keys), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            raw = data.tobytes()
-            bounds = zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)
-            ids = [[t.id for t in self.model.tokenize(raw[a:b].decode("latin-1").translate(_BYTE_CHARS))] for a, b in bounds]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            begin = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))])
-            all_keys = np.concatenate([self.keys, keys[missing]])
-            order = np.argsort(all_keys, kind="stable")
-            self.keys = all_keys[order]
-            self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
-            at = np.searchsorted(self.keys, keys)
-        return at
+        self.number: dict[str, int] = {}
+        self.long: list[str] = []
+        self.begin, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts in a row (int32), and len+1 offsets into them; null counts as empty."""
+        whole, chunks, sizes = [], [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.chunked and not _DOUBTFUL.search(text) and not any(s in text for s in self.special):
+                own = _CHUNKS.findall(text)
+                chunks += own
+                sizes[i] = len(own)
+            else:
+                whole.append(i)
+        made, count = self._ids(chunks)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        lengths = ends[at[1:]] - ends[at[:-1]]
+        if not whole:
+            return made, np.concatenate([[0], np.cumsum(lengths)])
+        parts = np.split(made, ends[at[1:-1]])
+        for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
+            parts[i] = np.array(ids, np.int32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' ids in a row, and how many each has."""
+        if not chunks:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        got = list(map(self.number.get, chunks))
+        if None in got:
+            if len(self.number) > CACHE_MOST:
+                self.forget()
+                got = [None] * len(chunks)
+            missing = [k for k, n in enumerate(got) if n is None]
+            self._add(list(dict.fromkeys(chunks[k] for k in missing)))
+            for k in missing:
+                got[k] = self.number[chunks[k]]
+        of = np.array(got, np.int64)
+        count = self.count[of]
+        base = np.repeat(self.begin[of] - (np.cumsum(count) - count), count)
+        out = self.flat[base + np.arange(len(base))]
+        if len(self.long):
+            for c in self.long:
+                del self.number[c]
+            keep = len(self.count) - len(self.long)
+            self.flat = self.flat[: self.begin[keep]]
+            self.begin, self.count, self.long = self.begin[:keep], self.count[:keep], []
+        return out, count
+
+    def _add(self, new: list[str]) -> None:
+        self.long = [c for c in new if len(c) > CHUNK_MOST]  # come last, and go again once used
+        new = [c for c in new if len(c) <= CHUNK_MOST] + self.long
+        ids = self.library(new)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin = len(self.flat) + np.cumsum(count) - count
+        self.number.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))])
+        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
 
 
 def encoder(path: str) -> Encoder:

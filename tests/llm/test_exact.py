@@ -33,16 +33,24 @@ def test_suffix_dedup_of_nothing(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([*" \n\t'aZbsterlvmd1²!.é日\xa0\x85", "<|endoftext|>", "'re"]), max_size=25).map("".join), min_size=1, max_size=8))
 def test_encoder_gives_the_librarys_ids(texts):
-    import pyarrow as pa
-
-    from sourcelens.llm import common
-
     own = tokens.encoder(VOCABULARY)
-    ids, offsets = own.encode(*common.flat_bytes(pa.array(texts, pa.string())))
+    ids, offsets = own.encode(texts)
     for k, t in enumerate(texts):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_tells_long_words_apart():
+    one = "a"
+    while len(one) < 2048:  # Thue-Morse words: equal under any polynomial hash with 64 bits
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    own = tokens.Encoder(VOCABULARY)
+    ids, offsets = own.encode([one, None, f"short {other} {one}", "x\x1cy\u180ez", other])
+    for k, t in enumerate([one, "", f"short {other} {one}", "x\x1cy\u180ez", other]):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+    assert not any(len(c) > tokens.CHUNK_MOST for c in own.number)
+
+
 def test_token_files_round_trip(spark, tmp_path):
     rows = invented(3)
     token_files.write_token_files(documents(spark, rows), str(tmp_path / "t"), block_tokens=200, record_tokens=1500, part_bytes=4000)
