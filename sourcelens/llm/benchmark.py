@@ -4,12 +4,16 @@ Texts become lower-case words of letters and digits, and shingles of five words
 its words). Items are partitioned by size: class k holds items of 2**k to 2**(k+1)-1 distinct shingles. A class has one
 sketch length, sized for its largest items: the s least shingle hashes of an item, where s - 1 is the most shingles an
 item of that class can miss and still reach the containment. So a document that contains an item enough has one of its
-sketch hashes, however long the document is: the search misses nothing. But documents are joined with all item
-shingles at once, a plain inverted index, and pairs without a sketch hit go afterwards: the sketch saves no work and
-changes no row. A pair stays if the exact share of the item's shingles, compared as words, is high enough.
+sketch hashes, however long the document is, and the search misses nothing.
 
-Null, empty and wordless texts match nothing. Rows that repeat a doc_id are one document; items that repeat an item_id
-are one item. Empty tables give no rows. Other columns are not read.
+1. Documents' shingle hashes, and nothing else of them, meet the sketches: a fifth of the items' shingles. What hits
+   is a candidate pair, written to the shared folder.
+2. Only candidates' documents make their shingles as words, and a pair stays if it shares enough of the item's: exact
+   containment, joined by document and shingle, so no document or passage gathers in one task.
+
+Null, empty and wordless texts match nothing. A text of any length is read whole. Rows that repeat a doc_id, or have
+none, are one document; items that repeat an item_id are one item. Empty tables give no rows. Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import Window as W
 from sourcelens.llm import common
 
 WORDS, CONTAINMENT = 5, 0.8
-#: The index of the items is broadcast up to so many shingles (some 100 bytes each), else joined by shuffle.
-BROADCAST_SHINGLES = 500_000
+#: The items' sketches are broadcast up to so many hashes (some 40 bytes each), their shingles up to as many (some 100 bytes each); beyond, joins shuffle.
+BROADCAST_HASHES = 500_000
 _GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -56,31 +60,43 @@ def item_index(items: DataFrame, n: int = WORDS, containment: float = CONTAINMEN
     return rows.select("item_id", "width", "h", "shingle", "n_shingles", (F.col("rank") <= sketch).alias("in_sketch"))
 
 
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_HASHES else rows
+
+
+def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id, item_id of documents with a hash of an item's sketch; docs has doc_id (never null) and text."""
+    sketch = index.where("in_sketch").select("item_id", "width", "h")
+    total, widths = sketch.agg(F.count(F.lit(1)), F.collect_set("width")).first()  # at most WORDS widths
+
+    def placed(k: int) -> Column:
+        return F.transform(_shingles(k), lambda h: F.struct(h.alias("h"), F.lit(k).alias("width")))
+
+    made = [placed(k) for k in sorted(widths or [WORDS])]
+    hashes = _hashed(docs, "doc_id").select("doc_id", F.explode(F.concat(*made) if len(made) > 1 else made[0]).alias("s"))
+    return hashes.select("doc_id", "s.h", "s.width").join(_few(sketch, total), ["h", "width"]).select("doc_id", "item_id").distinct()
+
+
 def contained_items(docs: DataFrame, items: DataFrame, n: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """Pairs of document and item: doc_id, item_id, n_shared, n_shingles, containment."""
-    index = item_index(items, n, containment)
-    total, widths = index.agg(F.count(F.lit(1)), F.collect_set("width")).first()  # at most n widths
-    if total <= BROADCAST_SHINGLES:
-        index = F.broadcast(index)
+    index, own = common.cut(item_index(items, n, containment), "items"), common.keyed(docs)
+    found = common.cut(candidates(own, index), "candidates")
+    total, widths = index.agg(F.count(F.lit(1)), F.collect_set("width")).first()
 
     def placed(k: int) -> Column:
-        return F.transform(_shingles(k), lambda h, i: F.struct(h.alias("h"), i.alias("pos"), F.lit(k).alias("width")))
+        return F.transform(_shingles(k), lambda h, i: F.struct(F.lit(k).alias("width"), h.alias("h"), F.array_join(F.slice("w", i + 1, F.lit(k)), " ").alias("shingle")))
 
     made = [placed(k) for k in sorted(widths or [n])]
-    shingles = _hashed(common.keyed(docs), "doc_id").select("doc_id", "w", F.explode(F.concat(*made) if len(made) > 1 else made[0]).alias("s"))
-    own = shingles.select("doc_id", "w", F.col("s.h").alias("h"), F.col("s.pos").alias("pos"), F.col("s.width").alias("width"))
-    spaced = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    # of as many words each, so one contains the other only if they are equal; not an equality, or the join would build every document's shingles as strings
-    same = spaced(F.array_join(F.slice("w", F.col("pos") + 1, F.col("width")), " ")).contains(spaced(F.col("shingle")))
-    hits = own.join(index, ["h", "width"]).where(same)
-    pairs = hits.groupBy("doc_id", "item_id", "h", "shingle").agg(F.first("n_shingles").alias("n_shingles"), F.first("in_sketch").alias("in_sketch"))
-    pairs = pairs.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_shingles").alias("n_shingles"), F.max("in_sketch").alias("found"))
-    out = pairs.where("found").withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * containment))
-    return common.unkeyed(out.drop("found"))
+    some = _hashed(own.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    shingles = some.select("doc_id", F.explode(F.concat(*made) if len(made) > 1 else made[0]).alias("s")).select("doc_id", "s.*").distinct()
+    wanted = found.join(_few(index, total), "item_id").select("doc_id", "item_id", "width", "h", "shingle", "n_shingles")
+    pairs = wanted.join(shingles, ["doc_id", "width", "h", "shingle"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_shingles").alias("n_shingles"))
+    out = pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * containment))
+    return common.unkeyed(out)
 
 
 def clean_of(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that contain an item."""
+    """docs without those that contain an item; rows that share a doc_id, or have none, go or stay together."""
     found = contained_items(docs, items, **options).select("doc_id").distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
 

@@ -131,10 +131,50 @@ def test_contained_items(spark):
     assert benchmark.contained_items(documents(spark, docs), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_containment_against_brute_force(spark, most, monkeypatch):
+    """Joined by broadcast and by shuffle; candidates come from sketches alone and miss no pair."""
+    monkeypatch.setattr(benchmark, "BROADCAST_HASHES", most)
+    r = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(60)]
+    items = [(i, " ".join(r.choice(words, int(n)))) for i, n in enumerate([1, 2, 4, 5, 6, 9, 14, 30, 80, 200])] + [(3, "again w1 w2"), (11, None)]
+    docs = []
+    for i in range(80):
+        text = " ".join(r.choice(words, 40))
+        for _ in range(int(r.integers(0, 3))):
+            own = items[int(r.integers(0, 10))][1].split()
+            if r.random() < 0.6:
+                own[int(r.integers(0, len(own)))] = "changed"
+            text += " ... " + " ".join(own).upper() + " " + " ".join(r.choice(words, 20))
+        docs.append((i % 70, text))
+
+    def sets(rows):
+        out = {}
+        for i, t in rows:
+            out.setdefault(i, []).append((t or "").lower().replace(".", " ").split())
+        return out
+
+    def runs(ws, k):
+        return {tuple(w[a : a + k]) for w in ws for a in range(len(w) - k + 1)}
+
+    want = set()
+    for item, ws in sets(items).items():
+        own = set().union(*(runs([w], min(5, len(w))) for w in ws if w))
+        for doc, dw in sets(docs).items():
+            n = sum(x in runs(dw, len(x)) for x in own)
+            if own and n >= np.ceil(len(own) * 0.8):
+                want.add((doc, item, n, len(own)))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.n_shared, x.n_shingles) for x in benchmark.contained_items(documents(spark, docs), table).collect()}
+    assert got == want and len(want) > 40
+
+
 def test_no_python_in_the_native_plan(spark):
     table = spark.createDataFrame([(1, "a b c d e f", 1)], "item_id long, text string, h long")
-    plan = benchmark.contained_items(documents(spark, [(1, "a b c d e f")]), table)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    docs = documents(spark, [(1, "a b c d e f")])
+    for df in (benchmark.contained_items(docs, table), benchmark.candidates(common.keyed(docs), benchmark.item_index(table))):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_union_find_on_random_graphs(spark):
