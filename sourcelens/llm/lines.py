@@ -6,7 +6,10 @@ Jaccard similarity of 0.8 a pair shares a band with probability 0.996. Lines tha
 with their texts, the exact Jaccard similarity decides, and a cell hands on a spanning forest of its links. A
 distributed union-find joins them; of each component the occurrence with the least (doc_id, row, line number) stays.
 
-Equal lines are one node (by a 64-bit hash). Null texts have no lines; a blank line is never removed; rows that repeat
+Equal lines are one node, by two hashes of 128 bits together, so none is taken for another. Candidates, links and
+components name a line by the first of its hashes alone: of different lines with one such hash (some 27,000 of 10**12
+lines) the links are those of the one with the least second hash, and the others go with their exact copies only.
+Texts of any length are read whole, in slices. Null texts have no lines; a blank line is never removed; rows that repeat
 a doc_id, or have none, are documents of their own, in order of their text. An empty table gives no rows. Only doc_id
 and text are read.
 """
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourcelens.llm import common
@@ -104,7 +108,9 @@ def split_lines(text: str | None) -> list[str]:
 
 
 def line_hashes(lines: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
+    """128 bits of each line as two columns: its name among candidates, and what tells it from others of that name."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, lines))
+    return np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def _occurrences(least: int):
@@ -122,9 +128,9 @@ def _occurrences(least: int):
                     found.append(None)
                     found += [own[k] for k in kept]
                 whole = np.fromiter((x is None for x in found), bool, len(found))
-                hashes = np.zeros(len(found), np.int64)
+                hashes = np.zeros((len(found), 2), np.int64)
                 hashes[~whole] = line_hashes([x for x in found if x is not None])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int64()), pa.array(hashes, mask=whole)], ["doc_id", "row", "line", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int64()), *(pa.array(hashes[:, k], mask=whole) for k in (0, 1))], ["doc_id", "row", "line", "h", "h2"])
 
     return run
 
@@ -143,7 +149,7 @@ def _bands(least: int):
                 h, found = _distinct(piece, least)
                 if found:
                     keys = band_keys(signatures(found))
-                    h = np.repeat(h, BANDS)
+                    h = np.repeat(h[:, 0], BANDS)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(h)], ["key", "h"])
 
     return run
@@ -154,7 +160,7 @@ def _texts(least: int):
         for batch in batches:
             for piece in common.slices(batch, "text", 4 << 20):
                 h, found = _distinct(piece, least)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(found, pa.string())], ["h", "line_text"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(found, pa.string())], ["h", "h2", "line_text"])
 
     return run
 
@@ -310,22 +316,25 @@ def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars:
     docs are numbered(). Columns doc_id, row, line, removed; doc_id stands for null as in common.keyed.
     """
     base = common.keyed(docs, "_row")
-    seen = common.cut(base.mapInArrow(_occurrences(min_chars), "doc_id long, row long, line long, h long"), "lines")
+    seen = common.cut(base.mapInArrow(_occurrences(min_chars), "doc_id long, row long, line long, h long, h2 long"), "lines")
     bands = base.select("text").mapInArrow(_bands(min_chars), "key long, h long")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = common.cut(bands.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(shared, "key long, h long"), "bands")
     cells = common.dealt_once(met, ["key"], "h", cell)
     cells = common.cut(cells, "cells")
     wanted = cells.select("h").distinct()
-    texts = base.select("text").mapInArrow(_texts(min_chars), "h long, line_text string").join(wanted.hint("shuffle_hash"), "h", "left_semi").dropDuplicates(["h"])
+    texts = base.select("text").mapInArrow(_texts(min_chars), "h long, h2 long, line_text string").join(wanted.hint("shuffle_hash"), "h", "left_semi")
+    texts = texts.groupBy("h").agg(F.min(F.struct("h2", "line_text")).alias("t")).select("h", "t.line_text")
     keys = ["key", "cell_a", "cell_b"]
     edges = cells.join(texts, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_forest_of(_verified(similarity)), "u long, v long")
     parts = common.components(edges, "u", "v", contracted=True)
-    first = seen.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
-    named = first.join(parts, first["h"] == parts["node"], "left").select("h", "first", F.coalesce("component", "h").alias("c"))
-    keeper = named.groupBy("c").agg(F.min("first").alias("keep"))
-    keep = named.join(keeper, "c").select("h", "keep")
-    lines = seen.where("h is not null").join(keep, "h").select("doc_id", "row", "line", (F.struct("doc_id", "row", "line") != F.col("keep")).alias("removed"))
+    first = seen.where("h is not null").groupBy("h", "h2").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
+    first = first.withColumn("other", F.when(F.col("h2") != F.min("h2").over(W.partitionBy("h")), F.col("h2")))  # null but for different lines of one h
+    named = first.join(parts, first["h"] == parts["node"], "left").select("h", "h2", "first", F.when(F.col("other").isNull(), F.col("component")).alias("part"), "other")
+    named = named.withColumn("c", F.coalesce("part", "h")).withColumn("other", F.coalesce("other", F.lit(common.NULL_ID)))
+    keeper = named.groupBy("c", "other").agg(F.min("first").alias("keep"))
+    keep = named.join(keeper, ["c", "other"]).select("h", "h2", "keep")
+    lines = seen.where("h is not null").join(keep, ["h", "h2"]).select("doc_id", "row", "line", (F.struct("doc_id", "row", "line") != F.col("keep")).alias("removed"))
     return lines.union(seen.where("h is null").select("doc_id", "row", "line", F.lit(False)))
 
 
