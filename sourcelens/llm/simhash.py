@@ -8,8 +8,8 @@ and the two fingerprints fall in one bucket of that table: no pair within the ra
 Equal fingerprints are one node. Buckets go through bounded cells, a cell hands on a spanning forest of its links
 instead of its pairs, and a distributed union-find joins the forests.
 
-Null and empty texts have fingerprint zero and link like any other. Repeated rows are members of one node. An empty
-table gives no rows. Columns other than doc_id and text are not read.
+Null and empty texts have fingerprint zero and link like any other. Texts of any length are read whole. Repeated rows
+are members of one node. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -137,7 +137,8 @@ def near_components(prints: DataFrame, radius: int = RADIUS, cell: int = 4096) -
     """doc_id, fp -> doc_id, fp, component_id: the smallest doc_id reachable over fingerprints within the radius."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tables = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(masks(radius))]))
-    rows = nodes.select("fp", tables.alias("t")).select("t.mask", "t.bucket", "fp")
+    parts = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = nodes.select("fp").repartition(parts, "fp").select("fp", tables.alias("t")).select("t.mask", "t.bucket", "fp")  # dealt out before they multiply
     cells = common.dealt_once(rows, ["mask", "bucket"], "fp", cell)
     keys = ["mask", "bucket", "cell_a", "cell_b"]
     pairs = cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cells(radius), "u long, v long")
