@@ -13,8 +13,10 @@ judged on the input, so every distinct string needs only the least doc_id it sta
 4. Blocks get a bit mask for each context and remove the bytes.
 
 A block or bucket is of bounded size, and a string or document that is repeated without end reaches a bucket once from
-each block. Null and empty texts come back with nothing removed; rows with equal doc_id don't remove from each other;
-an empty table gives no rows. Columns other than doc_id and text are not read.
+each block. A block works on the buckets that it has something for only, and writes one message to each: messages are no
+more than contexts, however many blocks and buckets there are. Null and empty texts come back with nothing removed; a
+text of any length is one document of one block. Rows with equal doc_id, or without one, don't remove from each other,
+and are dealt by their texts too; an empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -248,16 +250,10 @@ class Block:
         np.maximum.at(high, self.of, self.doc)
         return low < high
 
-    def edges(self, sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-        return np.searchsorted(_bucket(sorted_hashes, buckets), np.arange(buckets + 1).astype(_U))
-
-    def keep(self, answers: list[tuple[int, bytes]], buckets: int) -> None:
+    def keep(self, told: pa.Table, buckets: int) -> None:
         """Only contexts of shared anchors stay, and equal ones become one: sorted by anchor, then by bytes."""
-        edge, on = self.edges(self.anchors, buckets), np.zeros(len(self.anchors), bool)
-        for bucket, bits in answers:
-            span = slice(edge[bucket], edge[bucket + 1])
-            on[span] = np.unpackbits(np.frombuffer(bits, np.uint8), count=span.stop - span.start).astype(bool)
-        pick = on[self.of]
+        on = _answered(told, 0, _spans(self.anchors, buckets), np.uint8)
+        pick = on.astype(bool)[self.of]
         self.hash, self.first, self.count, self.doc = self.hash[pick], self.first[pick], self.count[pick], self.doc[pick]
         rows = _rows_of(self.data, self.first, self.count)
         order = np.argsort(self.hash, kind="stable")
@@ -274,13 +270,42 @@ class Block:
         self.context = np.empty(len(order), np.int64)
         self.context[order] = np.cumsum(new) - 1
         unique = order[new]
-        self.rows, self.row_edges = rows[unique], self.edges(self.hash[unique], buckets)
+        self.rows, self.row_spans = rows[unique], _spans(self.hash[unique], buckets)
         self.least = np.full(len(unique), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.context, self.doc)
 
 
-def _answers(told: pa.Table, kind: int) -> list[tuple[int, bytes]]:
-    return [(b, d) for k, b, d in zip(*(told.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True) if k == kind]
+def _spans(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that have hashes, and where each one's begin, with the length at the end."""
+    bucket = _bucket(sorted_hashes, buckets).astype(np.int32)
+    edges = common.group_starts([bucket])
+    return bucket[edges[:-1]], edges
+
+
+def _messages(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary value for each run of values between edges; edges begin at 0."""
+    values = np.ascontiguousarray(values)
+    offsets = (edges * (values.nbytes // max(1, len(values)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _sent(rows: pa.Table, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of messages in a row, and where each message's begin, with the length at the end."""
+    one = rows.column(column).combine_chunks()
+    data, offsets = common.flat_bytes(one.chunk(0) if isinstance(one, pa.ChunkedArray) else one)
+    return np.frombuffer(data.tobytes(), kind), offsets // np.dtype(kind).itemsize
+
+
+def _answered(told: pa.Table, kind: int, spans: tuple[np.ndarray, np.ndarray], of: type) -> np.ndarray:
+    """What buckets said of each value of spans; 0 where they said nothing."""
+    out = np.zeros(spans[1][-1], of)
+    own = told.filter(pa.array(np.asarray(told.column("kind")) == kind))
+    if own.num_rows:
+        values, edges = _sent(own, "data", of)
+        size = np.diff(edges)
+        first = spans[1][np.searchsorted(spans[0], np.asarray(own.column("bucket")))]
+        out[np.repeat(first - edges[:-1], size) + np.arange(len(values))] = values
+    return out
 
 
 def _send(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
@@ -291,39 +316,37 @@ def suffix_dedup(docs: DataFrame, block_bytes: int = 6 << 20, with_kept: bool =
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_kept adds the remaining bytes and the spans."""
     blocks = common.parts_for(common.text_bytes(docs), block_bytes)
     buckets = 8 * blocks  # of some 50,000 contexts each at most
-    base = common.keyed(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    base = common.keyed(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
     def anchors(key, rows):
         block = Block(rows)
-        multi, edge = block.shared_anchors(), block.edges(block.anchors, buckets)
-        out = [(b, key[0].as_py(), block.anchors[x:y].tobytes(), np.packbits(multi[x:y]).tobytes()) for b, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
-        return _send(out, ["bucket", "block", "anchors", "multi"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+        own, edges = _spans(block.anchors, buckets)
+        return pa.table([pa.array(own), pa.array(np.full(len(own), key[0].as_py(), np.int32)), _messages(block.anchors, edges), _messages(block.shared_anchors().view(np.uint8), edges)], names=["bucket", "block", "anchors", "multi"])
 
     def shared(key, rows):
-        sent = [np.frombuffer(x, _U) for x in rows.column("anchors").to_pylist()]
-        sizes = [len(x) for x in sent]
-        every = np.concatenate(sent)
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(rows.column("multi").to_pylist(), sizes, strict=True)]).astype(bool)
+        every, edges = _sent(rows, "anchors", np.uint64)
+        many, _ = _sent(rows, "multi", np.uint8)
         _, of, count = np.unique(every, return_inverse=True, return_counts=True)
         on = count > 1
-        np.logical_or.at(on, of, many)
-        cuts = np.split(on[of], np.cumsum(sizes)[:-1])
-        out = [(b, key[0].as_py(), 0, np.packbits(c).tobytes()) for b, c in zip(rows.column("block").to_pylist(), cuts, strict=True) if c.any()]
-        return _send(out, ["block", "bucket", "kind", "data"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
+        np.logical_or.at(on, of, many.astype(bool))
+        on = on[of].view(np.uint8)
+        n = rows.num_rows
+        out = pa.table([rows.column("block"), pa.array(np.full(n, key[0].as_py(), np.int32)), pa.array(np.zeros(n, np.int32)), _messages(on, edges)], names=["block", "bucket", "kind", "data"])
+        return out.filter(pa.array(np.maximum.reduceat(on, edges[:-1]) > 0))
 
     def passages(key, rows, told):
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         if not rows.num_rows or not told.num_rows:
             return _send([], ["bucket", "block", "rows", "least"], kinds)
         block = Block(rows)
-        block.keep(_answers(told, 0), buckets)
+        block.keep(told, buckets)
+        own, edges = block.row_spans
         pack = zstandard.ZstdCompressor(level=3).compress
-        out = [(b, key[0].as_py(), pack(block.rows[x:y].tobytes()), block.least[x:y].tobytes()) for b, (x, y) in enumerate(zip(block.row_edges[:-1], block.row_edges[1:], strict=True)) if y > x]
-        return _send(out, ["bucket", "block", "rows", "least"], kinds)
+        packed = [pack(block.rows[x:y].tobytes()) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return pa.table([pa.array(own), pa.array(np.full(len(own), key[0].as_py(), np.int32)), pa.array(packed, pa.binary()), _messages(block.least, edges)], names=["bucket", "block", "rows", "least"])
 
     def sort(key, rows):
-        sent = [np.frombuffer(x, np.int64) for x in rows.column("least").to_pylist()]
-        own = np.concatenate(sent)
+        own, edges = _sent(rows, "least", np.int64)
         unpack = zstandard.ZstdDecompressor().decompress
         every = np.frombuffer(b"".join(map(unpack, rows.column("rows").to_pylist())), _ROW)
         unique, of = np.unique(every, return_inverse=True)
@@ -333,10 +356,9 @@ def suffix_dedup(docs: DataFrame, block_bytes: int = 6 << 20, with_kept: bool =
         lower = (value < np.repeat(least, np.diff(offsets))).astype(_U)
         bit = _U(1) << (np.arange(len(value)) - np.repeat(offsets[:-1], np.diff(offsets))).astype(_U)
         mask = np.bitwise_or.reduceat(lower * bit, offsets[:-1]).astype("<u4")
-        out = np.where(least[of] < own, np.uint32(0xFFFFFFFF), mask[of])
-        cuts = np.split(out, np.cumsum([len(x) for x in sent])[:-1])
-        done = [(b, key[0].as_py(), 1, c.astype("<u4").tobytes()) for b, c in zip(rows.column("block").to_pylist(), cuts, strict=True)]
-        return _send(done, ["block", "bucket", "kind", "data"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
+        out = np.where(least[of] < own, np.uint32(0xFFFFFFFF), mask[of]).astype("<u4")
+        n = rows.num_rows
+        return pa.table([rows.column("block"), pa.array(np.full(n, key[0].as_py(), np.int32)), pa.array(np.ones(n, np.int32)), _messages(out, edges)], names=["block", "bucket", "kind", "data"])
 
     def remove(key, rows, told):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "spans"] * with_kept]
@@ -346,10 +368,8 @@ def suffix_dedup(docs: DataFrame, block_bytes: int = 6 << 20, with_kept: bool =
         block = Block(rows)
         gone = np.zeros(len(block.data) + 1, bool)
         if told.num_rows:
-            block.keep(_answers(told, 0), buckets)
-            mask = np.zeros(len(block.rows), np.uint32)
-            for bucket, data in _answers(told, 1):
-                mask[block.row_edges[bucket] : block.row_edges[bucket + 1]] = np.frombuffer(data, "<u4")
+            block.keep(told, buckets)
+            mask = _answered(told, 1, block.row_spans, np.uint32)
             mask = np.where(block.doc > block.least[block.context], np.uint32(0xFFFFFFFF), mask[block.context])
             place = np.repeat(block.first, block.count) + np.arange(block.count.sum()) - np.repeat(np.cumsum(block.count) - block.count, block.count)
             on = (np.repeat(mask, block.count) >> (place - np.repeat(block.first, block.count)).astype(np.uint32)) & np.uint32(1)
