@@ -2,10 +2,11 @@
 
 Unit vectors with cosine c are sqrt(2 - 2c) apart. After a fixed random rotation they are split into blocks of
 dimensions; if the squared distance is at most r2, then in some block it is at most that block's share of r2 (its
-share of the dimensions). So each block is range-joined by itself: a grid over its first two coordinates with cells as
-wide as the block's radius, each vector at home in one cell and a guest in the four cells after it. What passes a
-block's budget is verified at once by the cosine in double precision. A pair counts in the first block that passes,
-so counts need no list of pairs, and cells hand on counts and a spanning forest only.
+share of the dimensions). So each block is range-joined by itself: cells along its first coordinate as wide as the
+block's radius, each vector at home in one cell and a guest in the next; inside a cell, tiles along the second
+coordinate that lie further apart than the radius are passed over. What passes a block's budget is verified at once by
+the cosine in double precision. A pair counts in the first block that passes, so counts need no list of pairs, and cells
+hand on counts and a spanning forest only. Vectors travel in single precision where that loses nothing.
 
 Equal vectors with equal labels are one node with a multiplicity. Null, zero and non-finite vectors and null labels
 link with nothing. Vectors of different dimension are joined apart. Rows that repeat a vec_id share its links. An empty
@@ -40,7 +41,13 @@ def _bounds(dims: int, blocks: int) -> list[tuple[int, int]]:
 
 
 def _rows(data: pa.Array, dims: int) -> np.ndarray:
-    raw = common.flat_bytes(data)[0].view("<f8").reshape(-1, dims)
+    """Vectors of so many dimensions from their bytes, each in single or in double precision."""
+    flat, offsets = common.flat_bytes(data)
+    single = np.diff(offsets) == 4 * dims
+    raw = np.empty((len(single), dims))
+    for kind, on in (("<f4", single), ("<f8", ~single)):
+        if on.any():
+            raw[on] = np.frombuffer(flat[np.repeat(on, np.diff(offsets))].tobytes(), kind).reshape(-1, dims)
     most = np.abs(raw).max(axis=1, initial=0)
     far = (most < 1e-100) | (most > 1e100)  # squares would leave the range of doubles
     return np.where(far[:, None], raw / most[:, None], raw) if far.any() else raw
@@ -51,7 +58,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 
 def _placed(cosine: float, blocks: int):
-    """Rows of the grid: block, x, y, home, node, dims, data."""
+    """Rows of the cells: block, x, home, node, dims, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,10 +72,10 @@ def _placed(cosine: float, blocks: int):
                 turned = _unit(raw) @ rotation(dims)
                 for k, (a, b) in enumerate(_bounds(dims, blocks)):
                     wide = math.sqrt((2 - 2 * cosine) * (b - a) / dims) + SLACK
-                    x, y = np.floor(turned[:, a] / wide).astype(np.int32), np.floor(turned[:, min(a + 1, b - 1)] / wide).astype(np.int32)
-                    for n, (dx, dy) in enumerate(((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))):
-                        cols = [np.full(len(pick), dims, np.int32), np.full(len(pick), k, np.int32), x + np.int32(dx), y + np.int32(dy), np.full(len(pick), n == 0), node[pick], label[pick], copies[pick]]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), own], ["dims", "block", "x", "y", "home", "node", "label", "copies", "data"])
+                    x = np.floor(turned[:, a] / wide).astype(np.int32)
+                    for n in (0, 1):
+                        cols = [np.full(len(pick), dims, np.int32), np.full(len(pick), k, np.int32), x + np.int32(n), np.full(len(pick), n == 0), node[pick], label[pick], copies[pick]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), own], ["dims", "block", "x", "home", "node", "label", "copies", "data"])
 
     return run
 
@@ -95,10 +102,10 @@ def _passes(left: np.ndarray, right: np.ndarray, dims: int, blocks: int, block:
 
 
 def _joined(cosine: float, blocks: int, tile: int = 512):
-    keys = ["label", "dims", "block", "x", "y", "cell_a", "cell_b"]
+    keys = ["label", "dims", "block", "x", "cell_a", "cell_b"]
 
-    def pairs(raw, home, side, a_side, b_side, dims, block):
-        """Tiles of (rows, rows): home with home once, home with guests; across sides both ways."""
+    def pairs(raw, y, wide, home, side, a_side, b_side, dims, block):
+        """Tiles of (rows, rows): home with home once, home with guests; across sides both ways. Rows are in order of y."""
         mine, guests = np.flatnonzero(home), np.flatnonzero(~home)
         if a_side == b_side:
             todo = [(mine, mine, True), (mine, guests, False)]
@@ -109,6 +116,8 @@ def _joined(cosine: float, blocks: int, tile: int = 512):
             for p in range(0, len(left), tile):
                 for q in range(p if same else 0, len(right), tile):
                     l, r = left[p : p + tile], right[q : q + tile]
+                    if y[l[0]] - y[r[-1]] > wide or y[r[0]] - y[l[-1]] > wide:
+                        continue
                     i, j = _passes(raw[l], raw[r], dims, blocks, block, cosine)
                     if same and p == q:
                         i, j = i[i < j], j[i < j]
@@ -124,13 +133,18 @@ def _joined(cosine: float, blocks: int, tile: int = 512):
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if b - a < 2 or not home[a:b].any():
                     continue
-                dims, block, ca, cb = (int(cols[k][a]) for k in (1, 2, 5, 6))
+                dims, block, ca, cb = (int(cols[k][a]) for k in (1, 2, 4, 5))
                 raw = _rows(data.slice(a, b - a), dims)
+                low, high = _bounds(dims, blocks)[block]
+                y = _unit(raw) @ rotation(dims)[:, min(low + 1, high - 1)]
+                order = np.argsort(y, kind="stable")
+                raw, y, place = raw[order], y[order], a + order
+                wide = math.sqrt((2 - 2 * cosine) * (high - low) / dims) + SLACK
                 count = np.zeros(b - a, np.int64)
                 label = np.arange(b - a)
-                for i, j in pairs(raw, home[a:b], side[a:b], ca, cb, dims, block):
-                    np.add.at(count, i, copies[a:b][j])
-                    np.add.at(count, j, copies[a:b][i])
+                for i, j in pairs(raw, y, wide, home[place], side[place], ca, cb, dims, block):
+                    np.add.at(count, i, copies[place][j])
+                    np.add.at(count, j, copies[place][i])
                     open_pair = label[i] != label[j]
                     if open_pair.any():
                         u, v = common.union_find(label[i][open_pair], label[j][open_pair])
@@ -138,10 +152,10 @@ def _joined(cosine: float, blocks: int, tile: int = 512):
                         low[u] = v
                         label = low[label]
                 hit = np.flatnonzero(count)
-                out_node.append(node[a:b][hit])
+                out_node.append(node[place][hit])
                 out_n.append(count[hit])
-                us.append(node[a:b][hit])
-                vs.append(node[a:b][label[hit]])
+                us.append(node[place][hit])
+                vs.append(node[place][label[hit]])
             if out_node:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_node, out_n, us, vs)], ["node", "n", "u", "v"])
 
@@ -161,14 +175,18 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, blocks: int = BL
         for b in batches:
             e = b.column("e")
             width = np.asarray(e.value_lengths(), np.int32)
-            flat = np.ascontiguousarray(np.asarray(e.flatten()), "<f8").tobytes()
-            ends = np.cumsum(width.astype(np.int64)) * 8
-            data = pa.array([flat[z - 8 * w : z] for z, w in zip(ends.tolist(), width.tolist(), strict=True)], pa.binary())
+            flat = np.ascontiguousarray(np.asarray(e.flatten()), "<f8")
+            with np.errstate(over="ignore"):
+                short = flat.astype("<f4")
+            ends = np.cumsum(width.astype(np.int64))
+            differ = np.concatenate([[0], np.cumsum(short != flat)])
+            single = differ[ends] == differ[ends - width]
+            data = pa.array([(short if one else flat)[z - w : z].tobytes() for one, z, w in zip(single.tolist(), ends.tolist(), width.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), b.column("copies"), pa.array(width), data], ["node", "label", "copies", "dims", "data"])
 
     grid = nodes.select("node", "label", "copies", "e").mapInArrow(packed, "node long, label long, copies long, dims int, data binary")
-    grid = grid.mapInArrow(_placed(cosine, blocks), "dims int, block int, x int, y int, home boolean, node long, label long, copies long, data binary")
-    keys = ["label", "dims", "block", "x", "y"]
+    grid = grid.mapInArrow(_placed(cosine, blocks), "dims int, block int, x int, home boolean, node long, label long, copies long, data binary")
+    keys = ["label", "dims", "block", "x"]
     cells = common.dealt(grid, keys, "node", cell)
     by = [*keys, "cell_a", "cell_b"]
     found = common.cut(cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(_joined(cosine, blocks), "node long, n long, u long, v long"), "links")
