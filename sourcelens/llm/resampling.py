@@ -10,7 +10,7 @@ shape: how it is cased, which kind of characters it has, whether it repeats the
 documents. The k-th largest key is found exactly by counting key bits from the top, 16 at a time; no sort and no row
 goes to the driver.
 
-Null and empty texts have importance 0. Ties at the k-th key are cut by doc_id; rows that repeat both share their
+Texts of any length are read whole. Null and empty texts have importance 0. Ties at the k-th key are cut by doc_id; rows that repeat both share their
 fate, so k may be exceeded by such copies only. Null labels are no targets; without targets the choice is the noise's
 alone. At most TARGETS target documents are counted; raw counts cover every document. Empty tables give no rows. Columns other than those named are not read.
 """
@@ -94,11 +94,10 @@ def _counted(buckets: int):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             for piece in common.slices(batch, "text", 4 << 20):
-                for text, is_target in zip(piece.column("text").to_pylist(), piece.column("target").to_pylist(), strict=True):
-                    got = np.bincount(ngrams(text, buckets), minlength=buckets)
-                    raw += got
-                    if is_target:
-                        target += got
+                found = [ngrams(t, buckets) for t in piece.column("text").to_pylist()]
+                raw += np.bincount(np.concatenate(found), minlength=buckets)
+                if own := [f for f, on in zip(found, piece.column("target").to_pylist(), strict=True) if on]:
+                    target += np.bincount(np.concatenate(own), minlength=buckets)
         on = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(raw[on]), pa.array(target[on])], ["bucket", "raw", "target"])
 

@@ -13,7 +13,7 @@ text of any length about one segment has E < 1, so evidence does not grow with l
 training documents turns it into a score.
 
 At most TRAINING_ROWS labelled documents train the model, chosen by hash of doc_id; that bounds the model, which
-tasks get as a constant. Every document is scored as a whole. Null and empty texts have no evidence and get the least
+tasks get as a constant. Every document is scored as a whole, whatever its length. Null and empty texts have no evidence and get the least
 score. Null labels train nothing; with no toxic or no other document to learn from all scores are 0. Rows that repeat
 a doc_id are scored apart. Columns other than those named are not read.
 """
@@ -244,4 +244,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return score(docs, train(docs, common.table(spark, sf_dir, "labels")))
+    out = score(docs, train(docs, common.table(spark, sf_dir, "labels")), with_passages=True)
+    return out.withColumns({"n_passages": F.size("passages"), "least_e": F.array_min(F.transform("passages", lambda p: p["e_value"]))}).drop("passages")
