@@ -1,17 +1,19 @@
 """Licence scan by ordered signature rules (operator 8).
 
-The rules of license_rules are tried on the lower-case text, white space made single, only where one of the rule's
+The hand-written rules of license_rules are tried on the lower-case text, white space made single, only where one of the rule's
 keywords is there; one Aho-Corasick pass over the text finds all keywords. Detections are taken by priority, then length, then
 place; one that lies within the interval of a detection already taken is suppressed. So "lesser general public
 license" is no second detection inside a longer grant of the same place.
 
-Base places are plain word runs and stay whatever the rules say. Null and empty texts have no words, empty labels and
+Suppression keeps the intervals that no other contains, which rise at both ends, and so takes a binary search for each
+detection. Texts of any length are scanned whole. Base places are plain word runs and stay whatever the rules say. Null and empty texts have no words, empty labels and
 score 0. Rows that repeat a doc_id are scanned apart. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,9 +51,15 @@ class Scanner:
         found = [(m.start(), m.end(), r) for r in {r.name: r for k in live for r in self.by_key[k]}.values() for m in r.pattern.finditer(flat) if m.end() > m.start()]
         found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name))
         kept: list[tuple[int, int, Rule]] = []
+        begins: list[int] = []  # intervals taken, without those inside others: both ends rise
+        ends: list[int] = []
         for a, b, r in found:
-            if not any(x <= a and b <= y for x, y, _ in kept):
-                kept.append((a, b, r))
+            at = bisect_right(begins, a)
+            if at and ends[at - 1] >= b:
+                continue
+            kept.append((a, b, r))
+            first, last = bisect_left(begins, a), bisect_right(ends, b)
+            begins[first:last], ends[first:last] = [a], [b]
         return sorted(kept, key=lambda d: (d[0], d[1]))
 
 

@@ -21,6 +21,8 @@ def examples(parsed):
             ways.append(examples(arg[-1]))
         elif kind == "MAX_REPEAT":
             ways.append(["".join(x) for x in itertools.product(examples(arg[2]), repeat=arg[0])] if arg[0] else [""])
+        elif kind == "ANY":
+            ways.append(["0"])
         elif kind == "IN":
             ways.append([chr(arg[0][1])] if str(arg[0][0]) == "LITERAL" else ["0"])
         else:
