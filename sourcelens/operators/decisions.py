@@ -16,7 +16,7 @@ from sourcelens.operators import signals
 # Patterns and the order of severity.
 BRAND_LEGIT = r"\b(legit|scam|trustworthy|safe\s+to\s+buy|good\s+brand|real\s+brand|worth\s+it|trusted)\b"
 UGC_INTENT = r"\b(reddit|forums?|quora|tiktok|ugc|community|youtube\s+comments?)\b"
-REFERENCE_PATH = r"(?i)/(wiki|docs|reference|encyclopedia)\b"
+REFERENCE_PATH = r"(?i)/(wiki|baike|docs|reference|encyclopedia)\b"
 COMMERCIAL_PATH = r"(?i)/(pricing|buy|shop|cart|checkout|trial)\b"
 ACTION_ORDER = ["reject", "reject_consensus", "defer_fetch", "block_factual_use", "block_endorsement", "require_corroboration", "require_authoritative_corroboration", "attribute_only", "mention_only", "downrank", "pass"]
 STRICTNESS = {
@@ -36,11 +36,12 @@ def _add(test: Column, value) -> Column:
 
 
 def subscores(rows: DataFrame) -> DataFrame:
-    """Adds role, failure, confidence, reliability, mismatch, harm and endorsement_risk, and sets retrieval_risk anew.
+    """Adds role, failure, confidence, reliability, mismatch, harm and endorsement_risk, and sets rhetorical and retrieval_risk anew.
 
-    rows: url, text, query, intent, trust, the content signals, and of these what there is: ok, status_code,
-    commercial_score, commercial_tier, context_flags, list_items, concealment_risk, concealment_flags, whois_age_days.
-    A missing or null fact is the unknown one: fetched, no commerce, nothing hidden, no age.
+    rows: url, text, query, intent, trust, the content signals, and of these what there is: ok, status_code, error,
+    fetch_engine, commercial_score, commercial_tier, context_flags, list_items, concealment_risk, concealment_flags,
+    whois_age_days, and role, where it is known already. A missing or null fact is the unknown one: fetched, no
+    commerce, nothing hidden, no age.
     """
     has = lambda name, default: F.coalesce(F.col(name), default) if name in rows.columns else default
     ok, status = has("ok", F.lit(True)), has("status_code", F.lit(200))
@@ -49,15 +50,19 @@ def subscores(rows: DataFrame) -> DataFrame:
     host, path, informational = U.hostname(F.col("url")), U.path(F.col("url")), F.col("intent").startswith("informational")
     wants = T.plain(F.coalesce("query", F.lit(""))).rlike(C.WANTS_RECOMMENDATION)
     balanced = F.arrays_overlap(F.col("flags"), F.array(F.lit("balanced_hedging"), F.lit("mentions_alternatives")))
-    n, rhet = F.col("n_words"), F.col("rhetorical")
-
-    failure = F.when(~ok & status.isin(404, 410), "reject").when(~ok, "defer")
-    confidence = F.when(failure == "reject", 0.0).when(failure == "defer", 0.2).otherwise(_clamp(0.75 + F.when(n >= 80, 0.15).when(n >= 40, 0.05).when(n < 20, -0.25).otherwise(0.0)))
-    risk = F.col("retrieval_risk") + _add(F.array_contains(context, "faq_schema") & (rhet > 0.25), 0.12) + _add((has("list_items", F.lit(0)) > 8) & (rhet > 0.25), 0.08)
+    concealed = has("concealment_flags", empty)
+    n = F.col("n_words")
+    rhet = F.least(F.lit(1.0), F.col("rhetorical") + F.when(F.array_contains(concealed, "hidden_geo_rhetoric"), 0.2).when(F.array_contains(concealed, "hidden_chrome_rhetoric"), 0.08).otherwise(0.0))
+
+    broken = F.lower(has("error", F.lit(""))).rlike("invalid url|unsupported protocol")
+    failure = F.when((~ok & status.isin(404, 410)) | broken, "reject").when(~ok, "defer")
+    browser = _add(has("fetch_engine", F.lit("")) == "playwright", 0.05)
+    confidence = F.when(~ok & (failure == "reject"), 0.0).when(~ok, 0.2).otherwise(_clamp(0.75 + F.when(n >= 80, 0.15).when(n >= 40, 0.05).when(n < 20, -0.25).otherwise(0.0) + browser))
+    risk = signals.retrieval_manipulation(rhet) + _add(F.array_contains(context, "faq_schema") & (rhet > 0.25), 0.12) + _add((has("list_items", F.lit(0)) > 8) & (rhet > 0.25), 0.08)
     risk = _clamp(risk + _add(commerce > 0.45, 0.1 * commerce) + _add(wants & (rhet > 0.3), 0.1) + 0.55 * hidden)
     established = has("whois_age_days", F.lit(0)) > 1095
     reliability = _clamp(
-        0.55 + _add(balanced, 0.18) + _add(established, 0.1) + _add(ok & (host.rlike(r"\.(gov|edu)$") | U.is_news(host)), 0.1) + _add(n < C.THIN_WORDS, -0.18)
+        0.55 + _add(balanced, 0.18) + _add(F.array_contains("flags", "quote_citation_heavy"), 0.08) + _add(established, 0.1) + _add(ok & (host.rlike(r"\.(gov|edu)$") | U.is_news(host)), 0.1) + _add(n < C.THIN_WORDS, -0.18)
         + _add(rhet > 0.45, -0.2 * rhet) + _add(informational & (commerce > 0.45) & ~wants, -0.2) + _add(F.array_contains("flags", "high_stakes_medical_claim") & (F.col("trust") < 0.55), -0.25)
         + _add(path.rlike(REFERENCE_PATH), 0.12)
     )
@@ -66,9 +71,9 @@ def subscores(rows: DataFrame) -> DataFrame:
     mismatch = F.when(F.col("intent").isin("commercial", "navigational"), F.when(sells, 0.0).when(commerce > 0.5, 0.15).otherwise(0.25)).otherwise(_clamp(plain + _add(F.col("query").isNotNull() & ~wants & (plain > 0), 0.1)))
     harm = F.when(F.col("intent").endswith("high_stakes"), 0.85).when(informational, 0.35).otherwise(0.15)
     tier = F.col("commercial_tier") if "commercial_tier" in rows.columns else None
-    role = U.page_role(F.col("url"), tier, F.array_contains(context, "commercial_cta"), F.col("text"))
-    out = rows.withColumn("endorsement_risk", signals.endorsement_risk(F.col("query"), F.col("intent")))
-    return out.withColumns({"role": role, "failure": failure, "confidence": confidence, "retrieval_risk": risk, "reliability": reliability, "mismatch": mismatch, "harm": harm, "concealment_risk": hidden, "concealment_flags": has("concealment_flags", empty)})
+    role = F.col("role") if "role" in rows.columns else U.page_role(F.col("url"), tier, F.array_contains(context, "commercial_cta"), F.col("text"))
+    out = rows.withColumn("endorsement_risk", signals.endorsement_risk(F.col("query"), F.col("intent"), commerce))
+    return out.withColumns({"role": role, "rhetorical": rhet, "failure": failure, "confidence": confidence, "retrieval_risk": risk, "reliability": reliability, "mismatch": mismatch, "harm": harm, "concealment_risk": hidden, "concealment_flags": concealed})
 
 
 def permissions(rows: DataFrame) -> DataFrame:
@@ -109,7 +114,8 @@ def permissions(rows: DataFrame) -> DataFrame:
     persuasive = F.arrays_overlap(F.col("flags"), F.array(F.lit("comparative_superlatives"), F.lit("authority_stacking"))) | (F.col("comparative") > 0.35)
     low = trust < C.TRUST_ENDORSEMENT_MIN
     risky = (F.col("endorsement_risk") >= C.ENDORSEMENT_BLOCK) | ((F.col("endorsement_risk") >= 0.05) & low) | ((F.col("harm") >= 0.7) & persuasive & low)
-    cure = F.col("query").isNotNull() & (F.col("intent") == "informational_high_stakes") & F.array_contains("flags", "high_stakes_medical_claim") & (trust < 0.55) & ~F.array_contains("flags", "balanced_hedging")
+    claims_cure = F.array_contains("flags", "high_stakes_medical_claim") & T.plain(F.coalesce(F.substring("text", 1, signals.EXCERPT), F.lit(""))).rlike(C.MEDICAL_CLAIM)
+    cure = (F.coalesce("query", F.lit("")) != "") & (F.col("intent") == "informational_high_stakes") & claims_cure & (trust < 0.55) & ~F.array_contains("flags", "balanced_hedging")
     out = rows.withColumns({"retrieve_permission": retrieve, "mention_permission": mention, "_factual": factual})
     attacked = (F.col("retrieve_permission") == "reject") & ~reject
     out = out.withColumn("factual_permission", F.when(attacked, "deny").otherwise(F.col("_factual")))
@@ -130,9 +136,46 @@ def actions(rows: DataFrame) -> DataFrame:
         )
     )
     last = F.when((F.size(found) == 0) | ((m == "allow") & (f == "allow") & (e == "allow")), F.array(F.lit("pass"))).when(m == "allow", F.array(F.lit("mention_only"))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("actions", F.array_distinct(F.concat(found, last))).withColumn("recommended_action", primary(F.col("actions")))
+
+
+def primary(actions: Column) -> Column:
+    """The gravest of a row's actions; unknown ones come last."""
     order = F.array(*map(F.lit, ACTION_ORDER))
-    out = rows.withColumn("actions", F.array_distinct(F.concat(found, last)))
-    return out.withColumn("recommended_action", F.get(order, F.array_min(F.transform("actions", lambda a: F.array_position(order, a))).cast("int") - 1))
+    places = F.transform(actions, lambda a: F.nullif(F.array_position(order, a), F.lit(0)))
+    return F.coalesce(F.get(order, F.array_min(F.array_compact(places)).cast("int") - 1), F.get(actions, F.lit(0)))
+
+
+def merged_actions(actions: Column, extra: Column) -> Column:
+    """actions and extra ones, in order, each once: extra actions may tighten what primary() gives, never loosen it."""
+    return F.array_distinct(F.concat(actions, F.coalesce(extra, F.array().cast("array<string>"))))
+
+
+def summary_action(rows: DataFrame) -> Column:
+    """One action for a report, from permissions and subscores."""
+    risk, rhet = F.col("endorsement_risk"), F.col("rhetorical")
+    denied = F.col("endorsement_permission") == "deny"
+    return (
+        F.when(F.col("retrieve_permission") == "reject", "reject").when(F.col("retrieve_permission") == "defer", "defer_fetch")
+        .when(denied & ((risk >= C.ENDORSEMENT_DOWNRANK) | (rhet >= 0.35)), "block_endorsement")
+        .when((F.col("retrieve_permission") == "downrank") | (risk >= C.ENDORSEMENT_DOWNRANK) | (F.col("concealment_risk") >= 0.5) | ((rhet >= 0.55) & (F.col("trust") < 0.55)), "downrank")
+        .otherwise("pass")
+    )
+
+
+def for_cited_thread(rows: DataFrame) -> DataFrame:
+    """Permissions of open-posting pages that are themselves cited: facts attributed at most, no endorsement."""
+    thread = F.col("role") == "ugc_thread"
+    return rows.withColumns({
+        "factual_permission": F.when(thread & (F.col("factual_permission") == "allow"), "attribute_only").otherwise(F.col("factual_permission")),
+        "endorsement_permission": F.when(thread, "deny").otherwise(F.col("endorsement_permission")),
+    })
+
+
+def tightened(permission: str, proposed: Column) -> Column:
+    """A permission, or what is proposed for it where that is stricter; null proposes nothing."""
+    order = F.array(*map(F.lit, STRICTNESS[permission]))
+    return F.when(F.array_position(order, F.coalesce(proposed, F.lit(""))) > F.array_position(order, F.col(permission)), proposed).otherwise(F.col(permission))
 
 
 def tightest(rows: DataFrame, *keys: str) -> DataFrame:

@@ -101,6 +101,11 @@ def trust_ceiling(segment: Column, role: Column) -> Column:
     return F.when((role == "review_profile") & (segment != "main_post"), F.least(out, F.lit(0.5))).otherwise(out)
 
 
+def is_low_trust(segment: Column, role: Column) -> Column:
+    """Parts of a page that others than its author can write."""
+    return segment.isin("comment", "nested_comment", "sidebar", "footer") | (role.isin("ugc_thread", "review_profile", "expert_listicle") & (segment != "main_post"))
+
+
 def retrieval_multiplier(segment: Column, role: Column, intent: Column) -> Column:
     base = F.when(segment.isin("sidebar", "footer"), 0.35).when(segment == "nested_comment", 0.45).when(segment == "comment", 0.5).otherwise(1.0)
     thread = F.when(intent == "commercial", 0.4).otherwise(0.55)

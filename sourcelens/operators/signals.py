@@ -8,23 +8,39 @@ from pyspark.sql import functions as F
 from sourcelens import config as C
 from sourcelens.functions import text as T
 from sourcelens.functions import urls as U
+from sourcelens.operators import plants
 
 
-def content_signals(rows: DataFrame) -> DataFrame:
-    """Adds n_words, the four densities, narrative, hedges, front_load, semantic_risk, flags, rhetorical, retrieval_risk."""
-    out = rows.withColumn("n_words", T.word_count(F.col("text"))).withColumn("_plain", T.plain(F.coalesce("text", F.lit(""))))
-    for name, patterns in (("authority", C.AUTHORITY), ("comparative", C.COMPARATIVE), ("temporal", C.TEMPORAL), ("purpose", C.PURPOSE), ("hedges", C.HEDGES)):
-        out = out.withColumn(name, T.density(F.col("_plain"), F.col("n_words"), patterns))
-    w = T.words(F.col("_plain"))
-    head = F.array_join(F.slice(w, 1, C.FRONT_WINDOW_WORDS), " ")
-    tail = F.array_join(F.slice(w, C.FRONT_WINDOW_WORDS + 1, F.greatest(F.size(w) - C.FRONT_WINDOW_WORDS, F.lit(0))), " ")
-    both = C.AUTHORITY + C.COMPARATIVE
-    out = out.withColumn("_head", T.density(head, F.least(F.size(w), F.lit(C.FRONT_WINDOW_WORDS)), both)).withColumn("_tail", T.density(tail, F.greatest(F.size(w) - C.FRONT_WINDOW_WORDS, F.lit(0)), both))
-    front = F.when(F.col("n_words") < C.FRONT_LEAST_WORDS, 0.0).otherwise(F.coalesce(F.try_divide(F.col("_head"), F.col("_head") + F.col("_tail")), F.lit(0.0)))
-    out = out.withColumn("front_load", front).withColumn("narrative", F.least(F.lit(1.0), (F.col("authority") + F.col("comparative") + F.col("purpose")) / 2))
-    raw = F.greatest(F.lit(0.0), 0.3 * F.col("authority") + 0.3 * F.col("narrative") + 0.25 * F.col("comparative") + 0.15 * F.col("temporal") - 0.35 * F.col("hedges"))
-    out = out.withColumn("rhetorical", F.least(F.lit(1.0), raw))
-    out = out.withColumn("semantic_risk", F.when((F.col("front_load") > 0.6) & (raw > 0), F.least(F.lit(1.0), raw * (1 + 0.25 * F.col("front_load")))).otherwise(raw))
+def front_load_for(query: Column, head: Column, tail: Column, n_words: Column) -> Column:
+    """Share of a query's own terms found in the first words of a text, as parts of words too, against those in the rest."""
+    terms = F.filter(F.array_distinct(T.tokens(F.coalesce(query, F.lit("")))), lambda t: ~t.isin(C.QUERY_STOPWORDS) & (F.length(t) > 2))
+    seen = lambda where: F.size(F.filter(terms, lambda t: where.contains(t)))
+    return F.when(n_words < C.FRONT_LEAST_WORDS, 0.0).otherwise(F.coalesce(F.try_divide(seen(head), seen(head) + seen(tail)), F.lit(0.0)))
+
+
+def content_signals(rows: DataFrame, query: str | None = None) -> DataFrame:
+    """Adds n_words, the four densities, narrative, hedges, quotes, front_load, semantic_risk, flags, rhetorical, retrieval_risk.
+
+    query: the column of the query that a text answers; then front_load counts the query's terms.
+    """
+    text = F.coalesce("text", F.lit(""))
+    out = rows.withColumns({"n_words": T.word_count(F.col("text")), "_plain": T.plain(text), "_kept": F.regexp_replace(text, T.FOREIGN, "q")})
+    w, n = T.words(F.lower(text) if query else F.col("_plain")), C.FRONT_WINDOW_WORDS
+    out = out.withColumn("_w", w).withColumns({"_head": F.array_join(F.slice("_w", 1, n), " "), "_tail": F.array_join(F.slice("_w", n + 1, F.greatest(F.size("_w") - n, F.lit(0))), " ")})
+    families = (("authority", C.AUTHORITY), ("comparative", C.COMPARATIVE), ("temporal", C.TEMPORAL), ("purpose", C.PURPOSE), ("hedges", C.HEDGES))
+    made = {name: T.density(F.col("_plain"), F.col("n_words"), patterns) for name, patterns in families}
+    made["quotes"] = F.least(F.lit(1.0), T.hits(F.col("_kept"), C.QUOTES) / F.greatest("n_words", F.lit(1)) * 10)
+    if query:
+        made["front_load"] = front_load_for(F.col(query), F.col("_head"), F.col("_tail"), F.col("n_words"))
+    else:
+        made["_first"] = T.density(F.col("_head"), F.least(F.size("_w"), F.lit(n)), C.AUTHORITY + C.COMPARATIVE)
+        made["_rest"] = T.density(F.col("_tail"), F.greatest(F.size("_w") - n, F.lit(0)), C.AUTHORITY + C.COMPARATIVE)
+    out = out.withColumns(made)
+    if not query:
+        out = out.withColumn("front_load", F.when(F.col("n_words") < C.FRONT_LEAST_WORDS, 0.0).otherwise(F.coalesce(F.try_divide(F.col("_first"), F.col("_first") + F.col("_rest")), F.lit(0.0)))).drop("_first", "_rest")
+    out = out.withColumn("narrative", F.least(F.lit(1.0), (F.col("authority") + F.col("comparative") + F.col("purpose")) / 2))
+    out = out.withColumn("_raw", F.greatest(F.lit(0.0), 0.3 * F.col("authority") + 0.3 * F.col("narrative") + 0.25 * F.col("comparative") + 0.15 * F.col("temporal") - 0.35 * F.col("hedges")))
+    boosted = F.when((F.col("front_load") > 0.6) & (F.col("_raw") > 0), F.least(F.lit(1.0), F.col("_raw") * (1 + 0.25 * F.col("front_load")))).otherwise(F.col("_raw"))
     flag = lambda test, name: F.when(test, F.lit(name))
     flags = F.array_compact(
         F.array(
@@ -33,13 +49,19 @@ def content_signals(rows: DataFrame) -> DataFrame:
             flag(F.col("_plain").rlike(C.MEDICAL_CLAIM), "high_stakes_medical_claim"),
             flag(F.col("hedges") > C.HEDGING_FLAG, "balanced_hedging"),
             flag(F.col("front_load") > 0.65, "front_loaded"),
+            flag(F.col("quotes") > C.QUOTES_FLAG, "quote_citation_heavy"),
             flag(F.col("_plain").rlike(C.ALTERNATIVES), "mentions_alternatives"),
+            flag(plants.planted(F.col("_plain"), F.col("n_words")), "planted_mention"),
         )
     )
-    empty = F.col("n_words") == 0
-    out = out.withColumn("flags", F.when(empty, F.array(F.lit("empty_content"))).otherwise(flags))
-    persuasive = F.greatest(F.lit(0.2), F.col("rhetorical"), F.col("comparative"), F.col("authority") * 0.5)
-    return out.withColumn("retrieval_risk", F.least(F.lit(1.0), F.col("front_load") * persuasive)).drop("_plain", "_head", "_tail")
+    out = out.withColumns({"rhetorical": F.least(F.lit(1.0), F.col("_raw")), "semantic_risk": boosted, "flags": F.when(F.col("n_words") == 0, F.array(F.lit("empty_content"))).otherwise(flags)})
+    return out.withColumn("retrieval_risk", retrieval_manipulation(F.col("rhetorical"))).drop("_plain", "_kept", "_w", "_head", "_tail", "_raw")
+
+
+def retrieval_manipulation(rhetorical: Column) -> Column:
+    """Front-loading, more where a row's text persuades."""
+    persuasive = F.greatest(F.lit(0.2), rhetorical, F.col("comparative"), F.col("authority") * 0.5)
+    return F.least(F.lit(1.0), F.col("front_load") * persuasive)
 
 
 def trust_score(pages: DataFrame) -> Column:
@@ -76,16 +98,27 @@ def trust_score(pages: DataFrame) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
-def endorsement_risk(query: Column, intent: Column) -> Column:
+#: Characters of a source's text that rules on its wording see.
+EXCERPT = 500
+
+
+def endorses(text: Column, comparative: Column, flags: Column) -> Column:
+    """A text that recommends outright or by superlatives."""
+    return T.plain(F.coalesce(text, F.lit(""))).rlike(C.ENDORSES) | (comparative > C.COMPARATIVE_FLAG) | F.array_contains(flags, "comparative_superlatives")
+
+
+def endorsement_risk(query: Column, intent: Column, commercial_score: Column | None = None) -> Column:
     """Of a row with text, trust and content signals: high only where query, text and trust together earn no endorsement."""
-    q, t = T.plain(F.coalesce(query, F.lit(""))), T.plain(F.coalesce(F.col("text"), F.lit("")))
-    asks = q.rlike(C.WANTS_RECOMMENDATION)
-    endorses = t.rlike(C.ENDORSES) | (F.col("comparative") > C.COMPARATIVE_FLAG)
+    asks = T.plain(F.coalesce(query, F.lit(""))).rlike(C.WANTS_RECOMMENDATION)
+    praise = endorses(F.substring("text", 1, EXCERPT), F.col("comparative"), F.col("flags"))
     balanced = F.arrays_overlap(F.col("flags"), F.array(F.lit("balanced_hedging"), F.lit("mentions_alternatives")))
     risk = F.col("semantic_risk") * F.greatest(F.col("front_load"), F.lit(0.35)) * (1 - F.col("trust"))
-    risk = risk * F.when(asks, F.when(endorses, 1.0).otherwise(0.35)).otherwise(0.25) * F.when(balanced, 0.2).otherwise(1.0)
+    risk = risk * F.when(asks, F.when(praise, 1.0).otherwise(0.35)).otherwise(0.25) * F.when(balanced, 0.2).otherwise(1.0)
+    if commercial_score is not None:
+        risk = risk * F.when((F.coalesce(commercial_score, F.lit(0.0)) > 0.4) & ~asks, 0.1).otherwise(1.0)
     low = F.col("trust") < C.TRUST_ENDORSEMENT_MIN
-    risk = F.when(asks & endorses & low & ~balanced, F.greatest(risk, F.lit(C.ENDORSEMENT_BLOCK))).otherwise(risk)
+    risk = F.when(asks & praise & low & ~balanced, F.greatest(risk, F.lit(C.ENDORSEMENT_BLOCK))).otherwise(risk)
+    risk = F.when(asks & low & F.array_contains("flags", "planted_mention"), F.greatest(risk, F.lit(C.ENDORSEMENT_DOWNRANK))).otherwise(risk)
     return F.when(intent.startswith("informational"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk))).otherwise(0.0)
 
 

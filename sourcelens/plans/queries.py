@@ -9,6 +9,7 @@ from sourcelens import config as C
 from sourcelens.functions import text as T
 from sourcelens.functions import urls as U
 from sourcelens.operators import agreement, audit, claims, decisions, graph, impressions, pages, retrieval, signals, similarity, tiers, vectors
+from sourcelens.plans import decision_queries, role_sql
 from sourcelens.sources import html
 from sourcelens.sources.tables import benchmark_queries, citation_log, table
 
@@ -210,6 +211,7 @@ QUERIES = {
         paragraph_impressions, shared_claims, plant_stances, domain_signals, domain_tiers, top_risk_pages,
     )
 }
+QUERIES |= decision_queries.QUERIES
 
 _WORDS = lambda t: f"list_filter(string_split_regex({t}, '{SPACE_SQL}'), lambda x: x <> '')"
 _TFIDF = """
@@ -253,39 +255,11 @@ r AS (SELECT *, greatest(0.0, 0.3 * authority + 0.3 * narrative + 0.25 * compara
 s AS (SELECT *, least(1.0, raw) AS rhetorical, CASE WHEN front_load > 0.6 AND raw > 0 THEN least(1.0, raw * (1 + 0.25 * front_load)) ELSE raw END AS semantic_risk,
   least(1.0, front_load * greatest(0.2, least(1.0, raw), comparative, authority * 0.5)) AS retrieval_risk FROM r)
 """
-_AUTHORITY_SQL = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?', 1)"
-_SUFFIXES = ", ".join(f"'{s}'" for s in C.TWO_LABEL_SUFFIXES)
-
-
-def _domain_sql(host: str) -> str:
-    p = f"string_split(regexp_replace(lower({host}), '^www\\.', ''), '.')"
-    return f"CASE WHEN len({p}) >= 3 AND array_to_string({p}[-2:], '.') IN ({_SUFFIXES}) THEN array_to_string({p}[-3:], '.') ELSE array_to_string({p}[-2:], '.') END"
-
-
 _HREF_SQL = graph.HREF.removeprefix("(?i)").replace("'", "''")
 _LINKS = f"""
-links AS (SELECT DISTINCT url, {_domain_sql(_AUTHORITY_SQL)} AS own, target FROM (SELECT url, unnest(regexp_extract_all(html, '(?i){_HREF_SQL}', 1)) AS target FROM pages) WHERE regexp_matches(target, '(?i)^https?://')),
-edges AS (SELECT url, target, target_domain FROM (SELECT url, own, target, {_domain_sql(_AUTHORITY_SQL.replace("url", "target"))} AS target_domain FROM links) WHERE target_domain <> '' AND target_domain <> own)
+links AS (SELECT DISTINCT url, {role_sql.domain(role_sql.AUTHORITY)} AS own, target FROM (SELECT url, unnest(regexp_extract_all(html, '(?i){_HREF_SQL}', 1)) AS target FROM pages) WHERE regexp_matches(target, '(?i)^https?://')),
+edges AS (SELECT url, target, target_domain FROM (SELECT url, own, target, {role_sql.domain(role_sql.AUTHORITY.replace("url", "target"))} AS target_domain FROM links) WHERE target_domain <> '' AND target_domain <> own)
 """
-_PATH_SQL = r"lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1))"
-_QUERY_SQL = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
-_HOST_SQL = f"regexp_replace(lower({_AUTHORITY_SQL}), '^www\\.', '')"
-
-
-def _role_sql() -> str:
-    m = lambda t, p: f"regexp_matches({t}, '{p}')"
-    blob = f"CASE WHEN {_QUERY_SQL} <> '' THEN {_PATH_SQL} || '?' || {_QUERY_SQL} ELSE {_PATH_SQL} END"
-    bare = f"trim({_PATH_SQL}, '/')"
-    directory = f"({m(_PATH_SQL, C.DIRECTORY_PATH)} OR ({bare} <> '' AND NOT contains({bare}, '/') AND {m(bare, 'forums?$')}))"
-    host = f"lower({_AUTHORITY_SQL})"
-    video = f"({m(host, C.VIDEO_HOST)} AND CASE WHEN {host} = 'youtu.be' OR ends_with({host}, '.youtu.be') THEN {bare} <> '' AND NOT contains({bare}, '/') ELSE {m(_PATH_SQL, C.VIDEO_PATH)} END)"
-    posting = f"({m(_HOST_SQL, C.FORUM_HOST)} OR ({m(_HOST_SQL, '^forums?[.]')} AND NOT {directory}) OR {m(_PATH_SQL, C.THREAD_PATH)} OR {m(blob, C.THREAD_PATH)} OR {m(blob, C.FORUM_QUERY)} OR {m(_PATH_SQL, C.SOCIAL_PATH)} OR {video})"
-    return f"""CASE WHEN ends_with({_HOST_SQL}, '.gov') OR ends_with({_HOST_SQL}, '.edu') THEN 'institutional' WHEN {posting} THEN 'ugc_thread'
-      WHEN {m(_PATH_SQL, C.PICKS_PATH)} THEN 'editorial' WHEN {m(_PATH_SQL, C.REVIEW_PATH)} THEN 'review_profile' WHEN {directory} THEN 'expert_listicle'
-      WHEN {m(_PATH_SQL, C.PUBLISH_PATH)} OR {m(_PATH_SQL, r"/newsletter\b")} THEN 'expert_listicle' WHEN {m(_PATH_SQL, C.PRODUCT_PATH)} THEN 'commercial_product'
-      WHEN {m(_PATH_SQL, C.SPEC_PATH)} OR starts_with({_HOST_SQL}, 'psref.') THEN 'commercial_product' ELSE 'factual_blog' END"""
-
-
 def _intent_sql() -> str:
     m = lambda p: f"regexp_matches(q, '{p}')".replace("what's", "what''s").replace("['’]", "[''’]")
     return f"""SELECT item_id, CASE WHEN q = '' THEN 'informational' WHEN {m(C.HOSTNAME)} OR {m(C.NAVIGATIONAL)} THEN 'navigational' WHEN {m(C.HIGH_STAKES)} THEN 'informational_high_stakes'
@@ -341,19 +315,19 @@ ORACLE_SQL = {
       asked AS (SELECT DISTINCT q, day AS now FROM d),
       p AS (SELECT d.q, d.domain, steps.now FROM d JOIN steps ON d.day = steps.before JOIN asked ON asked.q = d.q AND asked.now = steps.now)
       SELECT p.domain, count(*) AS n, count(d.q) AS hits, round(count(d.q) / count(*), 9) AS persistence FROM p LEFT JOIN d ON d.q = p.q AND d.day = p.now AND d.domain = p.domain GROUP BY p.domain""",
-    "paraphrase_sensitivity": """WITH t AS (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS s FROM conversations WHERE role = 'user' AND turn IN (0, 2)),
+    "paraphrase_sensitivity": """WITH t AS (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS s FROM (SELECT conv_id, text, 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 2 AS turn FROM conversations WHERE role = 'user')),
       p AS (SELECT a.s <> b.s AS changed, 1 - CASE WHEN len(a.s) + len(b.s) = 0 THEN 0.0 ELSE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END AS dist FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 2)
       SELECT count(*) AS n_pairs, round(coalesce(avg(dist), 0.0), 9) AS mean_distance, round(coalesce(avg(changed::INT) * 100, 0.0), 9) AS pct_changed FROM p""",
     "confusion_matrix": "SELECT 'label' AS field, g.v AS gold, p.v AS pred, count(l.doc_id) AS n FROM (VALUES ('0'), ('1')) g(v) CROSS JOIN (VALUES ('0'), ('1')) p(v) LEFT JOIN labels l ON l.quality::VARCHAR = g.v AND l.toxic::VARCHAR = p.v GROUP BY g.v, p.v",
     "agreement_measures": """WITH l AS (SELECT quality AS g, toxic AS p FROM labels WHERE quality IN (0, 1) AND toxic IN (0, 1)),
       c AS (SELECT count(*) AS n, count(*) FILTER (g = p) AS ok, count(*) FILTER (g = 1 AND p = 1) AS tp, count(*) FILTER (g = 0 AND p = 0) AS tn, count(*) FILTER (g = 1) AS g1, count(*) FILTER (p = 1) AS p1, count(*) FILTER (g <> p) AS off FROM l)
       SELECT 'label' AS field, n, round(ok / n, 9) AS accuracy, round((2 * tp / (g1 + p1) + 2 * tn / (2 * n - g1 - p1)) / 2, 9) AS macro_f1, round(1 - off / ((g1 * (n - p1) + (n - g1) * p1) / n), 9) AS kappa, round(off / n, 9) AS off_by_one FROM c""",
-    "registrable_domains": f"SELECT {_domain_sql(_AUTHORITY_SQL)} AS domain, count(*) AS n FROM pages GROUP BY 1",
-    "page_roles": f"SELECT role, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share FROM (SELECT {_role_sql()} AS role FROM pages) GROUP BY role",
+    "registrable_domains": f"SELECT {role_sql.domain(role_sql.AUTHORITY)} AS domain, count(*) AS n FROM pages GROUP BY 1",
+    "page_roles": f"SELECT role, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share FROM (SELECT {role_sql.page_role()} AS role FROM pages) GROUP BY role",
     "query_intents": _intent_sql(),
     "outbound_links": f"WITH {_LINKS} SELECT DISTINCT url, target, target_domain FROM edges",
-    "link_promotion": f"""WITH {_LINKS}, roles AS (SELECT DISTINCT url, {_role_sql()} AS role FROM pages), e AS (SELECT DISTINCT url, target, target_domain FROM edges),
-      h AS (SELECT target_domain, {_domain_sql(_AUTHORITY_SQL)} AS host, count(*) AS n, bool_or(role IN ('ugc_thread', 'review_profile', 'expert_listicle')) AS crossing FROM e JOIN roles USING (url) GROUP BY 1, 2)
+    "link_promotion": f"""WITH {_LINKS}, roles AS (SELECT DISTINCT url, {role_sql.page_role()} AS role FROM pages), e AS (SELECT DISTINCT url, target, target_domain FROM edges),
+      h AS (SELECT target_domain, {role_sql.domain(role_sql.AUTHORITY)} AS host, count(*) AS n, bool_or(role IN ('ugc_thread', 'review_profile', 'expert_listicle')) AS crossing FROM e JOIN roles USING (url) GROUP BY 1, 2)
       SELECT target_domain, sum(n)::BIGINT AS n_edges, round(sum(n) / sum(sum(n)) OVER (), 9) AS concentration, count(*) AS n_hosts, count(*) >= 3 AS converges, count(*) FILTER (crossing) AS n_cross_platform FROM h GROUP BY target_domain""",
     "embedding_cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
       s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
@@ -362,5 +336,6 @@ ORACLE_SQL = {
     "plant_stances": _stance_sql(),
     "domain_signals": f"""SELECT page_id, host, array_to_string(list_filter([CASE WHEN NOT regexp_matches(url, '(?i)^https:') THEN 'no_https' END, CASE WHEN regexp_matches(host, '{C.SUSPICIOUS_TLD}') THEN 'suspicious_tld.' || string_split(host, '.')[-1] END,
       CASE WHEN len(string_split(host, '.')) >= 4 AND NOT regexp_matches(host, '\\.(gov|edu)$') THEN 'deep_subdomain' END], lambda x: x IS NOT NULL), ',') AS flags
-      FROM (SELECT page_id, url, lower(regexp_replace({_AUTHORITY_SQL}, '^.*@|:\\d*$', '', 'g')) AS host FROM pages)""",
+      FROM (SELECT page_id, url, lower(regexp_replace({role_sql.AUTHORITY}, '^.*@|:\\d*$', '', 'g')) AS host FROM pages)""",
 }
+ORACLE_SQL |= decision_queries.ORACLE_SQL
