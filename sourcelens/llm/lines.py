@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourcelens.llm import common
@@ -324,17 +323,23 @@ def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars:
     cells = common.cut(cells, "cells")
     wanted = cells.select("h").distinct()
     texts = base.select("text").mapInArrow(_texts(min_chars), "h long, h2 long, line_text string").join(wanted.hint("shuffle_hash"), "h", "left_semi")
-    texts = texts.groupBy("h").agg(F.min(F.struct("h2", "line_text")).alias("t")).select("h", "t.line_text")
+    texts = texts.groupBy("h").agg(F.min_by("line_text", "h2").alias("line_text"))
     keys = ["key", "cell_a", "cell_b"]
     edges = cells.join(texts, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_forest_of(_verified(similarity)), "u long, v long")
     parts = common.components(edges, "u", "v", contracted=True)
-    first = seen.where("h is not null").groupBy("h", "h2").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
-    first = first.withColumn("other", F.when(F.col("h2") != F.min("h2").over(W.partitionBy("h")), F.col("h2")))  # null but for different lines of one h
-    named = first.join(parts, first["h"] == parts["node"], "left").select("h", "h2", "first", F.when(F.col("other").isNull(), F.col("component")).alias("part"), "other")
-    named = named.withColumn("c", F.coalesce("part", "h")).withColumn("other", F.coalesce("other", F.lit(common.NULL_ID)))
-    keeper = named.groupBy("c", "other").agg(F.min("first").alias("keep"))
-    keep = named.join(keeper, ["c", "other"]).select("h", "h2", "keep")
-    lines = seen.where("h is not null").join(keep, ["h", "h2"]).select("doc_id", "row", "line", (F.struct("doc_id", "row", "line") != F.col("keep")).alias("removed"))
+    parts = parts.union(parts.select(F.col("component").alias("node"), "component").distinct())  # the least nodes too
+    own, place = seen.where("h is not null"), F.struct("doc_id", "row", "line")
+    first = own.groupBy("h").agg(F.min(F.struct("h2", "doc_id", "row", "line")).alias("first"), F.max("h2").alias("last_h2"))
+    first = common.cut(first.select("h", F.struct("first.doc_id", "first.row", "first.line").alias("first"), F.col("first.h2").alias("main_h2"), "last_h2"), "firsts")
+    linked = first.select("h", "first").join(parts, F.col("h") == F.col("node")).select("h", "first", "component")
+    keeper = linked.groupBy("component").agg(F.min("first").alias("keep"))
+    kept = linked.join(keeper, "component").select("h", "keep")
+    keep = first.select("h", "first", "main_h2").join(kept, "h", "left").select("h", "main_h2", F.coalesce("keep", "first").alias("keep"))
+    lines = own.join(keep, "h")
+    if not first.where("last_h2 != main_h2").isEmpty():  # different lines of one h: the others are kept once each
+        others = lines.where("h2 != main_h2").groupBy("h", "h2").agg(F.min(place).alias("other_first"))
+        lines = lines.join(others, ["h", "h2"], "left").withColumn("keep", F.coalesce("other_first", "keep"))
+    lines = lines.select("doc_id", "row", "line", (place != F.col("keep")).alias("removed"))
     return lines.union(seen.where("h is null").select("doc_id", "row", "line", F.lit(False)))
 
 

@@ -21,3 +21,26 @@ def test_rows_that_share_an_id_keep_their_own_lines(spark):
     assert got == sorted([("1", one), ("2", rows[2][1]), ("None", two), ("None", rows[4][1])])
     made = sorted((str(r.doc_id), r.n_lines, r.removed) for r in lines.dedup_lines(documents(spark, rows)).collect())
     assert made == sorted([("1", 1, []), ("2", 2, [0, 1]), ("2", 2, []), ("None", 1, []), ("None", 1, []), ("None", 1, [0])])
+
+
+def test_lines_of_one_first_hash_are_told_apart(spark, monkeypatch):
+    """With first hashes that collide no line goes for another's sake but by the similarity of the texts compared."""
+    texts = [f"{w} stands alone in this line of text {k * 7919}" for k, w in enumerate(["alpha", "beta", "gamma", "delta", "omega", "sigma"])]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10 + k, t) for k, t in enumerate(texts)]
+    real = lines._occurrences
+    monkeypatch.setattr(lines, "_occurrences", lambda least: _collided(real(least)))
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(documents(spark, rows)).collect()}
+    assert all(got[k] == 0 for k in range(6)) and all(got[10 + k] == 1 for k in range(6))
+
+
+def _collided(run):
+    def collide(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in run(batches):
+            h = b.column("h")
+            made = pa.array(np.where(np.asarray(h.is_null()), 0, np.asarray(h.fill_null(0)) % 3), mask=np.asarray(h.is_null()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], made, b.columns[4]], b.schema.names)
+
+    return collide
