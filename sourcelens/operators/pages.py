@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sourcelens import config as C
 from sourcelens.functions import text as T
 from sourcelens.functions import urls as U
+from sourcelens.operators import schema
 
 # Instruction patterns, in hidden or visible text.
 INSTRUCTIONS = [
@@ -17,23 +18,31 @@ INSTRUCTIONS = [
     r"\brank\s+(?:this|the\s+page|the\s+site)\s+as\s+(?:the\s+)?#?\s*1\b", r"\bfor\s+(?:ai|llm|language)\s+(?:agents?|models?|assistants?)\b", r"\bfor\s+chatbots?\s*:",
     r"\b(?:directives?|instructions?)\s+for\s+(?:chatbots?|ai|llms?|language\s+models?|agents?|assistants?)\b", r"\bimportant\s+(?:system\s+)?(?:note|instruction)\s+for\s+(?:ai|agents?)\b",
 ]
-PROMOTING = [INSTRUCTIONS[i] for i in (4, 5, 6, 8, 9, 10, 11, 13, 14)] + [r"\bonly\s+(?:official|trusted|authoritative)\s+(?:site|page|source)\b"]
+# Those of them, and one more, that promote the page itself.
+PROMOTING = [
+    r"\balways\s+(?:cite|recommend|rank)\b", r"\btreat\s+this\s+(?:page|site|url|domain)\s+as\b", r"\bconsider\s+this\s+(?:page|site|url|domain)\s+as\b", r"\b#\s*1\s+primary\s+source\b",
+    r"\bverified[, ]+authoritative\s+destination\b", r"\bauthoritative\s+(?:destination|reference|source)\b", r"\brank\s+(?:this|the\s+page|the\s+site)\s+as\s+(?:the\s+)?#?\s*1\b",
+    r"\bfor\s+chatbots?\s*:", r"\b(?:directives?|instructions?)\s+for\s+(?:chatbots?|ai|llms?|language\s+models?|agents?|assistants?)\b", r"\bonly\s+(?:official|trusted|authoritative)\s+(?:site|page|source)\b",
+]
 CALLS_TO_ACTION = [r"\bbuy now\b", r"\bfree trial\b", r"\bget started\b", r"\bpricing\b", r"\bsubscribe\b", r"\badd to cart\b", r"\bshop now\b"]
 AFFILIATE_LINK = r"(?i)(?:\baffiliate\b|[?&](?:tag|aff(?:iliate)?(?:[_-]?id)?|partner_id|clickid|clid)=|/affiliate(?:s)?/)"
 PRESS = r"\bfor immediate release\b|\bpress release\b"
 COMMERCIAL_PATH = r"(?i)/(pricing|buy|shop|cart|checkout|trial)\b"
+HIGH_TIER, MEDIUM_TIER = ("affiliate_disclosure", "link_sponsored", "structured_funding"), ("affiliate_link_params", "press_release", "commercial_cta")
 CEILINGS = {"main_post": 1.0, "body": 1.0, "comment": 0.65, "nested_comment": 0.55, "sidebar": 0.45, "footer": 0.35}
 
 
-def _any(text: Column, patterns: list[str]) -> Column:
-    return T.plain(text).rlike("|".join(f"(?:{p})" for p in patterns))
+def instructs(plain: Column) -> Column:
+    """Lower-case plain text with an instruction to a machine."""
+    return plain.rlike("|".join(f"(?:{p})" for p in INSTRUCTIONS))
 
 
 def page_context(parsed: DataFrame) -> DataFrame:
     """Adds cta_density, commercial_score, structure_density, context_flags, commercial_tier to parsed pages."""
     scope = F.when(F.col("main_text") != "", F.col("main_text")).otherwise(F.col("text"))
-    words = F.greatest(T.word_count(scope), F.lit(1))
-    cta = F.least(F.lit(1.0), T.hits(T.plain(scope), CALLS_TO_ACTION) / words * 20)
+    parsed = parsed.withColumns({"_scope": T.plain(scope), "_words": F.greatest(T.word_count(scope), F.lit(1))})
+    words, plain = F.col("_words"), F.col("_scope")
+    cta = F.least(F.lit(1.0), T.hits(plain, CALLS_TO_ACTION) / words * 20)
     main_links = F.filter("links", lambda x: ~x["chrome"])
     affiliate, sponsored = F.exists(main_links, lambda x: x["href"].rlike(AFFILIATE_LINK)), F.exists(main_links, lambda x: x["sponsored"])
     chrome_only = F.exists("links", lambda x: x["chrome"] & (x["sponsored"] | x["href"].rlike(AFFILIATE_LINK))) & ~affiliate & ~sponsored
@@ -41,9 +50,9 @@ def page_context(parsed: DataFrame) -> DataFrame:
     flag = lambda test, name: F.when(test, F.lit(name))
     flags = F.array_compact(
         F.array(
-            flag(cta > 0.15, "commercial_cta"), flag(T.plain(scope).rlike(C.AFFILIATE_TEXT), "affiliate_disclosure"), flag(T.plain(scope).rlike(PRESS), "press_release"),
+            flag(cta > 0.15, "commercial_cta"), flag(plain.rlike(C.AFFILIATE_TEXT), "affiliate_disclosure"), flag(plain.rlike(PRESS), "press_release"),
             flag(affiliate, "affiliate_link_params"), flag(sponsored, "link_sponsored"), flag(chrome_only, "site_chrome_monetization"),
-            flag(faq, "faq_schema"), flag(ratio > 0.5, "list_heavy"), flag(F.col("tables") >= 2, "table_heavy"),
+            flag(F.coalesce("funding", F.lit(False)), "structured_funding"), flag(faq, "faq_schema"), flag(ratio > 0.5, "list_heavy"), flag(F.col("tables") >= 2, "table_heavy"),
         )
     )
     out = parsed.withColumn("cta_density", cta).withColumn("context_flags", flags)
@@ -51,32 +60,91 @@ def page_context(parsed: DataFrame) -> DataFrame:
     out = out.withColumn("structure_density", F.least(F.lit(1.0), 0.4 * ratio + 0.3 * F.least(F.lit(1.0), F.col("tables") / 3) + F.when(faq, 0.3).otherwise(0.0)))
     has = lambda *names: F.arrays_overlap("context_flags", F.array(*map(F.lit, names)))
     tier = (
-        F.when(has("affiliate_disclosure", "link_sponsored", "structured_funding"), "high").when(has("affiliate_link_params", "press_release", "commercial_cta"), "medium")
+        F.when(has(*HIGH_TIER), "high").when(has(*MEDIUM_TIER), "medium")
         .when((F.col("commercial_score") > 0.5) | U.path(F.col("url")).rlike(COMMERCIAL_PATH), "low").otherwise("none")
     )
-    return out.withColumn("commercial_tier", tier)
+    path = U.path(F.col("url")).rlike(COMMERCIAL_PATH)
+    named = F.filter("context_flags", lambda f: f.isin(*HIGH_TIER, *MEDIUM_TIER))
+    scored = F.array_compact(F.array(F.when(F.col("commercial_score") > 0.5, "commercial_context_score"), F.when(path, "commercial_url_path")))
+    return out.withColumns({"commercial_tier": tier, "commercial_triggers": F.when(F.size(named) > 0, named).otherwise(scored)}).drop("_scope", "_words")
+
+
+def _rhetoric(plain: Column) -> Column:
+    """Which of three kinds of rhetoric a plain lower-case text has."""
+    words, n, window = T.words(plain), T.word_count(plain), C.FRONT_WINDOW_WORDS
+    both = C.AUTHORITY + C.COMPARATIVE
+    first = T.density(F.array_join(F.slice(words, 1, window), " "), F.least(n, F.lit(window)), both)
+    rest = T.density(F.array_join(F.slice(words, window + 1, F.greatest(n - window, F.lit(0))), " "), F.greatest(n - window, F.lit(0)), both)
+    front = (n >= C.FRONT_LEAST_WORDS) & (F.coalesce(F.try_divide(first, first + rest), F.lit(0.0)) > 0.65)
+    flag = lambda test, name: F.when(test, F.lit(name))
+    return F.array_compact(F.array(flag(T.density(plain, n, C.AUTHORITY) > C.AUTHORITY_FLAG, "authority"), flag(T.density(plain, n, C.COMPARATIVE) > C.COMPARATIVE_FLAG, "comparative"), flag(front, "front")))
 
 
 def concealment(parsed: DataFrame) -> DataFrame:
-    """Adds hidden_words, hidden_ratio, concealment_flags, concealment_risk to parsed pages."""
-    hidden, structured = F.concat_ws(" ", "hidden"), F.concat_ws(" ", F.transform("channels", lambda c: c["text"]))
-    hidden_words, visible_words = T.word_count(hidden), T.word_count(F.col("text"))
-    plain = T.plain(hidden)
-    rhetoric = (hidden_words >= 8) & (
-        ((T.density(plain, hidden_words, C.AUTHORITY) > C.AUTHORITY_FLAG) & (T.density(T.plain(F.col("text")), visible_words, C.AUTHORITY) <= C.AUTHORITY_FLAG))
-        | ((T.density(plain, hidden_words, C.COMPARATIVE) > C.COMPARATIVE_FLAG) & (T.density(T.plain(F.col("text")), visible_words, C.COMPARATIVE) <= C.COMPARATIVE_FLAG))
-    )
-    in_hidden, in_structured, in_visible = _any(hidden, INSTRUCTIONS), _any(structured, INSTRUCTIONS), _any(F.col("text"), INSTRUCTIONS)
-    promoting = _any(F.concat_ws(" ", hidden, structured, "text"), PROMOTING)
+    """Adds hidden_words, hidden_ratio, hidden_blocks, structured_words, concealment_flags, concealment_excerpt, concealment_risk to parsed pages.
+
+    A block for screen readers counts only if it instructs. A meta text counts only where it differs from the page.
+    """
+    joined = lambda parts: F.array_join(F.transform(parts, lambda b: b["text"]), " ")
+    low = lambda text: T.plain(F.coalesce(text, F.lit("")))
+    out = parsed.withColumn("_visible", low(F.col("text")))
+    out = out.withColumn("_blocks", F.filter("blocks", lambda b: ~b["reader"] | instructs(low(b["text"]))))
+    counts = lambda c: ~c["channel"].startswith("meta:") | schema.meta_diverges(c["text"], F.col("text"), instructs(low(c["text"])))
+    out = out.withColumn("_parts", F.filter("channels", counts))
+    told = lambda c: c["channel"].startswith("meta:") | instructs(low(c["text"])) | ((c["channel"] == "application/ld+json") & schema.sells_software(c["text"]))
+    out = out.withColumn("_flagged", F.filter("_parts", told))
+    out = out.withColumns({
+        "_open": low(F.concat_ws(" ", joined(F.filter("_blocks", lambda b: ~b["chrome"])), joined("_flagged"))),
+        "_chrome": low(joined(F.filter("_blocks", lambda b: b["chrome"]))),
+        "_hidden": low(F.concat_ws(" ", joined("_blocks"), joined("_parts"))),
+        "hidden_words": T.word_count(joined("_blocks")), "structured_words": T.word_count(joined("_parts")), "hidden_blocks": F.size("_blocks"),
+    })
+    out = out.withColumns({"_r_open": _rhetoric(F.col("_open")), "_r_chrome": _rhetoric(F.col("_chrome")), "_r_visible": _rhetoric(F.col("_visible"))})
+    differs = lambda text, own: (T.word_count(F.col(text)) >= 8) & (F.size(F.array_except(own, "_r_visible")) > 0)
+    blocks, flagged = F.size("_blocks") > 0, F.size("_flagged") > 0
+    in_hidden, in_visible, geo = instructs(F.col("_hidden")), instructs(F.col("_visible")), differs("_open", "_r_open")
+    structured = flagged | ((F.size("_parts") > 0) & instructs(low(joined("_parts"))))
+    any_ = blocks | structured
+    promoting = "|".join(f"(?:{p})" for p in PROMOTING)
+    promotes = (in_hidden & F.col("_hidden").rlike(promoting)) | (in_visible & F.col("_visible").rlike(promoting))
     flag = lambda test, name: F.when(test, F.lit(name))
     flags = F.array_compact(
         F.array(
-            flag(in_hidden | in_structured, "hidden_instruction_pattern"), flag(in_structured, "structured_concealed"), flag(in_visible, "visible_instruction_pattern"),
-            flag(promoting & (in_hidden | in_structured | in_visible), "promotional_instruction_pattern"), flag(rhetoric, "hidden_geo_rhetoric"),
+            flag(blocks, "css_concealed_content"), flag(F.exists("_blocks", lambda b: b["offscreen"]), "offscreen_positioned"), flag(structured, "structured_concealed"), flag(in_hidden, "hidden_instruction_pattern"),
+            flag(any_ & geo, "hidden_geo_rhetoric"), flag(any_ & ~geo & schema.is_dense_chrome(F.col("_chrome")) & differs("_chrome", "_r_chrome"), "hidden_chrome_rhetoric"),
+            flag(in_visible, "visible_instruction_pattern"), flag(promotes, "promotional_instruction_pattern"),
         )
     )
-    out = parsed.withColumn("hidden_words", hidden_words).withColumn("hidden_ratio", F.coalesce(F.try_divide(hidden_words, hidden_words + visible_words), F.lit(0.0))).withColumn("concealment_flags", flags)
-    return out.withColumn("concealment_risk", concealment_risk(F.col("concealment_flags")))
+    flags = F.concat(flags, schema.mismatch_flags(F.col("ld_nodes"), F.col("text")), F.when(F.col("paywalled"), F.array(F.lit("paywall_suspected"))).otherwise(F.array().cast("array<string>")))
+    source = F.filter(F.transform(F.concat(F.transform("_blocks", lambda b: b["text"]), F.transform("_parts", lambda c: c["text"])), lambda t: F.when(instructs(low(t)), t)), lambda t: t.isNotNull())
+    longest = F.get(F.array_sort(F.transform("_blocks", lambda b: F.struct((-T.word_count(b["text"])).alias("n"), b["text"].alias("text")))), F.lit(0))["text"]
+    excerpt = F.coalesce(F.get(source, F.lit(0)), F.when(in_visible, instruction_excerpt(F.col("text"))), longest, F.get("_flagged", F.lit(0))["text"], F.lit(""))
+    total = F.greatest(F.col("hidden_words") + T.word_count(F.col("text")), F.lit(1))
+    out = out.withColumns({"hidden_ratio": F.round(F.col("hidden_words") / total, 4), "concealment_flags": flags, "concealment_excerpt": F.substring(excerpt, 1, 300)})
+    return out.withColumn("concealment_risk", concealment_risk(F.col("concealment_flags"))).drop("_visible", "_blocks", "_parts", "_flagged", "_open", "_chrome", "_hidden", "_r_open", "_r_chrome", "_r_visible")
+
+
+def instruction_excerpt(text: Column, most: int = 300) -> Column:
+    """A window around a text's first instruction; of several kinds the first of INSTRUCTIONS counts."""
+    found = [F.nullif(F.regexp_extract(text, rf"(?is)(.{{0,40}}(?:{p}).{{0,{most}}})", 1), F.lit("")) for p in INSTRUCTIONS]
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(*found, F.lit("")), r"\s+", " ")), 1, most)
+
+
+def identity(parsed: DataFrame) -> DataFrame:
+    """Adds site_name, organization, brand, product and aliases: what a page calls itself, else its path, title or domain."""
+    site, organization, brand, product = (F.nullif(F.col(f"named.{c}"), F.lit("")) for c in ("site_name", "organization", "brand", "product"))
+    publisher = F.substring_index(U.registrable_domain(U.authority(F.col("url"))), ".", 1)
+    title = F.regexp_replace(F.trim(F.regexp_extract("title", r"^(.*?)(?:\s*[|\-\x{2013}\x{2014}]\s*.*)?$", 1)), f"(?i){C.LISTICLE_PREFIX}", "")
+    title = F.substring(F.trim(F.regexp_replace(F.regexp_replace(title, r"(?i)\b(we'?ve\s+tested|buying\s+guide|picks?|reviewed?|reviews?|comparison|vs\.?|for\s+20\d{2}|20\d{2})\b", " "), r"\s+", " ")), 1, 120)
+    organization = F.coalesce(organization, site, F.when(F.length(publisher) >= 4, publisher), F.lit(""))
+    brand = F.coalesce(brand, site, F.nullif(organization, F.lit("")), F.lit(""))
+    repeats = F.lower(title).isin(F.lower(brand), F.lower(organization), F.lower(F.coalesce(site, F.lit(""))))
+    product = F.coalesce(product, F.nullif(U.product_slug(F.col("url")), F.lit("")), F.when((F.length(title) >= 4) & ~repeats, title), F.lit(""))
+    names = F.filter(F.array(product, brand, organization, F.coalesce(site, F.lit("")), publisher), lambda n: F.length(n).between(4, 80) & ~F.lower(n).isin(C.GENERIC_NAMES) & ~n.rlike(r"^\d+$"))
+    low = F.transform(names, F.lower)
+    once = F.filter(names, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)
+    bare = F.filter(F.transform(once, lambda n: F.regexp_replace(F.lower(n), "[^a-z0-9]", "")), lambda n: (F.length(n) >= 5) & ~n.rlike(r"^\d+$"))
+    return parsed.withColumns({"site_name": F.coalesce(site, F.lit("")), "organization": organization, "brand": brand, "product": product, "aliases": F.concat(once, F.array_distinct(F.array_except(bare, F.transform(once, F.lower))))})
 
 
 def concealment_risk(flags: Column) -> Column:
