@@ -8,15 +8,40 @@ from pyspark.sql import functions as F
 from sourcelens import config as C
 from sourcelens.functions import urls as U
 
-HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'#\s>]+)"""
+#: An address in running text; marks at its end belong to the sentence.
+ADDRESS = r"(https?://[^\s\])>\"']+)"
 
 
-def outbound_links(pages: DataFrame) -> DataFrame:
-    """url, target, target_domain: distinct links to other registrable domains. pages: url, html."""
-    own = U.registrable_domain(U.authority(F.col("url")))
-    links = pages.select("url", own.alias("own"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)))).alias("target")).where(F.col("target").rlike("(?i)^https?://"))
-    out = links.withColumn("target_domain", U.registrable_domain(U.authority(F.col("target"))))
-    return out.where((F.col("target_domain") != "") & (F.col("target_domain") != F.col("own"))).select("url", "target", "target_domain").distinct()
+def _external(edges: DataFrame) -> DataFrame:
+    """Edges to other registrable domains, with target_domain."""
+    domain = lambda c: U.registrable_domain(U.authority(F.col(c)))
+    out = edges.withColumn("target_domain", domain("target_url"))
+    return out.where((F.col("target_domain") != "") & (F.col("target_domain") != domain("source_url")))
+
+
+def text_edges(pages: DataFrame) -> DataFrame:
+    """source_url, segment, target_url, target_domain: addresses that a page's text names. pages: url, text."""
+    found = pages.select(F.col("url").alias("source_url"), F.lit("text").alias("segment"), F.explode(F.regexp_extract_all("text", F.lit(ADDRESS), F.lit(1))).alias("target_url"))
+    return _external(found.withColumn("target_url", F.regexp_replace("target_url", r"[.,;:!?]+$", "")).distinct())
+
+
+def link_edges(links: DataFrame) -> DataFrame:
+    """source_url, segment, target_url, target_domain of the links that a page's markup holds, as page_links gives them."""
+    return links.where("external").select(F.col("url").alias("source_url"), F.when(F.col("chrome"), "chrome").otherwise("main").alias("segment"), F.col("target").alias("target_url"), "target_domain")
+
+
+def referral_edges(*sources: DataFrame) -> DataFrame:
+    """All edges, each source, segment and target once, whatever the target's case; the first spelling by name stays."""
+    own = sources[0]
+    for more in sources[1:]:
+        own = own.unionByName(more, allowMissingColumns=True)
+    own = _external(own.drop("target_domain"))
+    return own.groupBy("source_url", "segment", F.lower("target_url").alias("_t")).agg(F.min("target_url").alias("target_url"), F.first("target_domain").alias("target_domain")).drop("_t")
+
+
+def outbound_links(links: DataFrame) -> DataFrame:
+    """url, target, target_domain: a page's links to other sites. links: as page_links gives them."""
+    return links.where(F.col("external") & F.col("target").rlike("(?i)^https?://")).select("url", "target", "target_domain").distinct()
 
 
 def promotion(edges: DataFrame, role_of: DataFrame, least_hosts: int = C.CONVERGENCE_HOSTS) -> DataFrame:
@@ -29,3 +54,8 @@ def promotion(edges: DataFrame, role_of: DataFrame, least_hosts: int = C.CONVERG
     out = placed.groupBy("target_domain").agg(F.sum("n").alias("n_edges"), F.count(F.lit(1)).alias("n_hosts"), F.count_if("cross").alias("n_cross_platform"))
     total = out.agg(F.sum("n_edges").alias("total"))
     return out.crossJoin(F.broadcast(total)).select("target_domain", "n_edges", F.round(F.col("n_edges") / F.col("total"), 9).alias("concentration"), "n_hosts", (F.col("n_hosts") >= least_hosts).alias("converges"), "n_cross_platform")
+
+
+def pointing_at(edges: DataFrame, target: str) -> DataFrame:
+    """Edges to one registrable domain."""
+    return edges.where(F.lower("target_domain") == target.lower())

@@ -9,7 +9,7 @@ from sourcelens import config as C
 from sourcelens.functions import text as T
 from sourcelens.functions import urls as U
 from sourcelens.operators import agreement, audit, claims, decisions, graph, impressions, pages, retrieval, signals, similarity, tiers, vectors
-from sourcelens.plans import decision_queries, role_sql
+from sourcelens.plans import decision_queries, role_sql, web_queries
 from sourcelens.sources import html
 from sourcelens.sources.tables import benchmark_queries, citation_log, table
 
@@ -118,13 +118,7 @@ def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.outbound_links(table(spark, sf_dir, "pages").select("url", "html"))
-
-
-def link_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("url", "html").dropDuplicates(["url"])
-    edges = graph.outbound_links(pages).select(F.col("url").alias("source_url"), "target_domain")
-    return graph.promotion(edges, pages.select("url", U.page_role(F.col("url")).alias("role")))
+    return graph.outbound_links(html.page_links(html.parse_pages(table(spark, sf_dir, "pages"))))
 
 
 def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,11 +201,11 @@ QUERIES = {
     for f in (
         tfidf_topk, pawc_by_host, pawc_dominance, diversify_by_host, rhetoric_signals, contestability_rank_delta, chunking, turn_clusters, citation_share,
         citation_persistence, paraphrase_sensitivity, confusion_matrix, agreement_measures, registrable_domains, page_roles, query_intents, outbound_links,
-        link_promotion, embedding_cosine_topk, page_context, page_links, page_concealment, page_chunks, source_permissions, answer_impressions,
+        embedding_cosine_topk, page_context, page_links, page_concealment, page_chunks, source_permissions, answer_impressions,
         paragraph_impressions, shared_claims, plant_stances, domain_signals, domain_tiers, top_risk_pages,
     )
 }
-QUERIES |= decision_queries.QUERIES
+QUERIES |= decision_queries.QUERIES | web_queries.QUERIES
 
 _WORDS = lambda t: f"list_filter(string_split_regex({t}, '{SPACE_SQL}'), lambda x: x <> '')"
 _TFIDF = """
@@ -255,11 +249,6 @@ r AS (SELECT *, greatest(0.0, 0.3 * authority + 0.3 * narrative + 0.25 * compara
 s AS (SELECT *, least(1.0, raw) AS rhetorical, CASE WHEN front_load > 0.6 AND raw > 0 THEN least(1.0, raw * (1 + 0.25 * front_load)) ELSE raw END AS semantic_risk,
   least(1.0, front_load * greatest(0.2, least(1.0, raw), comparative, authority * 0.5)) AS retrieval_risk FROM r)
 """
-_HREF_SQL = graph.HREF.removeprefix("(?i)").replace("'", "''")
-_LINKS = f"""
-links AS (SELECT DISTINCT url, {role_sql.domain(role_sql.AUTHORITY)} AS own, target FROM (SELECT url, unnest(regexp_extract_all(html, '(?i){_HREF_SQL}', 1)) AS target FROM pages) WHERE regexp_matches(target, '(?i)^https?://')),
-edges AS (SELECT url, target, target_domain FROM (SELECT url, own, target, {role_sql.domain(role_sql.AUTHORITY.replace("url", "target"))} AS target_domain FROM links) WHERE target_domain <> '' AND target_domain <> own)
-"""
 def _intent_sql() -> str:
     m = lambda p: f"regexp_matches(q, '{p}')".replace("what's", "what''s").replace("['’]", "[''’]")
     return f"""SELECT item_id, CASE WHEN q = '' THEN 'informational' WHEN {m(C.HOSTNAME)} OR {m(C.NAVIGATIONAL)} THEN 'navigational' WHEN {m(C.HIGH_STAKES)} THEN 'informational_high_stakes'
@@ -325,10 +314,6 @@ ORACLE_SQL = {
     "registrable_domains": f"SELECT {role_sql.domain(role_sql.AUTHORITY)} AS domain, count(*) AS n FROM pages GROUP BY 1",
     "page_roles": f"SELECT role, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share FROM (SELECT {role_sql.page_role()} AS role FROM pages) GROUP BY role",
     "query_intents": _intent_sql(),
-    "outbound_links": f"WITH {_LINKS} SELECT DISTINCT url, target, target_domain FROM edges",
-    "link_promotion": f"""WITH {_LINKS}, roles AS (SELECT DISTINCT url, {role_sql.page_role()} AS role FROM pages), e AS (SELECT DISTINCT url, target, target_domain FROM edges),
-      h AS (SELECT target_domain, {role_sql.domain(role_sql.AUTHORITY)} AS host, count(*) AS n, bool_or(role IN ('ugc_thread', 'review_profile', 'expert_listicle')) AS crossing FROM e JOIN roles USING (url) GROUP BY 1, 2)
-      SELECT target_domain, sum(n)::BIGINT AS n_edges, round(sum(n) / sum(sum(n)) OVER (), 9) AS concentration, count(*) AS n_hosts, count(*) >= 3 AS converges, count(*) FILTER (crossing) AS n_cross_platform FROM h GROUP BY target_domain""",
     "embedding_cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
       s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
       SELECT query_id, vec_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
@@ -338,4 +323,4 @@ ORACLE_SQL = {
       CASE WHEN len(string_split(host, '.')) >= 4 AND NOT regexp_matches(host, '\\.(gov|edu)$') THEN 'deep_subdomain' END], lambda x: x IS NOT NULL), ',') AS flags
       FROM (SELECT page_id, url, lower(regexp_replace({role_sql.AUTHORITY}, '^.*@|:\\d*$', '', 'g')) AS host FROM pages)""",
 }
-ORACLE_SQL |= decision_queries.ORACLE_SQL
+ORACLE_SQL |= decision_queries.ORACLE_SQL | web_queries.ORACLE_SQL
