@@ -85,3 +85,56 @@ def rank_changes(scores: DataFrame, k: int) -> DataFrame:
     both = a.join(b, ["query_id", "doc_id"], "full_outer")
     status = F.when(F.col("defended_rank").isNull(), "excluded").when(F.col("baseline_rank").isNull(), "admitted").when(F.col("defended_rank") < F.col("baseline_rank"), "raised").when(F.col("defended_rank") > F.col("baseline_rank"), "lowered").otherwise("same")
     return both.withColumn("status", status)
+
+
+def chunk_scores(rows: DataFrame) -> DataFrame:
+    """Chunks that may be retrieved, with chunk_trust, l1, l2 and defended: a chunk's score after all that speaks against it.
+
+    rows: score, segment, role, intent, trust, rhetorical, front_load, comparative, authority, mismatch, ok, n_words (of the
+    source) and retrieve_permission. Rejected chunks go, deferred ones too unless their score is high.
+    """
+    from sourcelens.operators import pages, signals
+
+    segment, role, intent, rhet = F.col("segment"), F.col("role"), F.col("intent"), F.col("rhetorical")
+    info, open_part = intent.startswith("informational"), segment.isin("comment", "nested_comment", "sidebar", "footer")
+    comment = segment.isin("comment", "nested_comment")
+    cap = lambda x: F.least(F.lit(0.85), x)
+    trust = F.greatest(F.lit(0.05), F.least("trust", pages.trust_ceiling(segment, role)) * (1 - F.least(F.lit(0.25), rhet * 0.35)))
+    style = cap(rhet * 0.5 * F.when(info, 1.0).otherwise(0.8) + signals.retrieval_manipulation(rhet) * 0.35)
+    l1 = F.when(intent.isin("commercial", "navigational") & ~open_part, 0.0).otherwise(style)
+    l1 = F.when(info, cap(l1 + F.col("mismatch") * 0.3)).otherwise(l1)
+    l1 = F.when(comment, cap(l1 + F.when(intent == "commercial", 0.3).otherwise(0.15))).otherwise(l1)
+    l1 = F.when((role == "ugc_thread") & (comment | (segment == "sidebar")), cap(l1 + 0.12)).otherwise(l1)
+    add = lambda test, x: F.when(test, F.lit(x)).otherwise(F.lit(0.0))
+    l2 = cap((1 - F.col("chunk_trust")) * 0.45 + add(F.col("ok") & (F.col("n_words") < C.THIN_WORDS), 0.05) + add(~F.col("ok"), 0.35) + add(F.col("retrieve_permission") == "downrank", 0.25))
+    kept = rows.where((F.col("retrieve_permission") != "reject") & ((F.col("retrieve_permission") != "defer") | (F.col("score") >= 0.35)))
+    out = kept.withColumn("chunk_trust", trust).withColumns({"l1": l1, "l2": l2})
+    return out.withColumn("defended", F.round(F.col("score") * (1 - F.col("l1")) * (1 - F.col("l2")) * pages.retrieval_multiplier(segment, role, intent), 9))
+
+
+def reranked(scored: DataFrame, k: int, risky: float = 0.55, penalty: float = 0.45) -> DataFrame:
+    """The k places of each query by defended score, one host first; where one host dominates what is seen and is not trusted, its scores fall and places are dealt anew.
+
+    scored: query_id, doc_id, host, defended, trust, n_words. All scored rows take part in the second round.
+    """
+    ranked = lambda rows: diversify(rows.withColumn("score", F.col("defended")), k)
+    seen = dominance(visibility(ranked(scored).withColumn("rank", F.col("place")))).where("alert")
+    least = scored.groupBy("query_id", "host").agg(F.min("trust").alias("least"))
+    bad = seen.join(least, (seen["query_id"] == least["query_id"]) & (seen["dominant_host"] == least["host"])).where(F.col("least") < risky).select(seen["query_id"], "host", F.lit(1 - penalty).alias("_by"))
+    again = scored.join(bad, ["query_id", "host"], "left").withColumn("defended", F.round(F.col("defended") * F.coalesce("_by", F.lit(1.0)), 9)).drop("_by")
+    return ranked(again)
+
+
+def exclusion_reasons(rows: DataFrame) -> Column:
+    """Why a passage lost its place. rows: baseline_rank, defended_rank, retrieve_permission, commercial_tier, coordinated."""
+    gone = F.col("baseline_rank").isNotNull() & F.col("defended_rank").isNull()
+    told = (
+        (gone & (F.col("retrieve_permission") == "downrank"), "low_trust_or_manipulation_risk"), (gone & F.col("commercial_tier").isin("medium", "high"), "commercial_influence"), (gone & F.col("coordinated"), "coordinated_cluster"),
+        (gone, "defense_rerank_excluded"), (F.col("defended_rank") > F.col("baseline_rank"), "downranked_by_defense"),
+    )
+    return F.array_compact(F.array(*(F.when(test, F.lit(name)) for test, name in told)))
+
+
+def first_rank(ranked: DataFrame) -> DataFrame:
+    """query_id, url, rank: the best place of each url."""
+    return ranked.groupBy("query_id", "url").agg(F.min("rank").alias("rank"))
