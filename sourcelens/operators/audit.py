@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourcelens import config as C
+from sourcelens.functions import urls as U
 
 
 def citation_share(records: DataFrame) -> DataFrame:
@@ -67,3 +68,29 @@ def role_share(cited: DataFrame) -> DataFrame:
 def top_risk(scored: DataFrame, k: int = 5) -> DataFrame:
     """The k pages with the highest retrieval_risk, each once: url, retrieval_risk, commercial_tier."""
     return scored.groupBy("url").agg(F.max_by(F.struct("retrieval_risk", "commercial_tier"), "retrieval_risk").alias("s")).select("url", "s.*").orderBy(F.desc("retrieval_risk"), "url").limit(k)
+
+
+def for_target(records: DataFrame, target: str) -> DataFrame:
+    """Records that cite a target's domain, with only those addresses left. records: cited_urls and any other columns."""
+    hits = F.filter("cited_urls", lambda u: U.registrable_domain(U.authority(u)).contains(target) | F.lower(u).contains(target))
+    return records.withColumn("cited_urls", hits).where(F.size("cited_urls") > 0)
+
+
+def referral_audit(records: DataFrame, target: str) -> DataFrame:
+    """One row: citations_sampled and citations_to_target among a log's distinct addresses."""
+    urls = records.select(F.explode("cited_urls").alias("url")).distinct()
+    hit = U.registrable_domain(U.authority(F.col("url"))).contains(target) | F.lower("url").contains(target)
+    return urls.agg(F.count(F.lit(1)).alias("citations_sampled"), F.count_if(hit).alias("citations_to_target"))
+
+
+def summary(records: DataFrame, scored: DataFrame, window_days: int = C.PERSISTENCE_DAYS) -> DataFrame:
+    """One row for a log: n_queries, mean_distance, pct_changed, persistence (null without two days), geo_risk_share, commercial_high_share.
+
+    records: query, paraphrase_of, ord, ts, cited_domains. scored: url, retrieval_risk, commercial_tier.
+    """
+    queries = records.agg(F.count_distinct("query").alias("n_queries"))
+    pairs = paraphrase_sensitivity(records.withColumn("domains", F.array_distinct("cited_domains")))
+    cited = persistence(records.select("query", "ts", F.explode("cited_domains").alias("domain")), window_days)
+    kept = cited.agg(F.round(F.try_divide(F.sum("hits"), F.sum("n")), 9).alias("persistence"))
+    one = queries.crossJoin(pairs).crossJoin(kept).crossJoin(risk_overlay(scored))  # one row each
+    return one.select("n_queries", "mean_distance", "pct_changed", "persistence", "geo_risk_share", "commercial_high_share")

@@ -42,3 +42,37 @@ def plant_stance(text: Column, flags: Column | None = None) -> Column:
         promoted = promoted | plain.rlike(pattern)
     planted = F.arrays_overlap(flags, F.array(F.lit("planted_mention"), F.lit("comparative_superlatives"))) if flags is not None else F.lit(False)
     return F.when(planted, "promotional").when(~plain.rlike(r"\S"), "unknown").when(promoted, "promotional").when(plain.rlike(C.COMPLAINT), "complaint").otherwise("neutral")
+
+
+def is_publisher(name: Column, site: Column, organization: Column, domain: Column) -> Column:
+    """A name that is the site's own: its name, organisation or domain, with or without spaces."""
+    bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    stem = F.lower(F.substring_index(domain, ".", 1))
+    alike = lambda c: (F.length(F.trim(F.coalesce(c, F.lit("")))) >= 3) & ((F.lower(F.trim(name)) == F.lower(F.trim(c))) | (bare(name) == bare(c)))
+    return F.coalesce(alike(site) | alike(organization) | alike(domain) | ((F.length(stem) >= 3) & (bare(name) == bare(stem))), F.lit(False))
+
+
+def brands(sources: DataFrame) -> DataFrame:
+    """Per scope the first source's product, else brand, that is usable and not its publisher: scope, brand.
+
+    sources: scope, ord, product, brand, site_name, organization, domain.
+    """
+    each = sources.select("*", F.posexplode(F.array("product", "brand")).alias("k", "name")).withColumn("name", F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), r"\s+", " ")))
+    fit = each.where((F.col("name") != "") & is_usable(F.col("name")) & ~is_publisher(F.col("name"), F.col("site_name"), F.col("organization"), F.col("domain")))
+    return fit.groupBy("scope").agg(F.min_by("name", F.struct("ord", "k")).alias("brand"))
+
+
+#: Roles that speak for a brand or for facts when a claim is named.
+COMMERCIAL, FACTUAL = ["commercial_product", "review_profile", "expert_listicle"], ["factual_blog", "institutional", "editorial"]
+
+
+def resolved_claim(intent: Column, topic: Column, brand: Column, shared: Column, roles: Column) -> Column:
+    """What a query's answer is about: brand, topic or shared name, by intent and by the roles of its sources."""
+    commercial = F.exists(roles, lambda r: r.isin(COMMERCIAL))
+    threads = (F.size(roles) > 0) & F.forall(roles, lambda r: r == "ugc_thread")
+    by_topic = F.coalesce(topic, brand, shared)
+    pick = (
+        F.when((intent == "commercial") & ~threads & brand.isNotNull() & (commercial | (F.size(roles) == 0)), brand).when(intent == "commercial", by_topic)
+        .when(intent.startswith("informational") & commercial & brand.isNotNull(), brand).when(intent == "navigational", F.coalesce(brand, topic, shared)).otherwise(by_topic)
+    )
+    return F.when(pick.isNotNull() & ~is_usable(pick) & topic.isNotNull(), topic).otherwise(pick)

@@ -9,7 +9,7 @@ from sourcelens import config as C
 from sourcelens.functions import text as T
 from sourcelens.functions import urls as U
 from sourcelens.operators import agreement, audit, claims, decisions, graph, impressions, pages, retrieval, signals, similarity, tiers, vectors
-from sourcelens.plans import decision_queries, referral_queries, role_sql, web_queries
+from sourcelens.plans import decision_queries, referral_queries, role_sql, sheet_queries, web_queries
 from sourcelens.sources import html
 from sourcelens.sources.tables import benchmark_queries, citation_log, table
 
@@ -205,7 +205,7 @@ QUERIES = {
         paragraph_impressions, shared_claims, plant_stances, domain_signals, domain_tiers, top_risk_pages,
     )
 }
-QUERIES |= decision_queries.QUERIES | web_queries.QUERIES | referral_queries.QUERIES
+QUERIES |= decision_queries.QUERIES | web_queries.QUERIES | referral_queries.QUERIES | sheet_queries.QUERIES
 
 _WORDS = lambda t: f"list_filter(string_split_regex({t}, '{SPACE_SQL}'), lambda x: x <> '')"
 _TFIDF = """
@@ -323,4 +323,4 @@ ORACLE_SQL = {
       CASE WHEN len(string_split(host, '.')) >= 4 AND NOT regexp_matches(host, '\\.(gov|edu)$') THEN 'deep_subdomain' END], lambda x: x IS NOT NULL), ',') AS flags
       FROM (SELECT page_id, url, lower(regexp_replace({role_sql.AUTHORITY}, '^.*@|:\\d*$', '', 'g')) AS host FROM pages)""",
 }
-ORACLE_SQL |= decision_queries.ORACLE_SQL | web_queries.ORACLE_SQL | referral_queries.ORACLE_SQL
+ORACLE_SQL |= decision_queries.ORACLE_SQL | web_queries.ORACLE_SQL | referral_queries.ORACLE_SQL | sheet_queries.ORACLE_SQL
