@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sourcelens import config as C
 from sourcelens.functions import text as T
+from sourcelens.operators import similarity
 
 #: Query terms are few (the queries' own words); up to so many rows they are broadcast, beyond that joined by shuffle.
 BROADCAST_TERMS = 500_000
@@ -20,10 +21,10 @@ def tfidf_scores(queries: DataFrame, passages: DataFrame) -> DataFrame:
     The query counts as one more document of its own corpus: its terms have a df one higher, and N is passages + 1. So
     a passage's norm depends on the query; it is the norm without the query, corrected at the terms they share.
     """
-    n = passages.count() + 1
+    n = passages.count() + 1  # postings are tokenised once and written: frequencies, norms and products all read them
     idf = lambda df: F.log(F.lit(1.0 + n) / (df + 1)) + 1
     terms = passages.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = terms.withColumn("tf", F.log("tf") + 1)
+    terms = similarity.written(terms.withColumn("tf", F.log("tf") + 1), "postings")
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = terms.join(df, "term")
     norms = weighed.groupBy("doc_id").agg(F.sum(F.pow(F.col("tf") * idf(F.col("df")), 2)).alias("norm2"))

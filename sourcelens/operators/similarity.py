@@ -16,10 +16,12 @@ _OWN: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the cluster's shared folder; a temporary one only where spark.checkpoint.dir is unset."""
+    """df as a Parquet table in the cluster's shared folder; a temporary one only where spark.checkpoint.dir is unset and all runs in this process (tests)."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sourcelens-core-"))
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
