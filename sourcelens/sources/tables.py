@@ -32,13 +32,38 @@ ANSWER_SCHEMA = "run_id string, timestamp string, engine string, query string, p
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines answer log; lines that don't parse come back as nulls and are dropped."""
-    return answer_log(spark.read.schema(ANSWER_SCHEMA).json(path).where("query is not null"))
+    """A JSON-lines answer log, with line, which grows with the place in a file; lines that don't parse come back as nulls and are dropped."""
+    rows = spark.read.schema(ANSWER_SCHEMA).json(path).withColumn("line", F.monotonically_increasing_id())
+    return answer_log(rows.where("query is not null"))
+
+
+def append_answers(records: DataFrame, path: str) -> None:
+    """Add records to an append-only JSON-lines log."""
+    records.select(*(c.split()[0] for c in ANSWER_SCHEMA.split(", "))).write.mode("append").json(path)
+
+
+def records(responses: DataFrame, run_id: str, engine: str, at) -> DataFrame:
+    """Log records of an engine's responses. responses: query, paraphrase_of, text, cited_urls (null: those of the text)."""
+    own = responses.select(F.lit(run_id).alias("run_id"), F.lit(at).cast("string").alias("timestamp"), F.lit(engine).alias("engine"), "query", "paraphrase_of", "text", F.lit(None).cast("array<string>").alias("cited_domains"), "cited_urls")
+    return answer_log(own)
+
+
+CITATIONS = "output array<struct<content array<struct<annotations array<struct<type string, url string>>>>>>, grounding array<struct<url string>>"
+
+
+def split_citations(responses: DataFrame) -> DataFrame:
+    """Adds cited_urls, which an answer names, and pool_urls, which it could draw on, from an engine's raw JSON; each in order and once."""
+    raw = F.from_json("raw", CITATIONS)
+    notes = F.flatten(F.transform(F.flatten(F.transform(raw["output"], lambda o: F.coalesce(o["content"], F.array()))), lambda c: F.coalesce(c["annotations"], F.array())))
+    kept = lambda urls: F.array_distinct(F.filter(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.coalesce(u, F.lit("")) != ""))
+    named = F.transform(F.filter(notes, lambda n: n["type"] == "url_citation"), lambda n: n["url"])
+    return responses.withColumns({"cited_urls": kept(named), "pool_urls": kept(F.transform(raw["grounding"], lambda g: g["url"]))})
 
 
 def replay(queries: DataFrame, answers: DataFrame, default_text: str = "") -> DataFrame:
-    """Each query with its last replayed answer; queries without one get the default text and no citations."""
-    last = answers.groupBy("query").agg(F.max_by(F.struct("text", "cited_urls", "cited_domains"), F.coalesce("timestamp", F.lit(""))).alias("a"))
+    """Each query with its last replayed answer, by line, else by timestamp; queries without one get the default text and no citations."""
+    order = F.col("line") if "line" in answers.columns else F.coalesce("timestamp", F.lit(""))
+    last = answers.groupBy("query").agg(F.max_by(F.struct("text", "cited_urls", "cited_domains"), order).alias("a"))
     none = F.array().cast("array<string>")
     return queries.join(last, "query", "left").select("query", F.coalesce("a.text", F.lit(default_text)).alias("text"), F.coalesce("a.cited_urls", none).alias("cited_urls"), F.coalesce("a.cited_domains", none).alias("cited_domains"))
 
