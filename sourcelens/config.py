@@ -128,15 +128,17 @@ COMPLAINT = (
 TITLE_CASE = r"\b([A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+){0,2})\b"
 INTERROGATIVES = ["what", "which", "who", "whom", "whose", "where", "when", "why", "how"]
 DANGLING = ["in", "for", "with", "and", "or", "to"]
-NAME_STOPWORDS = (
-    "a an the and or for to of in on at by with from your our my me you we is are was were be been what which who whom whose where when why how "
-    "this that these those right wrong information guide guides review reviews advice tips options picks list lists article blog post page home "
-    "official top updated contents forum forums community discussion thread threads topics topic directory"
-).split()
-WEAK_MARKERS = (
-    "topic topics forum forums community discussion thread threads index home top best reviews review guide blog news search login about contact "
-    "help faq menu categories category tags tag latest popular trending messages posts users members headphones laptop laptops earbuds software"
-).split()
+NAME_STOPWORDS = [
+    "a", "an", "the", "and", "or", "for", "to", "of", "in", "on", "at", "by", "with", "from", "your", "our", "my", "me", "you", "we", "is", "are", "was", "were", "be", "been",
+    "what", "which", "who", "whom", "whose", "where", "when", "why", "how", "this", "that", "these", "those", "right", "wrong", "information", "guide", "guides", "review",
+    "reviews", "advice", "tips", "options", "picks", "list", "lists", "article", "blog", "post", "page", "home", "official", "top", "updated", "contents", "forum", "forums",
+    "community", "discussion", "thread", "threads", "topics", "topic", "directory",
+]
+WEAK_MARKERS = [
+    "topic", "topics", "forum", "forums", "community", "discussion", "thread", "threads", "index", "home", "top", "best", "reviews", "review", "guide", "blog", "news", "search",
+    "login", "about", "contact", "help", "faq", "menu", "categories", "category", "tags", "tag", "latest", "popular", "trending", "messages", "posts", "users", "members",
+    "headphones", "laptop", "laptops", "earbuds", "software",
+]
 
 # Tiers of listed domains, worst first, and the actions that show a fault of the page itself.
 TIERS = ["very_high", "high", "medium", "review", "clean"]
