@@ -335,7 +335,7 @@ def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars:
     keeper = linked.groupBy("component").agg(F.min("first").alias("keep"))
     kept = linked.join(keeper, "component").select("h", "keep")
     keep = first.select("h", "first", "main_h2").join(kept, "h", "left").select("h", "main_h2", F.coalesce("keep", "first").alias("keep"))
-    lines = own.join(keep, "h")
+    lines = own.join(common.cut(keep, "keepers"), "h")  # a table, so that Spark can split the rows of a line that is everywhere
     if not first.where("last_h2 != main_h2").isEmpty():  # different lines of one h: the others are kept once each
         others = lines.where("h2 != main_h2").groupBy("h", "h2").agg(F.min(place).alias("other_first"))
         lines = lines.join(others, ["h", "h2"], "left").withColumn("keep", F.coalesce("other_first", "keep"))
