@@ -179,10 +179,11 @@ _PAIRS = f"""{_as_cte("s", _V)}, pairs AS (SELECT comparison, field, gold, pred
   e AS (SELECT comparison, field, sum((gm.c - pm.c) * (gm.c - pm.c) / ((k - 1) * (k - 1)) * ng * np) AS raw FROM gm JOIN pm USING (comparison, field) GROUP BY ALL),
   m AS (SELECT comparison, field, n, round(ok / n, 9) AS accuracy, round(f1, 9) AS macro_f1, round(CASE WHEN raw = 0 THEN CASE WHEN seen = 0 THEN 1 END ELSE 1 - seen / (raw / n) END, 9) AS kappa, round(near / n, 9) AS off_by_one FROM t JOIN f USING (comparison, field) JOIN e USING (comparison, field))"""
 _ENTITY = f"""SELECT 'https://t.org/' || doc_id % 17 AS target, 'https://r.org/' || doc_id % 5 AS referrer, 'e' || doc_id % 9 AS entity, {pick("doc_id * 7", *text(*labels.BUCKETS))} AS bucket, doc_id % 2 = 0 AS present, doc_id FROM documents"""
-_CITES = f"""{_as_cte("a", {c: e.replace("STRING", "VARCHAR") for c, e in CITED.items()})}, p AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x) <> '') AS s FROM a),
+_CITED = f"""p AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x) <> '') AS s FROM a),
   u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x, unnest(range(len(s))) AS i FROM p), c AS (SELECT doc_id, n, i, len(regexp_extract_all(x, '\\w{{3,}}')) AS w, regexp_extract_all(x, '\\[(\\d+)\\]', 1) AS cites FROM u),
   d AS (SELECT doc_id, CASE WHEN n > 1 THEN exp(-i / (n - 1)) ELSE 1 END AS decay, w, len(cites) AS k, unnest(cites)::INT AS source FROM c WHERE len(cites) > 0),
   z AS (SELECT doc_id, source, sum(w / k) AS a1, sum(decay / k) AS a2, sum(w * decay / k) AS a3 FROM d WHERE source BETWEEN 1 AND 5 GROUP BY ALL), slots AS (SELECT doc_id, r.s AS source FROM a, range(1, 6) r(s))"""
+_CITES = f"""{_as_cte("a", {c: e.replace("STRING", "VARCHAR") for c, e in CITED.items()})}, {_CITED}"""
 _share = lambda c: f"round(coalesce(coalesce({c}, 0) / nullif(sum({c}) OVER (PARTITION BY doc_id), 0), 0.2), 9)"
 _T = {c: e.replace("STRING", "VARCHAR") for c, e in TIERED.items()}
 _TIER = doubles(f"""{_as_cte("t0", _T)}, t1 AS (SELECT *, coalesce(suspected, false) OR n_high_risk >= 2 OR coordinated AS referred, coalesce(llm_action IN ({", ".join(repr(a) for a in C.HARD_ACTIONS)}), false) AND NOT referred AS ph,
@@ -213,6 +214,7 @@ ORACLE_SQL = {
     "entity_choices": f"""WITH e AS ({_ENTITY}), k AS (SELECT *, row_number() OVER (PARTITION BY target, referrer ORDER BY list_position([{", ".join(repr(b) for b in labels.BUCKETS)}], bucket), NOT present, doc_id) AS k FROM e) SELECT target, referrer, entity, bucket FROM k WHERE k = 1""",
     "latest_and_missing": "WITH l AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id) SELECT * FROM l WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0)",
     "cited_impressions": f"WITH {_CITES} SELECT doc_id AS answer_id, source, {_share('a1')} AS by_words, {_share('a2')} AS by_position, {_share('a3')} AS by_both FROM slots LEFT JOIN z USING (doc_id, source)",
+    "answer_impressions": f"WITH a AS (SELECT conv_id * 100000 + turn AS doc_id, coalesce(text, '') AS answer FROM conversations WHERE role = 'assistant'), {_CITED} SELECT doc_id AS answer_id, source, {_share('a1')} AS by_words, {_share('a2')} AS by_position, {_share('a3')} AS by_both FROM slots LEFT JOIN z USING (doc_id, source)",
     "rewrite_gains": f"""WITH {_as_cte("r", {"query_id": "doc_id % 8", "method": pick("doc_id", "NULL", "'quotes'", "'stats'"), "source": "doc_id % 5", "score": "(doc_id * 17 % 50) / 1e2", "idx": "(doc_id % 8) % 5"})}, m AS (SELECT query_id, method, source, avg(score) AS a, max(idx) AS idx FROM r GROUP BY ALL),
       g AS (SELECT m.query_id, m.method, m.source, m.idx, m.a - b.a AS gain FROM m JOIN m b ON b.query_id = m.query_id AND b.source = m.source AND b.method IS NULL WHERE m.method IS NOT NULL)
       SELECT query_id, method, source, round(gain, 9) AS gain, coalesce(max(CASE WHEN source = idx THEN gain > 0 END) OVER (PARTITION BY query_id, method), false) AS wins FROM g""",
