@@ -75,3 +75,10 @@ def leaderboard(rows: DataFrame, metrics: list[str], by: str) -> DataFrame:
     """Mean of each metric per method in percent to one decimal, the best by `by` first. rows: method and the metrics."""
     means = rows.groupBy("method").agg(*(F.avg(m).alias(m) for m in metrics)).orderBy(F.desc(by), "method")
     return means.select("method", *(F.round(F.col(m) * 100, 1).alias(m) for m in metrics))
+
+
+def subjective(scores: DataFrame, names: list[str]) -> DataFrame:
+    """answer_id, source, the mean of each judged score and subjective, their mean; nulls, which a judge left out, don't count. scores: answer_id, source and the names."""
+    means = scores.groupBy("answer_id", "source").agg(*(F.round(F.avg(n), 9).alias(n) for n in names))
+    given = F.array_compact(F.array(*names))
+    return means.withColumn("subjective", F.round(F.try_divide(F.aggregate(given, F.lit(0.0), lambda a, x: a + x), F.size(given)), 9))

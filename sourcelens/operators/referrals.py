@@ -217,3 +217,14 @@ def thawed(rows: DataFrame) -> DataFrame:
     """Profiles from frozen() ones; what doesn't parse counts as skipped."""
     out = rows.select("target_id", F.from_json("profile", FROZEN).alias("p"))
     return out.select("target_id", F.coalesce("p.status", F.lit("skipped")).alias("status"), *(F.col(f"p.{c.split()[0]}").alias(c.split()[0]) for c in FROZEN.split(", ")[2:]))
+
+
+def with_content(referrers: DataFrame, candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """Verified referrers with their excerpt's candidate and score, by address whatever its case and last slash; nulls where there is none.
+
+    All: target_id, url. candidates: manipulability, excerpt. scores: semantic_risk, high_risk, stance.
+    """
+    key = lambda df: df.withColumn("_key", F.lower(F.regexp_replace("url", "/+$", "")))
+    one = lambda df, *names: key(df).groupBy("target_id", "_key").agg(*(F.first(n).alias(n) for n in names))
+    out = key(referrers).join(one(candidates, "manipulability", "excerpt"), ["target_id", "_key"], "left").join(one(scores, "semantic_risk", "high_risk", "stance"), ["target_id", "_key"], "left")
+    return out.drop("_key")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourcelens import config as C
 from sourcelens.functions import fetch
 from sourcelens.functions import urls as U
-from sourcelens.operators import graph
+from sourcelens.operators import graph, seeds
 from sourcelens.plans import role_sql
 from sourcelens.plans.sheet import pick, text
 from sourcelens.sources.tables import table
@@ -90,7 +90,21 @@ def referral_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join("names", ",").alias("names"), tie["kind"].alias("kind"), tie["confidence"].alias("confidence"), tie["marker"].alias("marker"), U.is_near_miss(blob, F.col("names")).alias("near_miss"))
 
 
-QUERIES = {f.__name__: f for f in (url_facts, fetch_verdicts, broken_links, distinct_urls, text_links, link_promotion, referral_ties)}
+META = {
+    "title": pick("doc_id * 3", *text("Steam Kettle | Acme", "The Best Tea", "", "Reviews", "Green Tea - Teahouse")), "site_name": pick("doc_id", *text("", "Acme", "")), "organization": pick("doc_id", *text("", "Bolt", "", "")),
+    "brand": pick("doc_id", *text("", "Theo Grace", "Acme", "best", "")), "product": pick("doc_id", *text("", "Steam Kettle", "Acme", "topics", "", "", "Kettle 900")),
+}
+ROLE = pick("doc_id", *text("commercial_product", "editorial", "institutional", "ugc_thread", "factual_blog", "expert_listicle"))
+
+
+def seed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = web(spark, sf_dir).drop("title").selectExpr("*", *(f"{e} AS {c}" for c, e in META.items()), f"{ROLE} AS role").withColumn("text", F.col("content"))
+    rows = seeds.metadata(rows)
+    own = seeds.seeds(F.col("role"))
+    return rows.select("doc_id", "entity", "org", "category", "topic", "price", seeds.confidence(F.col("role")).alias("confidence"), F.array_join(own, "|").alias("seeds"), F.array_join(seeds.with_forums(own), "|").alias("forums"), F.array_join(seeds.with_names(own, F.array(F.lit("tg jewels"), F.lit("Acme"))), "|").alias("names"))
+
+
+QUERIES = {f.__name__: f for f in (seed_queries, url_facts, fetch_verdicts, broken_links, distinct_urls, text_links, link_promotion, referral_ties)}
 
 _q = lambda s: s.replace("'", "''")
 _any = lambda t, snippets: "(" + " OR ".join(f"contains({t}, '{_q(s)}')" for s in snippets) + ")"
@@ -116,7 +130,37 @@ _MARKERS = f"""base AS (SELECT doc_id, other, content, string_split({_OTHER}, '.
     {_OTHER} AS domain, lower(regexp_extract(other, '^https?://[^/]+(/[^?]*)?', 1)) AS p, lower(regexp_replace(other, '/+$', '')) AS link, lower(regexp_replace(other, '^https?://', '')) AS host_path FROM n),
   c AS (SELECT *, list_filter(names, lambda x: contains(blob, x))[1] AS named, trim(p, '/') AS bare, list_concat(names, list_filter(flatten(list_transform(names, lambda x: string_split_regex(x, '[\\s_/-]+'))), lambda x: length(x) >= 4)) AS parts FROM k)"""
 
+_CATEGORY = f"""coalesce(trim(replace(replace(list_filter(string_split({role_sql.PATH}, '/'), lambda p: starts_with(p, 'best-') OR starts_with(p, 'the-best-'))[1], '-', ' '), 'the ', '')), {_ASKED("keywords")}, {_ASKED("q")}, {_ASKED("search")}, 'product')"""
+_PRICE = f"""coalesce({", ".join(f"nullif(regexp_extract(lower(content[1:500] || ' ' || url), '{p}', 1), '')" for p in C.PRICE_HINTS)}, '1000')"""
+
+
+def _usable(c: str) -> str:
+    w = f"string_split_regex(lower({c}), '\\s+')"
+    own = f"len(list_filter({w}, lambda x: x NOT IN ({_in(C.NAME_STOPWORDS)}) AND NOT regexp_full_match(x, '\\d+')))"
+    return f"CASE WHEN length({c}) >= 4 AND {w}[1] NOT IN ({_in(C.INTERROGATIVES)}) AND {w}[-1] NOT IN ({_in(C.DANGLING)}) AND {own} > 0 AND (len({w}) < 2 OR {own} * 2 > len({w})) AND lower({c}) NOT IN ({_in(C.WEAK_MARKERS)}) THEN {c} END"
+
+
+def _fill(templates: list[str], category: str) -> str:
+    out = []
+    for t in templates:
+        e = f"'{t}'"
+        for name in ("entity", "category", "topic", "price", "org"):
+            if f"{{{name}}}" in t:
+                e = f"replace({e}, '{{{name}}}', {category if name == 'category' else name})"
+        out.append(f"trim({e})")
+    return "[" + ", ".join(out) + "]"
+
+
+_FIRST = lambda lists, most=12: f"list_filter({lists}, lambda x, i: list_position({lists}, x) = i)[1:{most}]"
+_SEEDS = f"""m0 AS (SELECT doc_id, url, other, content, {", ".join(f"{e} AS {c}" for c, e in META.items())}, {ROLE} AS role, {_CATEGORY} AS category, {_PRICE} AS price, string_split({_DOMAIN}, '.')[1] AS pub, {_DOMAIN} AS domain FROM web),
+  m1 AS (SELECT *, nullif(trim(regexp_replace(title, '\\s*[|-].*$', '')), '') AS short, coalesce(nullif(organization, ''), nullif(site_name, ''), nullif(brand, ''), pub) AS org, CASE WHEN lower(product) <> lower(coalesce(nullif(organization, ''), nullif(site_name, ''), nullif(brand, ''), pub)) AND lower(product) <> lower(brand) THEN nullif(product, '') END AS thing FROM m0),
+  m2 AS (SELECT *, coalesce({_usable("thing")}, {_usable("nullif(brand, '')")}, {_usable("short")}, {_usable("org")}, pub) AS entity, coalesce(short, category) AS topic, trim(regexp_replace(category, '^best ', '')) AS cat, trim(regexp_replace(trim(regexp_replace(category, '^best ', '')), '\\s+forums?$', '')) AS fcat FROM m1),
+  m3 AS (SELECT *, list_concat(CASE role WHEN 'commercial_product' THEN {_fill(seeds.PRODUCT, "cat")} WHEN 'editorial' THEN {_fill(seeds.EDITORIAL, "cat")} WHEN 'institutional' THEN {_fill(seeds.INSTITUTIONAL, "cat")} ELSE {_fill(seeds.INFORMATIONAL, "cat")} END,
+    CASE WHEN role IN ({_in(seeds.DISCUSSED)}) THEN {_fill(seeds.DISCUSSION, "cat")} ELSE [] END) AS raw FROM m2), m4 AS (SELECT *, {_FIRST("raw")} AS own FROM m3),
+  m5 AS (SELECT *, list_concat({_fill(seeds.FORUMS, "fcat")}, own) AS f, list_concat([entity, entity || ' reviews', domain], list_filter(['tg jewels', 'Acme'], lambda a: lower(a) <> lower(entity)), own) AS n FROM m4)"""
+
 ORACLE_SQL = {
+    "seed_queries": f"WITH {SQL}, {_SEEDS} SELECT doc_id, entity, org, category, topic, price, CASE WHEN role IN ('commercial_product', 'editorial') THEN 'high' WHEN role IN ('institutional', 'factual_blog') THEN 'medium' ELSE 'low' END AS confidence, array_to_string(own, '|') AS seeds, array_to_string({_FIRST('f')}, '|') AS forums, array_to_string({_FIRST('n')}, '|') AS names FROM m5",
     "url_facts": f"""WITH {SQL} SELECT doc_id, {_HOST} AS host, {_DOMAIN} AS domain, CASE WHEN {_HOST} IN ({_in(C.NEWS_HOSTS)}) THEN {_HOST} ELSE array_to_string(string_split({_HOST}, '.')[-2:], '.') END AS apex, {_NEWS} AS news, {role_sql.page_role()} AS role,
       {role_sql.page_role()} = 'ugc_thread' AS ugc, {role_sql.OPEN_POSTING} AS open_posting, {role_sql.OPEN_POSTING} OR {role_sql.PUBLISH} OR {role_sql.DIRECTORY} OR {role_sql.page_role()} IN ('review_profile', 'ugc_thread') OR ({role_sql.page_role()} = 'factual_blog' AND doc_id % 2 = 0) AS parasitic,
       lower(url_decode(regexp_replace(url, '/+$', ''))) AS normalised,

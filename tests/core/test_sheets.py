@@ -101,3 +101,29 @@ def test_query_front_load(spark):
     rows = [("the best kettle for tea", "kettle tea " + words), ("kettle", words + "kettle"), ("a of", words), ("kettle", "kettle kettle"), (None, words)]
     got = [r.front_load for r in signals.content_signals(spark.createDataFrame(rows, "query string, text string"), query="query").collect()]
     assert got == [1.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_fetch_outcomes_join_parsed_pages(spark):
+    from sourcelens.sources import html
+
+    body = "<title>T</title><p>" + "word " * 40 + "</p>"
+    pages = spark.createDataFrame([(f"https://a.com/{k}", body) for k in range(4)], "url string, html string")
+    outcomes = spark.createDataFrame([("https://a.com/0", 200), ("https://a.com/1", 403), ("https://a.com/2", None)], "url string, status_code int")
+    got = {r.url[-1]: (r.ok, r.error, r.broken_link_ratio, len(r.text) > 0) for r in html.fetched(html.parse_pages(pages), outcomes).collect()}
+    assert got == {"0": (True, None, 0.0, True), "1": (False, "403", 0.0, True), "2": (False, "no response", 1.0, False), "3": (False, "no response", 1.0, False)}
+
+
+def test_referrers_with_their_content(spark):
+    own = spark.createDataFrame([(1, "https://A.com/x/"), (1, "https://b.com")], "target_id int, url string")
+    cand = spark.createDataFrame([(1, "https://a.com/x", 0.5, "e")], "target_id int, url string, manipulability double, excerpt string")
+    scores = spark.createDataFrame([(1, "https://a.com/X", 0.4, True, "neutral")], "target_id int, url string, semantic_risk double, high_risk boolean, stance string")
+    got = {r.url: (r.excerpt, r.stance, r.high_risk) for r in referrals.with_content(own, cand, scores).collect()}
+    assert got == {"https://A.com/x/": ("e", "neutral", True), "https://b.com": (None, None, None)}
+
+
+def test_subjective_scores(spark):
+    from sourcelens.operators import impressions
+
+    rows = spark.createDataFrame([(1, 1, 2.0, None), (1, 1, 4.0, 5.0), (1, 2, None, None)], "answer_id int, source int, relevance double, influence double")
+    got = {r.source: (r.relevance, r.influence, r.subjective) for r in impressions.subjective(rows, ["relevance", "influence"]).collect()}
+    assert got == {1: (3.0, 5.0, 4.0), 2: (None, None, None)}
