@@ -87,9 +87,9 @@ def concealment(parsed: DataFrame) -> DataFrame:
     """
     joined = lambda parts: F.array_join(F.transform(parts, lambda b: b["text"]), " ")
     low = lambda text: T.plain(F.coalesce(text, F.lit("")))
-    out = parsed.withColumn("_visible", low(F.col("text")))
+    out = parsed.withColumns({"_visible": low(F.col("text")), "_seen": schema.token_set(F.col("text"))})
     out = out.withColumn("_blocks", F.filter("blocks", lambda b: ~b["reader"] | instructs(low(b["text"]))))
-    counts = lambda c: ~c["channel"].startswith("meta:") | schema.meta_diverges(c["text"], F.col("text"), instructs(low(c["text"])))
+    counts = lambda c: ~c["channel"].startswith("meta:") | schema.meta_diverges(c["text"], F.col("_seen"), instructs(low(c["text"])))
     out = out.withColumn("_parts", F.filter("channels", counts))
     told = lambda c: c["channel"].startswith("meta:") | instructs(low(c["text"])) | ((c["channel"] == "application/ld+json") & schema.sells_software(c["text"]))
     out = out.withColumn("_flagged", F.filter("_parts", told))
@@ -115,13 +115,13 @@ def concealment(parsed: DataFrame) -> DataFrame:
             flag(in_visible, "visible_instruction_pattern"), flag(promotes, "promotional_instruction_pattern"),
         )
     )
-    flags = F.concat(flags, schema.mismatch_flags(F.col("ld_nodes"), F.col("text")), F.when(F.col("paywalled"), F.array(F.lit("paywall_suspected"))).otherwise(F.array().cast("array<string>")))
+    flags = F.concat(flags, schema.mismatch_flags(F.col("ld_nodes"), F.col("text"), F.col("_seen")), F.when(F.col("paywalled"), F.array(F.lit("paywall_suspected"))).otherwise(F.array().cast("array<string>")))
     source = F.filter(F.transform(F.concat(F.transform("_blocks", lambda b: b["text"]), F.transform("_parts", lambda c: c["text"])), lambda t: F.when(instructs(low(t)), t)), lambda t: t.isNotNull())
     longest = F.get(F.array_sort(F.transform("_blocks", lambda b: F.struct((-T.word_count(b["text"])).alias("n"), b["text"].alias("text")))), F.lit(0))["text"]
     excerpt = F.coalesce(F.get(source, F.lit(0)), F.when(in_visible, instruction_excerpt(F.col("text"))), longest, F.get("_flagged", F.lit(0))["text"], F.lit(""))
     total = F.greatest(F.col("hidden_words") + T.word_count(F.col("text")), F.lit(1))
     out = out.withColumns({"hidden_ratio": F.round(F.col("hidden_words") / total, 4), "concealment_flags": flags, "concealment_excerpt": F.substring(excerpt, 1, 300)})
-    return out.withColumn("concealment_risk", concealment_risk(F.col("concealment_flags"))).drop("_visible", "_blocks", "_parts", "_flagged", "_open", "_chrome", "_hidden", "_r_open", "_r_chrome", "_r_visible")
+    return out.withColumn("concealment_risk", concealment_risk(F.col("concealment_flags"))).drop("_visible", "_seen", "_blocks", "_parts", "_flagged", "_open", "_chrome", "_hidden", "_r_open", "_r_chrome", "_r_visible")
 
 
 def instruction_excerpt(text: Column, most: int = 300) -> Column:

@@ -27,9 +27,10 @@ def overlap(needle: Column, tokens: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(own, tokens)), F.size(own)), F.lit(1.0))
 
 
-def meta_diverges(meta: Column, visible: Column, instructs: Column) -> Column:
+def meta_diverges(meta: Column, seen: Column, instructs: Column) -> Column:
+    """seen: the visible text's token_set()."""
     own = token_set(meta)
-    return instructs | ((F.size(own) >= 5) & (overlap(meta, token_set(visible)) < 0.25))
+    return instructs | ((F.size(own) >= 5) & (overlap(meta, seen) < 0.25))
 
 
 def is_stuffed(text: Column) -> Column:
@@ -56,9 +57,12 @@ def sells_software(text: Column) -> Column:
     return fetch.holds(low, C.PAYMENT_WORDS) | (F.replace(low, F.lit(" "), F.lit("")).contains("softwareapplication") & (low.contains("offer") | low.contains("price")))
 
 
-def mismatch_flags(nodes: Column, visible: Column) -> Column:
-    """schema_ flags, in order; of the two about answers and of the two about ratings at most one."""
-    seen, n_visible = token_set(visible), T.word_count(visible)
+def mismatch_flags(nodes: Column, visible: Column, seen: Column) -> Column:
+    """schema_ flags, in order; of the two about answers and of the two about ratings at most one.
+
+    seen: the visible text's token_set(), as a column of its own, so that it is made once a page and not for each answer.
+    """
+    n_visible = T.word_count(visible)
     has = lambda node, kinds: F.arrays_overlap(node["types"], F.array(*map(F.lit, kinds)))
     all_chunks = F.flatten(F.transform(nodes, lambda x: x["chunks"]))
     low = F.transform(all_chunks, F.lower)

@@ -146,7 +146,7 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = pages.concealment(pages.page_context(html.parse_pages(table(spark, sf_dir, "pages"))))
+    parsed = similarity.written(pages.concealment(pages.page_context(html.parse_pages(table(spark, sf_dir, "pages")))), "pages")
     rows = signals.content_signals(parsed).withColumn("query", F.col("title")).withColumn("intent", U.query_intent(F.col("title")))
     rows = rows.withColumn("hidden_instruction", F.array_contains("concealment_flags", "hidden_instruction_pattern"))
     rows = rows.withColumn("trust", signals.trust_score(rows))
