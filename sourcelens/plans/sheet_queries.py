@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcelens import config as C
-from sourcelens.functions import urls as U
 from sourcelens.operators import audit, claims, impressions, labels, rewrites, tiers
 from sourcelens.plans import role_sql, sheet
 from sourcelens.plans.decision_queries import doubles
