@@ -1,6 +1,7 @@
 """Queries of this subpackage by name, and the SQL that says the same where SQL can."""
 
 from sourcelens.llm.benchmark import OP9_SQL, op9_decontamination
+from sourcelens.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from sourcelens.llm.licenses import op8_licenses
 from sourcelens.llm.lines import op2_lines
 from sourcelens.llm.packing import op10_packing
@@ -22,8 +23,10 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_embeddings": OP7_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
