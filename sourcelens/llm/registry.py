@@ -9,6 +9,7 @@ from sourcelens.llm.resampling import op3_resampling
 from sourcelens.llm.simhash import op5_simhash
 from sourcelens.llm.suffix import op1_suffix_array
 from sourcelens.llm.token_files import op4_token_files
+from sourcelens.llm.token_counts import op12_token_counts
 from sourcelens.llm.toxicity import op6_toxicity
 from sourcelens.llm.vectors import OP7_SQL, op7_embeddings
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_embeddings": OP7_SQL,
