@@ -1,6 +1,7 @@
 """Queries of this subpackage by name, and the SQL that says the same where SQL can."""
 
 from sourcelens.llm.benchmark import OP9_SQL, op9_decontamination
+from sourcelens.llm.conversations import op13_conversations
 from sourcelens.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from sourcelens.llm.licenses import op8_licenses
 from sourcelens.llm.lines import op2_lines
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_counts": op12_token_counts,
+    "op13_conversations": op13_conversations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_embeddings": OP7_SQL,
