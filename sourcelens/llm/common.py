@@ -210,6 +210,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", contracted: bool =
         drop(old)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with marks before it: no column of df, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Stands for a null doc_id inside an operator, so that such rows are kept like any other.
 NULL_ID = -(2**63)
 

@@ -134,18 +134,29 @@ def _occurrences(least: int):
     return run
 
 
-def _distinct(piece: pa.RecordBatch, least: int) -> tuple[np.ndarray, list[str]]:
-    """The distinct lines that take part and have shingles, and their hashes."""
+#: Lines that a task remembers at most, so as to hand on each but once; beyond, it begins anew.
+REMEMBERED = 400_000
+
+
+def _distinct(piece: pa.RecordBatch, least: int, seen: set[bytes]) -> tuple[np.ndarray, list[str]]:
+    """The distinct lines that take part, have shingles and were not seen before, and their hashes."""
     least = max(least, SHINGLE)
     found = list({line: None for text in piece.column("text").to_pylist() for line in split_lines(text) if len(line) >= least})
-    return line_hashes(found), found
+    digests = list(map(xxhash.xxh3_128_digest, found))
+    new = [k for k, d in enumerate(digests) if d not in seen]
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    seen.update(digests)
+    raw = b"".join(digests[k] for k in new)
+    return np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, 2), [found[k] for k in new]
 
 
 def _bands(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for piece in common.slices(batch, "text", 2 << 20):
-                h, found = _distinct(piece, least)
+                h, found = _distinct(piece, least, seen)
                 if found:
                     keys = band_keys(signatures(found))
                     h = np.repeat(h[:, 0], BANDS)
@@ -156,9 +167,10 @@ def _bands(least: int):
 
 def _texts(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for piece in common.slices(batch, "text", 4 << 20):
-                h, found = _distinct(piece, least)
+                h, found = _distinct(piece, least, seen)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(found, pa.string())], ["h", "h2", "line_text"])
 
     return run
@@ -298,35 +310,41 @@ def _forest_of(links):
     return lambda batches: common.forest(links(batches))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row: 0 where no other row has the doc_id, else a number that grows with the text; such rows are written, so that it stays."""
-    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID))
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column more, and its name: 0 where no other row has the doc_id, else a number that grows with the text; such rows are written, so that it stays."""
+    name, own = common.fresh(docs, "_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID))
     many = common.cut(docs.groupBy(own.alias("_many")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_many"), "repeated")
     if many.isEmpty():
-        return docs.withColumn("_row", F.lit(0).cast("long"))
+        return docs.withColumn(name, F.lit(0).cast("long")), name
     some = docs.join(many, own == many["_many"], "left_semi").orderBy(own, docs["text"])
-    some = common.cut(some.withColumn("_row", F.monotonically_increasing_id() + 1), "repeated-rows")
-    return docs.join(many, own == many["_many"], "left_anti").withColumn("_row", F.lit(0).cast("long")).union(some)
+    some = common.cut(some.withColumn(name, F.monotonically_increasing_id() + 1), "repeated-rows")
+    return docs.join(many, own == many["_many"], "left_anti").withColumn(name, F.lit(0).cast("long")).union(some), name
+
+
+#: Bytes of text whose lines' band keys go to one task: seven times as many bytes at most, for lines of 30 characters.
+BAND_BYTES = 16 << 20
 
 
-def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, cell: int = 2000) -> DataFrame:
+def line_occurrences(docs: DataFrame, row: str, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, cell: int = 2000) -> DataFrame:
     """Every line that takes part, and a row for each document with line = -1 - its number of lines.
 
-    docs are numbered(). Columns doc_id, row, line, removed; doc_id stands for null as in common.keyed.
+    docs are numbered(), row is their number's column. Columns doc_id, row, line, removed; doc_id stands for null as in common.keyed.
     """
-    base = common.keyed(docs, "_row")
+    base = common.keyed(docs, row).withColumnRenamed(row, "_row")
     seen = common.cut(base.mapInArrow(_occurrences(min_chars), "doc_id long, row long, line long, h long, h2 long"), "lines")
     bands = base.select("text").mapInArrow(_bands(min_chars), "key long, h long")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = common.parts_for(common.text_bytes(base), BAND_BYTES)
     met = common.cut(bands.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(shared, "key long, h long"), "bands")
     cells = common.dealt_once(met, ["key"], "h", cell)
     cells = common.cut(cells, "cells")
+    common.drop(met)
     wanted = cells.select("h").distinct()
     texts = base.select("text").mapInArrow(_texts(min_chars), "h long, h2 long, line_text string").join(wanted.hint("shuffle_hash"), "h", "left_semi")
     texts = texts.groupBy("h").agg(F.min_by("line_text", "h2").alias("line_text"))
     keys = ["key", "cell_a", "cell_b"]
     edges = cells.join(texts, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_forest_of(_verified(similarity)), "u long, v long")
     parts = common.components(edges, "u", "v", contracted=True)
+    common.drop(cells)
     parts = parts.union(parts.select(F.col("component").alias("node"), "component").distinct())  # the least nodes too
     own, place = seen.where("h is not null"), F.struct("doc_id", "row", "line")
     first = own.groupBy("h").agg(F.min(F.struct("h2", "doc_id", "row", "line")).alias("first"), F.max("h2").alias("last_h2"))
@@ -345,7 +363,7 @@ def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY, min_chars:
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending)."""
-    rows = line_occurrences(numbered(docs), **options)
+    rows = line_occurrences(*numbered(docs), **options)
     out = rows.groupBy("doc_id", "row").agg(
         F.sum(F.when(F.col("line") < 0, -F.col("line") - 1).otherwise(0)).alias("n_lines"),
         F.count_if("removed").alias("n_removed"),
@@ -356,10 +374,10 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with the removed lines gone from text (and n_chars set anew); documents that lose all their text go."""
-    names, docs = docs.columns, numbered(docs)
-    marks = line_occurrences(docs, **options).where("removed").groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
+    names, (docs, row) = docs.columns, numbered(docs)
+    marks = line_occurrences(docs, row, **options).where("removed").groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
     gone, own = marks["gone"], F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID))
-    joined = docs.join(marks, (own == marks["doc_id"]) & (docs["_row"] == marks["row"]), "left")
+    joined = docs.join(marks, (own == marks["doc_id"]) & (docs[row] == marks["row"]), "left")
     lines = F.split(docs["text"], "\n")
     left = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), gone)
     rest = F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n")

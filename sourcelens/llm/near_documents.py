@@ -109,9 +109,10 @@ def links(base: DataFrame, similarity: float, words: int, cell: int) -> DataFram
     groups = simhash.near_components(signed.select(F.col("h").alias("doc_id"), "fp"))
     stars = common.cut(groups.where("doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct(), "stars")
     bands = signed.select(F.explode("keys").alias("key"), "h")
-    parts = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = common.parts_for(signed.count(), 100_000)
     met = common.cut(bands.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(lines.shared, "key long, h long"), "bands")
     cells = common.cut(common.dealt_once(met, ["key"], "h", cell), "cells")
+    common.drop(met)
     wanted = cells.select("h").union(stars.select("u")).union(stars.select("v")).distinct()
     texts = base.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("h2", "text")).alias("t")).select("h", "t.text")
     sets = common.cut(texts.mapInArrow(_sets(words), "h long, shingles binary"), "shingles")

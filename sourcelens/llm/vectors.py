@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ COSINE, BLOCKS, SEED = 0.93, 4, 11
 SLACK = 1e-9
 
 
+@lru_cache(8)
 def rotation(dims: int, seed: int = SEED) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
@@ -80,31 +82,39 @@ def _placed(cosine: float, blocks: int):
     return run
 
 
-def _passes(left: np.ndarray, right: np.ndarray, dims: int, blocks: int, block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within this block's budget, in no earlier block's, and with the cosine."""
-    a, b = _bounds(dims, blocks)[block]
-    turn = rotation(dims)
-    lu, ru = _unit(left), _unit(right)
-    lt, rt = lu @ turn, ru @ turn
-    budget = lambda a, b: (2 - 2 * cosine) * (b - a) / dims + SLACK
-    square = (lt[:, a:b] ** 2).sum(1)[:, None] + (rt[:, a:b] ** 2).sum(1)[None, :] - 2 * lt[:, a:b] @ rt[:, a:b].T
-    i, j = np.nonzero(square <= budget(a, b) + SLACK)
-    if len(i):
-        good = np.einsum("ij,ij->i", lu[i], ru[j]) >= cosine - SLACK
-        i, j = i[good], j[good]
-        exact = (left[i] * right[j]).sum(axis=1) / (np.sqrt((left[i] ** 2).sum(axis=1)) * np.sqrt((right[j] ** 2).sum(axis=1)))
-        i, j = i[exact >= cosine], j[exact >= cosine]
-    for k, (c, d) in enumerate(_bounds(dims, blocks)[: block + 1]):
-        near = ((lt[i, c:d] - rt[j, c:d]) ** 2).sum(axis=1) <= budget(c, d)
-        keep = near if k == block else ~near
-        i, j = i[keep], j[keep]
-    return i, j
+class _Group:
+    """Vectors of one cell: as they are, as units, and turned."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw, self.unit = raw, _unit(raw)
+        self.turned = self.unit @ rotation(raw.shape[1])
+        self.norm = np.sqrt((raw * raw).sum(axis=1))
+
+    def passes(self, left: np.ndarray, right: np.ndarray, bounds: list[tuple[int, int]], block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows within this block's budget, in no earlier block's, and with the cosine."""
+        dims = self.raw.shape[1]
+        budget = lambda k: (2 - 2 * cosine) * (bounds[k][1] - bounds[k][0]) / dims + SLACK
+        a, b = bounds[block]
+        lt, rt = self.turned[left, a:b], self.turned[right, a:b]
+        square = (lt**2).sum(1)[:, None] + (rt**2).sum(1)[None, :] - 2 * lt @ rt.T
+        i, j = np.nonzero(square <= budget(block) + SLACK)
+        i, j = left[i], right[j]
+        if len(i):
+            good = np.einsum("ij,ij->i", self.unit[i], self.unit[j]) >= cosine - SLACK
+            i, j = i[good], j[good]
+            good = (self.raw[i] * self.raw[j]).sum(axis=1) / (self.norm[i] * self.norm[j]) >= cosine
+            i, j = i[good], j[good]
+        for k, (c, d) in enumerate(bounds[: block + 1]):
+            near = ((self.turned[i, c:d] - self.turned[j, c:d]) ** 2).sum(axis=1) <= budget(k)
+            keep = near if k == block else ~near
+            i, j = i[keep], j[keep]
+        return i, j
 
 
 def _joined(cosine: float, blocks: int, tile: int = 512):
     keys = ["label", "dims", "block", "x", "cell_a", "cell_b"]
 
-    def pairs(raw, y, wide, home, side, a_side, b_side, dims, block):
+    def pairs(group, y, wide, home, side, a_side, b_side, bounds, block):
         """Tiles of (rows, rows): home with home once, home with guests; across sides both ways. Rows are in order of y."""
         mine, guests = np.flatnonzero(home), np.flatnonzero(~home)
         if a_side == b_side:
@@ -118,10 +128,10 @@ def _joined(cosine: float, blocks: int, tile: int = 512):
                     l, r = left[p : p + tile], right[q : q + tile]
                     if y[l[0]] - y[r[-1]] > wide or y[r[0]] - y[l[-1]] > wide:
                         continue
-                    i, j = _passes(raw[l], raw[r], dims, blocks, block, cosine)
+                    i, j = group.passes(l, r, bounds, block, cosine)
                     if same and p == q:
                         i, j = i[i < j], j[i < j]
-                    yield l[i], r[j]
+                    yield i, j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in common.gathered(batches, keys):
@@ -134,15 +144,15 @@ def _joined(cosine: float, blocks: int, tile: int = 512):
                 if b - a < 2 or not home[a:b].any():
                     continue
                 dims, block, ca, cb = (int(cols[k][a]) for k in (1, 2, 4, 5))
-                raw = _rows(data.slice(a, b - a), dims)
-                low, high = _bounds(dims, blocks)[block]
+                raw, bounds = _rows(data.slice(a, b - a), dims), _bounds(dims, blocks)
+                low, high = bounds[block]
                 y = _unit(raw) @ rotation(dims)[:, min(low + 1, high - 1)]
                 order = np.argsort(y, kind="stable")
-                raw, y, place = raw[order], y[order], a + order
+                group, y, place = _Group(raw[order]), y[order], a + order
                 wide = math.sqrt((2 - 2 * cosine) * (high - low) / dims) + SLACK
                 count = np.zeros(b - a, np.int64)
                 label = np.arange(b - a)
-                for i, j in pairs(raw, y, wide, home[place], side[place], ca, cb, dims, block):
+                for i, j in pairs(group, y, wide, home[place], side[place], ca, cb, bounds, block):
                     np.add.at(count, i, copies[place][j])
                     np.add.at(count, j, copies[place][i])
                     open_pair = label[i] != label[j]

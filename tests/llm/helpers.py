@@ -3,12 +3,12 @@
 import hashlib
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, h long, block int, gone string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, h long, block int, gone string, _row string, _many string, _N double, _h string, _least string, _found string, _a long, _sure string"
 
 
 def documents(spark, rows):
     """rows of (doc_id, text); the other columns have names that operators use inside."""
-    return spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), 1, 2, 3, "x") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), 1, 2, 3, "x", f"row {i}", "many", 0.5, "h", "least", "found", 7, "sure") for i, t in rows], SCHEMA)
 
 
 def invented(seed=1, n=60):

@@ -113,3 +113,16 @@ def test_stages_of_empty_and_odd_tables(spark, tmp_path, rows):
         now = stage(spark, now, str(tmp_path))
         assert now.dtypes == docs.dtypes
     assert now.count() == min(1, len(rows))
+
+
+def test_columns_of_any_name_come_through_every_stage(spark, tmp_path):
+    _, labels = toxic_tables(spark, 60)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [*invented(seed=21, n=25), (2, "a row\nof a repeated id"), (2, "a row\nof a repeated id"), (500, "so one two three four five six seven it ends")]
+    docs = documents(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes
+        for r in out.collect():
+            assert (r["_row"], r["_many"], r["_N"], r["_h"], r["_least"], r["_found"], r["_a"], r["_sure"]) == (f"row {r.doc_id}", "many", 0.5, "h", "least", "found", 7, "sure")
