@@ -133,8 +133,8 @@ def dealt(rows: DataFrame, key: list[str], ident: str, limit: int) -> DataFrame:
 
 
 def dealt_once(rows: DataFrame, key: list[str], ident: str, limit: int) -> DataFrame:
-    """As dealt(), but of the groups with the same members only one stays: near-copies meet in many groups."""
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64(ident).cast("decimal(20,0)")).alias("_s"), F.sum(F.hash(ident).cast("long")).alias("_h")).where("_n > 1")
+    """As dealt(), but of the groups with the same members (each once, named together by 128 bits) only one stays: near-copies meet in many groups."""
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64(ident)).alias("_s"), F.bit_xor(F.xxhash64(F.lit(1), ident)).alias("_h")).where("_n > 1")
     one = sizes.groupBy("_n", "_s", "_h").agg(F.min(F.struct(*key)).alias("_k")).select("_n", *(F.col("_k")[k].alias(k) for k in key))
     return _chunks(rows.join(one, key), ident, limit)
 

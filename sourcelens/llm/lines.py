@@ -234,14 +234,37 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     return value, np.searchsorted(value, np.arange(len(texts) + 1, dtype=_U) << _U(wide)), wide
 
 
-def _common(value: np.ndarray, starts: np.ndarray, wide: int, firsts: np.ndarray) -> np.ndarray:
-    """How many shingles each of the texts at firsts shares with the text after it; no text is in two pairs."""
-    of = np.full(len(starts) - 1, -1)
-    of[firsts] = of[firsts + 1] = np.arange(len(firsts))
-    of = np.repeat(of, np.diff(starts))
-    every = (value & _U((1 << wide) - 1))[of >= 0] | of[of >= 0].astype(_U) << _U(wide)
-    every.sort()
-    return np.bincount((every[1:] >> _U(wide))[every[1:] == every[:-1]].astype(np.int64), minlength=len(firsts))
+#: Groups of so many texts at most are verified pair by pair, all groups of a stretch at once; larger ones text by text.
+SMALL = 8
+
+
+def _common(value: np.ndarray, starts: np.ndarray, wide: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many shingles the texts of each pair share; value holds every text's distinct shingles, its place above them."""
+    size = np.diff(starts)
+    out = np.zeros(len(first), np.int64)
+    ends = np.cumsum(size[first] + size[second])
+    at = 0
+    while at < len(first):  # some million shingles at once
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+        texts = np.concatenate([first[at:to], second[at:to]])
+        n = size[texts]
+        place = np.repeat(starts[texts] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        every = value[place] & _U((1 << wide) - 1) | np.repeat(np.tile(np.arange(to - at, dtype=_U), 2), n) << _U(wide)
+        every.sort()
+        out[at:to] = np.bincount((every[1:] >> _U(wide))[every[1:] == every[:-1]].astype(np.int64), minlength=to - at)
+        at = to
+    return out
+
+
+def _pairs(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within groups of SMALL texts or fewer."""
+    first, second = [], []
+    for m in range(2, SMALL + 1):
+        i, j = np.triu_indices(m, 1)
+        own = begin[size == m]
+        first.append((own[:, None] + i).ravel())
+        second.append((own[:, None] + j).ravel())
+    return np.concatenate(first), np.concatenate(second)
 
 
 def links(sets: list[np.ndarray], hashes: np.ndarray, side: np.ndarray, across: bool, similarity: float) -> tuple[list[int], list[int]]:
@@ -288,15 +311,18 @@ def _verified(similarity: float):
                 base = now[0][0]
                 value, starts_of, wide = shingle_sets(text[base : now[-1][1]])
                 size = np.diff(starts_of)
-                two = np.array([a for a, b in now if b - a == 2 and (cols[1][a] == cols[2][a] or side[a] != side[a + 1])], np.int64)
-                if len(two):
-                    both = _common(value, starts_of, wide, two - base)
-                    two = two[both >= similarity * (size[two - base] + size[two - base + 1] - both)]
-                    us += h[two].tolist()
-                    vs += h[two + 1].tolist()
+                begin, count = np.array([a for a, _ in now]), np.array([b - a for a, b in now])
+                i, j = _pairs(begin, count)
+                alike = np.minimum(size[i - base], size[j - base]) >= similarity * np.maximum(size[i - base], size[j - base])
+                alike &= (cols[1][i] == cols[2][i]) | (side[i] != side[j])
+                i, j = i[alike], j[alike]
+                both = _common(value, starts_of, wide, i - base, j - base)
+                alike = both >= similarity * (size[i - base] + size[j - base] - both)
+                us += h[i[alike]].tolist()
+                vs += h[j[alike]].tolist()
                 value &= _U((1 << wide) - 1)
                 for a, b in now:
-                    if b - a > 2:
+                    if b - a > SMALL:
                         sets = [value[starts_of[i] : starts_of[i + 1]] for i in range(a - base, b - base)]
                         u, v = links(sets, h[a:b], side[a:b], bool(cols[1][a] != cols[2][a]), similarity)
                         us += u
