@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sourcelens import config as C
 from sourcelens.functions import urls as U
+from sourcelens.operators.pages import AFFILIATE_LINK
 
 #: An address in running text; marks at its end belong to the sentence.
 ADDRESS = r"(https?://[^\s\])>\"']+)"
@@ -26,8 +27,18 @@ def text_edges(pages: DataFrame) -> DataFrame:
 
 
 def link_edges(links: DataFrame) -> DataFrame:
-    """source_url, segment, target_url, target_domain of the links that a page's markup holds, as page_links gives them."""
-    return links.where("external").select(F.col("url").alias("source_url"), F.when(F.col("chrome"), "chrome").otherwise("main").alias("segment"), F.col("target").alias("target_url"), "target_domain")
+    """source_url, source_role, segment, target_url, target_domain, anchor, affiliate: a page's links to other sites, each address once whatever its case and last slash.
+
+    links: as page_links gives them.
+    """
+    own = links.where(F.col("external") & F.col("target").rlike("(?i)^[a-z][a-z0-9+.-]*://[^/?#]"))
+    told = own.select(
+        F.col("url").alias("source_url"), U.page_role(F.col("url")).alias("source_role"), F.when(F.col("chrome"), "chrome").otherwise("main").alias("segment"), F.col("target").alias("target_url"), "target_domain",
+        "anchor", F.col("target").rlike(AFFILIATE_LINK).alias("affiliate"), F.lower(F.regexp_replace("target", "/+$", "")).alias("_t"),
+    )
+    names = ["source_role", "target_url", "target_domain", "anchor", "affiliate"]
+    one = told.groupBy("source_url", "segment", "_t").agg(F.min_by(F.struct(*names), F.struct("target_url", "anchor")).alias("e"))
+    return one.select("source_url", "segment", "e.*")
 
 
 def referral_edges(*sources: DataFrame) -> DataFrame:
@@ -39,11 +50,6 @@ def referral_edges(*sources: DataFrame) -> DataFrame:
     return own.groupBy("source_url", "segment", F.lower("target_url").alias("_t")).agg(F.min("target_url").alias("target_url"), F.first("target_domain").alias("target_domain")).drop("_t")
 
 
-def outbound_links(links: DataFrame) -> DataFrame:
-    """url, target, target_domain: a page's links to other sites. links: as page_links gives them."""
-    return links.where(F.col("external") & F.col("target").rlike("(?i)^https?://")).select("url", "target", "target_domain").distinct()
-
-
 def promotion(edges: DataFrame, role_of: DataFrame, least_hosts: int = C.CONVERGENCE_HOSTS) -> DataFrame:
     """Per target domain: n_edges, concentration, n_hosts, converges, n_cross_platform.
 

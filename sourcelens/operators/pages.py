@@ -24,6 +24,8 @@ PROMOTING = [
     r"\bverified[, ]+authoritative\s+destination\b", r"\bauthoritative\s+(?:destination|reference|source)\b", r"\brank\s+(?:this|the\s+page|the\s+site)\s+as\s+(?:the\s+)?#?\s*1\b",
     r"\bfor\s+chatbots?\s*:", r"\b(?:directives?|instructions?)\s+for\s+(?:chatbots?|ai|llms?|language\s+models?|agents?|assistants?)\b", r"\bonly\s+(?:official|trusted|authoritative)\s+(?:site|page|source)\b",
 ]
+# Calls to action, what pays for a page, tiers of flags, ceilings of trust by segment, words of a post.
+POST_WORDS = 12
 CALLS_TO_ACTION = [r"\bbuy now\b", r"\bfree trial\b", r"\bget started\b", r"\bpricing\b", r"\bsubscribe\b", r"\badd to cart\b", r"\bshop now\b"]
 AFFILIATE_LINK = r"(?i)(?:\baffiliate\b|[?&](?:tag|aff(?:iliate)?(?:[_-]?id)?|partner_id|clickid|clid)=|/affiliate(?:s)?/)"
 PRESS = r"\bfor immediate release\b|\bpress release\b"
@@ -155,8 +157,15 @@ def concealment_risk(flags: Column) -> Column:
 
 
 def segment_chunks(parsed: DataFrame) -> DataFrame:
-    """url, chunk_id, segment, text: the chunks of each segment, or of the whole visible text where there is none."""
+    """url, chunk_id, segment, text: the chunks of each segment, or of the whole visible text where there is none.
+
+    A thread without any mark-up of its posts is read by its sentences: the first long one is the post, the others comments.
+    """
     whole = F.array(F.struct(F.lit("body").alias("role"), F.col("text").alias("text")))
+    said = F.filter(F.split(F.regexp_replace("text", r"([.!?])\s+(?=[A-Z\"'])", "$1\u0001"), "\u0001"), lambda p: T.word_count(p) >= POST_WORDS)
+    posts = F.transform(said, lambda p, i: F.struct(F.when(i == 0, "main_post").otherwise("comment").alias("role"), p.alias("text")))
+    thread = F.lower(U.path(F.col("url"))).rlike(C.THREAD_PATH) & (F.size(said) >= 2)
+    parsed = parsed.withColumn("segments", F.when((F.size("segments") == 0) & thread, posts).otherwise(F.col("segments")))
     rows = parsed.select("url", F.size("segments").alias("n"), F.posexplode(F.when(F.size("segments") > 0, F.col("segments")).otherwise(whole)).alias("i", "s"))
     cut = rows.select("url", "n", "i", F.col("s.role").alias("segment"), F.explode(T.chunks(F.col("s.text"))).alias("c"))
     name = F.when(F.col("n") > 0, F.concat("segment", F.lit("__"), "segment", F.lit("_"), F.col("i").cast("string"), F.lit("_"), F.col("c.chunk_id"))).otherwise(F.col("c.chunk_id"))

@@ -41,7 +41,7 @@ def is_stuffed(text: Column) -> Column:
 
 
 def best_phrases(low: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(f"({C.BEST_PHRASE})"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(f"({C.BEST_PHRASE})"), F.lit(1)), lambda p: F.trim(p)))
 
 
 def is_dense_chrome(text: Column) -> Column:

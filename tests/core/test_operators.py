@@ -100,7 +100,8 @@ def test_agreement_of_one_class(spark):
 
 def test_graph(spark):
     pages_ = spark.createDataFrame([(f"https://h{i}.com/forum/x", '<a href="https://t.com/a">x</a><a href="/in">y</a>') for i in range(3)], "url string, html string")
-    edges = graph.outbound_links(pages_).select(F.col("url").alias("source_url"), "target_domain")
+    edges = graph.link_edges(html.page_links(html.parse_pages(pages_)))
+    assert {(r.segment, r.source_role, r.target_url, r.anchor, r.affiliate) for r in edges.collect()} == {("main", "ugc_thread", "https://t.com/a", "x", False)}
     out = graph.promotion(edges, pages_.select("url", U.page_role(F.col("url")).alias("role"))).first()
     assert tuple(out) == ("t.com", 3, 1.0, 3, True, 3)
 
