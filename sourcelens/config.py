@@ -4,7 +4,7 @@
 POSITION_WEIGHTS = (1.0, 0.62, 0.38, 0.22, 0.15)
 LATER_WEIGHT = 0.1
 DOMINANCE_ALERT = 0.60
-SIMILARITY_CLUSTER = 0.45
+SIMILARITY_CLUSTER, SIMILARITY_LEAST, SIMILARITY_COPY = 0.45, 0.35, 0.55
 PERSISTENCE_DAYS = 7
 FRONT_WINDOW_WORDS, FRONT_LEAST_WORDS = 200, 40
 CHUNK_MIN_WORDS, CHUNK_MAX_WORDS = 30, 400

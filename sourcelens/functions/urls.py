@@ -68,6 +68,10 @@ def is_publish(url: Column) -> Column:
     return path(url).rlike(C.PUBLISH_PATH)
 
 
+#: Characters of a page's text that its role is read from.
+ROLE_CHARS = 2000
+
+
 def page_role(url: Column, tier: Column | None = None, has_cta: Column | None = None, text: Column | None = None) -> Column:
     """One of seven roles; the first rule that holds. tier and has_cta come from the page's context, text from its fetch."""
     host, p = hostname(url), F.lower(path(url))
@@ -86,7 +90,7 @@ def page_role(url: Column, tier: Column | None = None, has_cta: Column | None =
         out = out.when(sells & F.coalesce(has_cta, F.lit(False)), "commercial_product").when(sells, "expert_listicle")
     out = out.when(p.rlike(r"/(wiki|docs|reference|encyclopedia)\b"), "factual_blog")
     if text is not None:
-        head = F.lower(F.substring(text, 1, 2000))
+        head = F.lower(F.substring(text, 1, ROLE_CHARS))
         out = out.when(head.rlike(C.BUY_TEXT), "commercial_product").when(head.rlike(C.AFFILIATE_TEXT), "expert_listicle")
     return out.otherwise("factual_blog")
 

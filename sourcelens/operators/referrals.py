@@ -109,6 +109,32 @@ def counted(referrers: DataFrame) -> DataFrame:
     return referrers.withColumns({"surface": surface, "hard": surface & (~gated | F.coalesce("coordinated", F.lit(False)) | risk | promotes), "high_confidence": surface & risk})
 
 
+#: Referrers, and their parasitic share, that settle a mix; where editorial ones are among them, so many.
+DECISIVE_LEAST, DECISIVE_SHARE, DECISIVE_MIXED = 8, 0.8, 10
+
+
+def until_decisive(referrers: DataFrame, most: int = 0) -> DataFrame:
+    """Of each target's verified referrers those up to the one with which their mix is settled, in order: a search would have stopped there.
+
+    referrers: counted(), with target_id and ord (unique in a target). Adds seen, count and editorial of the prefix, and
+    decisive, true of the last row where the mix settled. most: stop at so many in any case (0: no such limit); Spark
+    keeps that many of a target in each task before it shuffles. Running counts need a target's rows in one order, but
+    hold one row at a time.
+    """
+    rows = referrers
+    order = W.partitionBy("target_id").orderBy("ord")
+    if most:
+        rows = rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    editorial = F.col("role").isin("editorial", "institutional").cast("int")
+    rows = rows.withColumns({"seen": F.count(F.lit(1)).over(so_far), "count": F.sum(F.col("hard").cast("int")).over(so_far), "editorial": F.sum(editorial).over(so_far)})
+    share = F.col("count") / F.col("seen")
+    one_sided = (share >= DECISIVE_SHARE) & (F.col("editorial") == 0)
+    rows = rows.withColumn("decisive", (F.col("seen") >= DECISIVE_LEAST) & (one_sided | ((F.col("seen") >= DECISIVE_MIXED) & (F.col("editorial") > 0))))
+    before = F.coalesce(F.max(F.col("decisive").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_before", before).where("_before = 0").drop("_before")
+
+
 def profiles(referrers: DataFrame, targets: DataFrame) -> DataFrame:
     """One row a target: its referrer mix, risk, and how far that mix is suspect.
 

@@ -39,6 +39,76 @@ def tfidf_scores(queries: DataFrame, passages: DataFrame) -> DataFrame:
     return met.join(norms, "doc_id").join(lengths, "query_id").select("query_id", "doc_id", F.round(cosine, 9).alias("score"))
 
 
+def scoped_scores(queries: DataFrame, candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of every candidate, zero without a shared term: each query's candidates are a corpus of their own.
+
+    queries: query_id, text. candidates: query_id, doc_id. texts: doc_id, text, one row each. Frequencies, numbers of
+    documents and norms are by query (which counts as one document more), so one text has other weights for each. A
+    text is split into terms once, however many queries it is a candidate of.
+    """
+    postings = texts.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg((F.log(F.count(F.lit(1))) + 1).alias("tf"))
+    own = similarity.written(candidates.select("query_id", "doc_id").distinct().join(similarity.written(postings, "postings"), "doc_id"), "scoped")
+    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg((F.log(F.count(F.lit(1))) + 1).alias("qtf"))
+    size = candidates.groupBy("query_id").agg((F.count_distinct("doc_id") + 1).alias("n"))
+    df = own.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    both = df.join(asked, ["query_id", "term"], "full").join(size, "query_id")
+    idf = F.log((1.0 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)) + F.col("qtf").isNotNull().cast("int"))) + 1
+    both = similarity.written(both.select("query_id", "term", idf.alias("idf"), (F.col("qtf") * idf).alias("qw")), "weights")
+    lengths = both.groupBy("query_id").agg(F.sum(F.col("qw") * F.col("qw")).alias("qnorm2"))
+    w = F.col("tf") * F.col("idf")
+    met = own.join(both, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(w * F.col("qw")).alias("dot"), F.sum(w * w).alias("norm2"))
+    cosine = F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("norm2") * F.col("qnorm2"))), F.lit(0.0))
+    every = candidates.select("query_id", "doc_id").distinct().join(met, ["query_id", "doc_id"], "left").join(lengths, "query_id", "left")
+    return every.select("query_id", "doc_id", F.round(cosine, 9).alias("score"))
+
+
+def varied_scores(queries: DataFrame, others: DataFrame, variants: DataFrame, texts: DataFrame) -> DataFrame:
+    """query_id, method, doc_id, score: scoped_scores() of many corpora that differ in one document's passages alone.
+
+    queries: query_id, text. others: query_id, doc_id, the passages that all of a query's corpora have. variants:
+    query_id, method, doc_id, the passages that one method's corpus has besides. texts: doc_id, text.
+
+    The weight of a term is L - g, L by the corpus's size and g by the term's frequency. Sums of tf, tf g and tf g g over
+    a passage give its norm and product for any L; they are made once, for frequencies without any variant, and a
+    method corrects them at the terms of its own passages that a query's other passages or words have. So what the
+    others cost doesn't grow with the number of methods but for those corrections.
+    """
+    postings = texts.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg((F.log(F.count(F.lit(1))) + 1).alias("tf"))
+    postings = similarity.written(postings, "postings")
+    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg((F.log(F.count(F.lit(1))) + 1).alias("qtf"))
+    base = others.select("query_id", "doc_id").distinct().join(postings, "doc_id")
+    # the query is one more document: both what it counts in frequencies and a row whose norm is the query's own
+    rows = base.join(asked, ["query_id", "term"], "left").unionByName(asked.select("query_id", "term", F.lit(None).cast("string").alias("doc_id"), F.col("qtf").alias("tf"), "qtf"))
+    df = rows.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    rows = similarity.written(rows.join(df, ["query_id", "term"]).withColumn("g", F.log(1.0 + F.col("df"))), "base")
+    square, product = F.col("tf") * F.col("tf"), F.col("tf") * F.coalesce("qtf", F.lit(0.0))
+    powers = lambda w, g, name: [F.sum(w).alias(f"{name}0"), F.sum(w * g).alias(f"{name}1"), F.sum(w * g * g).alias(f"{name}2")]
+    sums = rows.groupBy("query_id", "doc_id").agg(*powers(square, F.col("g"), "n"), *powers(product, F.col("g"), "d"))
+
+    own = similarity.written(variants.select("query_id", "method", "doc_id").distinct().join(postings, "doc_id"), "variants")
+    more = similarity.written(own.groupBy("query_id", "method", "term").agg(F.count(F.lit(1)).alias("more")), "more")
+    size = others.groupBy("query_id").agg((F.count_distinct("doc_id") + 1).alias("n"))
+    sizes = variants.groupBy("query_id", "method").agg(F.count_distinct("doc_id").alias("m")).join(size, "query_id", "left")
+    sizes = sizes.select("query_id", "method", (F.log(1.0 + F.col("m") + F.coalesce("n", F.lit(1))) + 1).alias("L"))
+    changed = rows.join(more, ["query_id", "term"]).withColumn("h", F.log(1.0 + F.col("df") + F.col("more")))
+    by = lambda w: [F.sum(w * (F.col("h") - F.col("g"))), F.sum(w * (F.col("h") * F.col("h") - F.col("g") * F.col("g")))]
+    shift = changed.groupBy("query_id", "method", "doc_id").agg(*(c.alias(n) for c, n in zip([*by(square), *by(product)], ("sn1", "sn2", "sd1", "sd2"), strict=True)))
+    both = sums.join(sizes, "query_id").alias("a").join(shift.alias("b"), (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.method") == F.col("b.method")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
+    z = lambda c: F.coalesce(f"b.{c}", F.lit(0.0))
+    at = lambda name: F.col(f"{name}0") * F.col("L") * F.col("L") - 2 * F.col("L") * (F.col(f"{name}1") + z(f"s{name}1")) + F.col(f"{name}2") + z(f"s{name}2")
+    told = both.select("a.query_id", "a.method", "a.doc_id", at("n").alias("norm2"), at("d").alias("dot"))
+
+    idf = F.col("L") - F.log(1.0 + F.coalesce("df", F.lit(0)) + F.col("more"))
+    fresh = own.join(more, ["query_id", "method", "term"]).join(df, ["query_id", "term"], "left").join(asked, ["query_id", "term"], "left").join(sizes, ["query_id", "method"])
+    fresh = fresh.withColumn("idf", idf).groupBy("query_id", "method", "doc_id").agg(F.sum(square * F.col("idf") * F.col("idf")).alias("norm2"), F.sum(product * F.col("idf") * F.col("idf")).alias("dot"))
+    every = others.select("query_id", "doc_id").distinct().join(sizes.select("query_id", "method"), "query_id").unionByName(variants.select("query_id", "method", "doc_id").distinct())
+    told = similarity.written(told.unionByName(fresh), "varied")
+    lengths = told.where("doc_id is null").select("query_id", "method", F.col("norm2").alias("qnorm2"))
+    out = every.join(told, ["query_id", "method", "doc_id"], "left").join(lengths, ["query_id", "method"], "left")
+    cosine = F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("norm2") * F.col("qnorm2"))), F.lit(0.0))
+    return out.select("query_id", "method", "doc_id", F.round(cosine, 9).alias("score"))
+
+
 def top(scores: DataFrame, k: int, by: str = "score", name: str = "rank") -> DataFrame:
     """The k best of each query, ties by doc_id; Spark keeps k rows of a query in each task before it shuffles."""
     order = W.partitionBy("query_id").orderBy(F.desc(by), "doc_id")
@@ -113,14 +183,15 @@ def chunk_scores(rows: DataFrame) -> DataFrame:
     return out.withColumn("defended", F.round(F.col("score") * (1 - F.col("l1")) * (1 - F.col("l2")) * pages.retrieval_multiplier(segment, role, intent), 9))
 
 
-def reranked(scored: DataFrame, k: int, risky: float = 0.55, penalty: float = 0.45) -> DataFrame:
+def reranked(scored: DataFrame, k: int, risky: float = 0.55, penalty: float = 0.45, sources: DataFrame | None = None) -> DataFrame:
     """The k places of each query by defended score, one host first; where one host dominates what is seen and is not trusted, its scores fall and places are dealt anew.
 
     scored: query_id, doc_id, host, defended, trust, n_words. All scored rows take part in the second round.
+    sources: query_id, host, trust of all of a query's sources, also of those with nothing scored.
     """
     ranked = lambda rows: diversify(rows.withColumn("score", F.col("defended")), k)
     seen = dominance(visibility(ranked(scored).withColumn("rank", F.col("place")))).where("alert")
-    least = scored.groupBy("query_id", "host").agg(F.min("trust").alias("least"))
+    least = (scored if sources is None else sources).groupBy("query_id", "host").agg(F.min("trust").alias("least"))
     bad = seen.join(least, (seen["query_id"] == least["query_id"]) & (seen["dominant_host"] == least["host"])).where(F.col("least") < risky).select(seen["query_id"], "host", F.lit(1 - penalty).alias("_by"))
     again = scored.join(bad, ["query_id", "host"], "left").withColumn("defended", F.round(F.col("defended") * F.coalesce("_by", F.lit(1.0)), 9)).drop("_by")
     return ranked(again)
@@ -136,6 +207,7 @@ def exclusion_reasons(rows: DataFrame) -> Column:
     return F.array_compact(F.array(*(F.when(test, F.lit(name)) for test, name in told)))
 
 
-def first_rank(ranked: DataFrame) -> DataFrame:
-    """query_id, url, rank: the best place of each url."""
-    return ranked.groupBy("query_id", "url").agg(F.min("rank").alias("rank"))
+def by_url(ranked: DataFrame) -> DataFrame:
+    """query_id, url, rank (its best place) and share of what is seen, in percent. ranked: query_id, url, rank, n_words."""
+    shares = visibility(ranked.withColumn("host", F.col("url"))).withColumnRenamed("host", "url")
+    return ranked.groupBy("query_id", "url").agg(F.min("rank").alias("rank")).join(shares, ["query_id", "url"])

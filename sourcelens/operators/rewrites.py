@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourcelens.functions import text as T
+from sourcelens.operators import answers, retrieval, similarity
+
 # Each rewrite as a format of the text (first) and the query (second).
 FORMATS = {
     "identity": "%1$s",
@@ -41,3 +44,53 @@ def outcome(results: DataFrame) -> DataFrame:
     return results.groupBy("suite", "method").agg(
         F.count(F.lit(1)).alias("n_cases"), F.round(F.avg("baseline_share"), 6).alias("baseline_share"), F.round(F.avg("defended_share"), 6).alias("defended_share"), F.count_if(F.col("baseline_rank").isNotNull() & down).alias("n_lowered"),
     )
+
+
+def attacked(spark: SparkSession, cases: DataFrame, candidates: DataFrame, sources: DataFrame, chunks: DataFrame, methods: dict[str, Callable[[Column, Column], Column]] | None = None, k: int = 5) -> DataFrame:
+    """Every case under every rewrite of its target, as one plan: rows of case_id, method with what the rewrite won and lost.
+
+    cases: case_id, suite, query, intent, claim, target (a url). candidates: case_id, url, the target among them or not.
+    sources and chunks: as investigate() takes them; chunks must be T.chunks of the sources' texts, with one segment a
+    page. A case whose target is no source has no row. Only the target's text is judged, cut and indexed anew for a
+    method: other pages and passages are read once a case, and their scores corrected (retrieval.varied_scores).
+    """
+    cases = cases.withColumn("case_id", F.col("case_id").cast("string"))
+    targets = similarity.written(rewritten(cases.join(sources, cases["target"] == sources["url"]), methods), "rewrites")
+    name, address = F.concat_ws("|", "case_id", "method"), F.concat_ws("#", "url", "case_id", "method")  # the rewritten page's own, by a fragment that no rule on addresses reads
+    segment = chunks.groupBy("url").agg(F.max("segment").alias("segment"))
+    fresh = targets.join(segment, "url", "left").withColumn("segment", F.coalesce("segment", F.lit("body"))).withColumn("c", F.explode(T.chunks(F.col("rewritten"))))
+    fresh = fresh.select(address.alias("url"), F.col("c.chunk_id").alias("chunk_id"), "segment", F.col("c.text").alias("text"))
+    pages = targets.select(address.alias("url"), F.col("rewritten").alias("text"), *(c for c in sources.columns if c not in ("url", "text")))
+
+    asked = lambda rows, ident: rows.select(ident.alias("query_id"), "query", "intent")
+    wanted = candidates.select(F.col("case_id").cast("string").alias("query_id"), "url").distinct().join(cases.select(F.col("case_id").alias("query_id"), F.col("target").alias("url")), ["query_id", "url"], "left_anti")
+    wanted = wanted.join(targets.select(F.col("case_id").alias("query_id")).distinct(), "query_id", "left_semi")
+    judged = answers.judged_sources(
+        asked(cases, F.col("case_id")).unionByName(asked(targets, name)), wanted.unionByName(targets.select(name.alias("query_id"), address.alias("url"))), sources.unionByName(pages),
+    )
+    judged = similarity.written(judged, "judged")
+    texts = answers.passage_texts(chunks.select("url", "chunk_id", "segment", "text").join(wanted.select("url").distinct(), "url", "left_semi").unionByName(fresh))
+    rows = similarity.written(answers.passage_signals(judged, texts), "passages")
+
+    grid = targets.select("case_id", "method", name.alias("name"))
+    mine = rows.join(grid, rows["query_id"] == grid["name"])
+    theirs = rows.join(grid.select("case_id").distinct(), rows["query_id"] == F.col("case_id"), "left_semi")
+    scores = retrieval.varied_scores(
+        cases.select(F.col("case_id").alias("query_id"), F.col("query").alias("text")), theirs.select("query_id", F.col("ident").alias("doc_id")),
+        mine.select(F.col("case_id").alias("query_id"), "method", F.col("ident").alias("doc_id")), texts.select(F.col("ident").alias("doc_id"), "text"),
+    ).select(F.concat_ws("|", "query_id", "method").alias("query_id"), F.col("doc_id").alias("ident"), "score")
+
+    def spread(table: DataFrame) -> DataFrame:
+        """Rows of a case for each of its methods, and a method's own."""
+        of_case = table.join(grid.select(F.col("case_id").alias("query_id"), "name"), "query_id").withColumn("query_id", F.col("name")).drop("name")
+        return of_case.unionByName(table.join(grid.select(F.col("name").alias("query_id")), "query_id", "left_semi"))
+
+    queries = targets.select(name.alias("query_id"), "query", "intent", "claim")
+    run = answers.concluded(spark, queries, spread(judged), spread(rows).join(scores, ["query_id", "ident"]), texts, k)
+    base = lambda t, kind: retrieval.by_url(t).select("query_id", "url", F.col("rank").alias(f"{kind}_rank"), F.col("share").alias(f"{kind}_share"))
+    own = targets.select("case_id", "suite", "method", F.col("target"), name.alias("query_id"), address.alias("url"))
+    told = judged.select("query_id", "url", "trust", "semantic_risk", "endorsement_risk", "recommended_action", *answers.PERMISSIONS)
+    out = own.join(told, ["query_id", "url"]).join(base(run.baseline, "baseline"), ["query_id", "url"], "left").join(base(run.defended, "defended"), ["query_id", "url"], "left")
+    verdict = run.verdicts.select("query_id", F.col("kind").alias("guard_kind"), F.col("action").alias("guard_action"), F.col("response_mode").alias("guard_mode"))
+    out = out.join(run.context.select("query_id", "baseline_alert", "defended_alert"), "query_id", "left").join(verdict, "query_id", "left")
+    return out.drop("query_id", "url").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("baseline_share", "defended_share")})

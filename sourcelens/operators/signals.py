@@ -18,44 +18,64 @@ def front_load_for(query: Column, head: Column, tail: Column, n_words: Column) -
     return F.when(n_words < C.FRONT_LEAST_WORDS, 0.0).otherwise(F.coalesce(F.try_divide(seen(head), seen(head) + seen(tail)), F.lit(0.0)))
 
 
-def content_signals(rows: DataFrame, query: str | None = None) -> DataFrame:
-    """Adds n_words, the four densities, narrative, hedges, quotes, front_load, semantic_risk, flags, rhetorical, retrieval_risk.
+def densities(rows: DataFrame) -> DataFrame:
+    """Adds what a text's signals are made of and no query changes: n_words, the densities, narrative, hedges, quotes, marks.
 
-    query: the column of the query that a text answers; then front_load counts the query's terms.
+    A text that answers many queries is read once; for_query() makes the rest.
     """
     text = F.coalesce("text", F.lit(""))
     out = rows.withColumns({"n_words": T.word_count(F.col("text")), "_plain": T.plain(text), "_kept": F.regexp_replace(text, T.FOREIGN, "q")})
-    w, n = T.words(F.lower(text) if query else F.col("_plain")), C.FRONT_WINDOW_WORDS
-    out = out.withColumn("_w", w).withColumns({"_head": F.array_join(F.slice("_w", 1, n), " "), "_tail": F.array_join(F.slice("_w", n + 1, F.greatest(F.size("_w") - n, F.lit(0))), " ")})
     families = (("authority", C.AUTHORITY), ("comparative", C.COMPARATIVE), ("temporal", C.TEMPORAL), ("purpose", C.PURPOSE), ("hedges", C.HEDGES))
     made = {name: T.density(F.col("_plain"), F.col("n_words"), patterns) for name, patterns in families}
     made["quotes"] = F.least(F.lit(1.0), T.hits(F.col("_kept"), C.QUOTES) / F.greatest("n_words", F.lit(1)) * 10)
-    if query:
-        made["front_load"] = front_load_for(F.col(query), F.col("_head"), F.col("_tail"), F.col("n_words"))
-    else:
-        made["_first"] = T.density(F.col("_head"), F.least(F.size("_w"), F.lit(n)), C.AUTHORITY + C.COMPARATIVE)
-        made["_rest"] = T.density(F.col("_tail"), F.greatest(F.size("_w") - n, F.lit(0)), C.AUTHORITY + C.COMPARATIVE)
-    out = out.withColumns(made)
-    if not query:
-        out = out.withColumn("front_load", F.when(F.col("n_words") < C.FRONT_LEAST_WORDS, 0.0).otherwise(F.coalesce(F.try_divide(F.col("_first"), F.col("_first") + F.col("_rest")), F.lit(0.0)))).drop("_first", "_rest")
-    out = out.withColumn("narrative", F.least(F.lit(1.0), (F.col("authority") + F.col("comparative") + F.col("purpose")) / 2))
-    out = out.withColumn("_raw", F.greatest(F.lit(0.0), 0.3 * F.col("authority") + 0.3 * F.col("narrative") + 0.25 * F.col("comparative") + 0.15 * F.col("temporal") - 0.35 * F.col("hedges")))
+    told = (("high_stakes_medical_claim", F.col("_plain").rlike(C.MEDICAL_CLAIM)), ("mentions_alternatives", F.col("_plain").rlike(C.ALTERNATIVES)), ("planted_mention", plants.planted(F.col("_plain"), F.col("n_words"))))
+    made["marks"] = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in told)))
+    out = out.withColumns(made).drop("_kept")
+    return out.withColumn("narrative", F.least(F.lit(1.0), (F.col("authority") + F.col("comparative") + F.col("purpose")) / 2))
+
+
+def _windows(w: Column) -> tuple[Column, Column]:
+    """A text's first words and the rest, from its words."""
+    n = C.FRONT_WINDOW_WORDS
+    return F.array_join(F.slice(w, 1, n), " "), F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(0))), " ")
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """Adds rhetorical, semantic_risk, flags and retrieval_risk to rows with densities() and front_load."""
+    raw = F.greatest(F.lit(0.0), 0.3 * F.col("authority") + 0.3 * F.col("narrative") + 0.25 * F.col("comparative") + 0.15 * F.col("temporal") - 0.35 * F.col("hedges"))
+    out = rows.withColumn("_raw", raw)
     boosted = F.when((F.col("front_load") > 0.6) & (F.col("_raw") > 0), F.least(F.lit(1.0), F.col("_raw") * (1 + 0.25 * F.col("front_load")))).otherwise(F.col("_raw"))
-    flag = lambda test, name: F.when(test, F.lit(name))
-    flags = F.array_compact(
-        F.array(
-            flag(F.col("authority") > C.AUTHORITY_FLAG, "authority_stacking"),
-            flag(F.col("comparative") > C.COMPARATIVE_FLAG, "comparative_superlatives"),
-            flag(F.col("_plain").rlike(C.MEDICAL_CLAIM), "high_stakes_medical_claim"),
-            flag(F.col("hedges") > C.HEDGING_FLAG, "balanced_hedging"),
-            flag(F.col("front_load") > 0.65, "front_loaded"),
-            flag(F.col("quotes") > C.QUOTES_FLAG, "quote_citation_heavy"),
-            flag(F.col("_plain").rlike(C.ALTERNATIVES), "mentions_alternatives"),
-            flag(plants.planted(F.col("_plain"), F.col("n_words")), "planted_mention"),
-        )
-    )
+    told = (
+        ("authority_stacking", F.col("authority") > C.AUTHORITY_FLAG), ("comparative_superlatives", F.col("comparative") > C.COMPARATIVE_FLAG), ("high_stakes_medical_claim", F.array_contains("marks", "high_stakes_medical_claim")),
+        ("balanced_hedging", F.col("hedges") > C.HEDGING_FLAG), ("front_loaded", F.col("front_load") > 0.65), ("quote_citation_heavy", F.col("quotes") > C.QUOTES_FLAG),
+        ("mentions_alternatives", F.array_contains("marks", "mentions_alternatives")), ("planted_mention", F.array_contains("marks", "planted_mention")),
+    )
+    flags = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in told)))
     out = out.withColumns({"rhetorical": F.least(F.lit(1.0), F.col("_raw")), "semantic_risk": boosted, "flags": F.when(F.col("n_words") == 0, F.array(F.lit("empty_content"))).otherwise(flags)})
-    return out.withColumn("retrieval_risk", retrieval_manipulation(F.col("rhetorical"))).drop("_plain", "_kept", "_w", "_head", "_tail", "_raw")
+    return out.withColumn("retrieval_risk", retrieval_manipulation(F.col("rhetorical"))).drop("_raw", "marks")
+
+
+def for_query(rows: DataFrame, query: str = "query") -> DataFrame:
+    """rows with densities(), text and a query each: adds front_load (of the query's terms) and the signals that follow from it."""
+    head, tail = _windows(F.col("_w"))
+    out = rows.withColumn("_w", T.words(F.lower(F.coalesce("text", F.lit(""))))).withColumns({"_head": head, "_tail": tail})
+    return _scored(out.withColumn("front_load", front_load_for(F.col(query), F.col("_head"), F.col("_tail"), F.col("n_words"))).drop("_w", "_head", "_tail"))
+
+
+def content_signals(rows: DataFrame, query: str | None = None) -> DataFrame:
+    """Adds n_words, the four densities, narrative, hedges, quotes, front_load, semantic_risk, flags, rhetorical, retrieval_risk.
+
+    query: the column of the query that a text answers; then front_load counts the query's terms.
+    """
+    out = densities(rows)
+    if query:
+        return for_query(out.drop("_plain"), query)
+    head, tail = _windows(F.col("_w"))
+    out = out.withColumn("_w", T.words(F.col("_plain"))).withColumns({"_head": head, "_tail": tail})
+    both, n = C.AUTHORITY + C.COMPARATIVE, C.FRONT_WINDOW_WORDS
+    out = out.withColumns({"_first": T.density(F.col("_head"), F.least(F.size("_w"), F.lit(n)), both), "_rest": T.density(F.col("_tail"), F.greatest(F.size("_w") - n, F.lit(0)), both)})
+    front = F.when(F.col("n_words") < C.FRONT_LEAST_WORDS, 0.0).otherwise(F.coalesce(F.try_divide(F.col("_first"), F.col("_first") + F.col("_rest")), F.lit(0.0)))
+    return _scored(out.withColumn("front_load", front).drop("_first", "_rest", "_plain", "_w", "_head", "_tail"))
 
 
 def retrieval_manipulation(rhetorical: Column) -> Column:

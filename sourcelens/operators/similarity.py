@@ -90,3 +90,23 @@ def clusters(spark: SparkSession, rows: DataFrame, threshold: float = C.SIMILARI
     named = sets.join(found, F.col("ident") == F.col("node"), "left").join(links, F.col("ident") == F.col("a"), "left")
     named = named.select("scope", "tokens", F.coalesce("component", "ident").alias("cluster"), (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return own.join(named, ["scope", "tokens"], "left").select("scope", "ident", F.coalesce("cluster", "ident").alias("cluster"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def independence(spark: SparkSession, rows: DataFrame, threshold: float = C.SIMILARITY_CLUSTER, least: float = C.SIMILARITY_LEAST) -> DataFrame:
+    """Per scope: n_texts, n_clusters, max_similarity, coordinated, reasons. rows: scope, ident (unique), text.
+
+    max_similarity is null where no two texts reach `least`, the smallest similarity any rule asks for. A text without
+    tokens is a cluster of its own. Texts are coordinated if there are two or more and all are one cluster.
+    """
+    sets = written(token_sets(rows), "sets")
+    pairs = written(similar_pairs(rows, least), "pairs")
+    found = components(spark, pairs.where(F.col("jaccard") >= threshold).select("a", "b"))
+    own = sets.join(found, F.col("ident") == F.col("node"), "left").groupBy("scope").agg(F.sum("copies").alias("n_told"), F.count_distinct(F.coalesce("component", "ident")).alias("n_parts"), F.max("copies").alias("most"))
+    near = pairs.groupBy("scope").agg(F.max("jaccard").alias("near"))
+    out = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n_texts")).join(own, "scope", "left").join(near, "scope", "left")
+    n_clusters = F.col("n_texts") - F.coalesce("n_told", F.lit(0)) + F.coalesce("n_parts", F.lit(0))
+    out = out.select("scope", "n_texts", n_clusters.alias("n_clusters"), F.round(F.when(F.col("most") > 1, 1.0).otherwise(F.col("near")), 3).alias("max_similarity"))
+    high, copied = (F.col("n_clusters") < F.col("n_texts")) & (F.col("max_similarity") >= threshold), F.col("max_similarity") >= C.SIMILARITY_COPY
+    told = F.array_compact(F.array(F.when(high, "high_textual_similarity_across_domains"), F.when(copied, "likely_shared_copy_or_template")))
+    together = (F.col("n_clusters") == 1) & (F.col("n_texts") >= 2) & (F.col("max_similarity") >= least)
+    return out.withColumns({"coordinated": F.coalesce(together, F.lit(False)), "reasons": told})

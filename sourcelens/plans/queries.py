@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sourcelens import config as C
 from sourcelens.functions import text as T
 from sourcelens.functions import urls as U
-from sourcelens.operators import agreement, audit, claims, decisions, graph, impressions, pages, retrieval, signals, similarity, tiers, vectors
-from sourcelens.plans import decision_queries, referral_queries, role_sql, sheet_queries, web_queries
+from sourcelens.operators import agreement, audit, claims, decisions, graph, impressions, pages, pruned, retrieval, signals, similarity, tiers, vectors
+from sourcelens.plans import answer_queries, decision_queries, list_queries, referral_queries, role_sql, sheet_queries, web_queries
 from sourcelens.sources import html
 from sourcelens.sources.tables import benchmark_queries, citation_log, table
 
@@ -22,14 +22,18 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.tfidf_scores(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruned.top(table(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir), K)[0]
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.top(_scores(spark, sf_dir), K)
+    best = _best(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), T.word_count(F.col("text")).alias("n_words"))
     return best.join(docs, "doc_id")
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top(_scores(spark, sf_dir), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _best(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def pawc_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +59,19 @@ def rhetoric_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contestability_rank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _signals(spark, sf_dir).withColumn("trust", 0.55 - F.when(F.col("n_words") < C.THIN_WORDS, 0.10).otherwise(0.0) + F.when(F.array_contains("flags", "balanced_hedging"), 0.08).otherwise(0.0))
-    scored = _scores(spark, sf_dir).join(own.select("doc_id", "n_words", "rhetorical", "retrieval_risk", "trust"), "doc_id")
-    return retrieval.rank_changes(retrieval.defended(scored), K)
+    """Signals are made of passages that can enter either ranking only: a defended score is no larger than the score, so the floor of defended seeds holds for both."""
+    docs = table(spark, sf_dir, "documents")
+    index = pruned.index(docs)
+    asked = pruned.asked(index, benchmark_queries(spark, sf_dir))
+
+    def defended(scores: DataFrame) -> DataFrame:
+        own = signals.content_signals(docs.join(scores.select("doc_id").distinct(), "doc_id", "left_semi"))
+        own = own.withColumn("trust", 0.55 - F.when(F.col("n_words") < C.THIN_WORDS, 0.10).otherwise(0.0) + F.when(F.array_contains("flags", "balanced_hedging"), 0.08).otherwise(0.0))
+        own = similarity.written(own.select("doc_id", "n_words", "rhetorical", "retrieval_risk", "trust"), "signals")
+        return similarity.written(retrieval.defended(scores.join(own, "doc_id")), "defended")
+
+    floor = pruned.floors(defended(pruned.seeds(index, asked, K)), K, "defended")
+    return retrieval.rank_changes(defended(pruned.above(index, asked, floor)), K)
 
 
 def chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +132,8 @@ def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.outbound_links(html.page_links(html.parse_pages(table(spark, sf_dir, "pages"))))
+    """Links of the pages' markup to other sites."""
+    return graph.link_edges(html.page_links(html.parse_pages(table(spark, sf_dir, "pages"))))
 
 
 def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,11 +161,16 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ladder starts from a written table of what the one before decided; of a text no more travels than rules on wording read."""
     parsed = similarity.written(pages.concealment(pages.page_context(html.parse_pages(table(spark, sf_dir, "pages")))), "pages")
-    rows = signals.content_signals(parsed).withColumn("query", F.col("title")).withColumn("intent", U.query_intent(F.col("title")))
-    rows = rows.withColumn("hidden_instruction", F.array_contains("concealment_flags", "hidden_instruction_pattern"))
-    rows = rows.withColumn("trust", signals.trust_score(rows))
-    return decisions.actions(decisions.permissions(decisions.subscores(rows)))
+    facts = [
+        "url", "title", "list_items", "commercial_score", "commercial_tier", "context_flags", "concealment_flags", "concealment_risk", "has_privacy_page", "has_contact_page",
+        "n_words", "authority", "comparative", "front_load", "flags", "rhetorical", "semantic_risk", "retrieval_risk",
+    ]
+    told = similarity.written(signals.content_signals(parsed).select(*facts, F.substring("text", 1, U.ROLE_CHARS).alias("text")), "page-signals")
+    rows = told.withColumns({"query": F.col("title"), "intent": U.query_intent(F.col("title")), "hidden_instruction": F.array_contains("concealment_flags", "hidden_instruction_pattern")})
+    rows = similarity.written(decisions.subscores(rows.withColumn("trust", signals.trust_score(rows))), "subscores")
+    return decisions.actions(decisions.permissions(rows))
 
 
 def source_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +225,7 @@ QUERIES = {
         paragraph_impressions, shared_claims, plant_stances, domain_signals, domain_tiers, top_risk_pages,
     )
 }
-QUERIES |= decision_queries.QUERIES | web_queries.QUERIES | referral_queries.QUERIES | sheet_queries.QUERIES
+QUERIES |= answer_queries.QUERIES | decision_queries.QUERIES | list_queries.QUERIES | web_queries.QUERIES | referral_queries.QUERIES | sheet_queries.QUERIES
 
 _WORDS = lambda t: f"list_filter(string_split_regex({t}, '{SPACE_SQL}'), lambda x: x <> '')"
 _TFIDF = """
@@ -323,4 +343,4 @@ ORACLE_SQL = {
       CASE WHEN len(string_split(host, '.')) >= 4 AND NOT regexp_matches(host, '\\.(gov|edu)$') THEN 'deep_subdomain' END], lambda x: x IS NOT NULL), ',') AS flags
       FROM (SELECT page_id, url, lower(regexp_replace({role_sql.AUTHORITY}, '^.*@|:\\d*$', '', 'g')) AS host FROM pages)""",
 }
-ORACLE_SQL |= decision_queries.ORACLE_SQL | web_queries.ORACLE_SQL | referral_queries.ORACLE_SQL | sheet_queries.ORACLE_SQL
+ORACLE_SQL |= answer_queries.ORACLE_SQL | decision_queries.ORACLE_SQL | list_queries.ORACLE_SQL | web_queries.ORACLE_SQL | referral_queries.ORACLE_SQL | sheet_queries.ORACLE_SQL

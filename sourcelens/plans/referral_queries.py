@@ -119,6 +119,13 @@ def suggested_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggestions.merged_permissions(rows).select("doc_id", *decision_queries.PERMISSIONS, "merge_source")
 
 
+def decisive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Referrers of each target up to the one that settles their mix, and the mix at that point."""
+    rows = referrals.counted(_referrers(spark, sf_dir).withColumn("coordinated", F.col("target_id") % 7 == 0)).withColumn("ord", F.col("doc_id"))
+    out = referrals.until_decisive(rows, 20)
+    return out.select("doc_id", "target_id", "hard", "seen", F.col("count").alias("n_hard"), "editorial", "decisive")
+
+
 def _penalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions are written first: a filter on them would else be pushed down as the whole ladder that made them."""
     rows = similarity.written(decision_queries._decided(spark, sf_dir), "decisions")
@@ -147,7 +154,7 @@ def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    referral_profiles, referral_actions, referral_freeze, referrer_roles, referrers_to_score, referrer_surfaces, stance_candidates, suggested_permissions, chunk_penalties, dominance_rerank, exclusions,
+    decisive_prefix, referral_profiles, referral_actions, referral_freeze, referrer_roles, referrers_to_score, referrer_surfaces, stance_candidates, suggested_permissions, chunk_penalties, dominance_rerank, exclusions,
 )}
 
 _PARASITIC = f"({role_sql.OPEN_POSTING} OR {role_sql.PUBLISH} OR {role_sql.DIRECTORY} OR role IN ('review_profile', 'ugc_thread'))"
@@ -187,6 +194,13 @@ _PEN = f"WITH {decision_queries._ALL}, {_PENALTY}"
 _div = lambda source, by: f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, {by} DESC, doc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, host3 ORDER BY {by} DESC, doc_id) > 1 AS later FROM {source})"
 
 ORACLE_SQL = {
+    "decisive_prefix": f"""WITH {SQL}, counted AS (SELECT r.*, target_id % 7 = 0 AS coordinated, llm_parasitic OR {_PARASITIC} OR (r.role = 'factual_blog' AND high_risk) AS surface, r.role IN ('ugc_thread', 'review_profile') OR {role_sql.OPEN_POSTING} AS gated,
+        CASE WHEN stance NOT IN ('', 'unknown') THEN stance = 'promotional' ELSE high_risk OR marks <> '' END AS promotes FROM referrers r),
+      h AS (SELECT *, surface AND (NOT gated OR coordinated OR high_risk OR promotes) AS hard, row_number() OVER (PARTITION BY target_id ORDER BY doc_id) AS seen FROM counted),
+      s AS (SELECT *, sum(hard::INT) OVER w AS n_hard, sum((role IN ('editorial', 'institutional'))::INT) OVER w AS editorial FROM h WINDOW w AS (PARTITION BY target_id ORDER BY doc_id)),
+      d AS (SELECT *, seen >= 8 AND ((n_hard / seen >= 8e-1 AND editorial = 0) OR (seen >= 10 AND editorial > 0)) AS decisive FROM s),
+      f AS (SELECT target_id, min(seen) AS stop FROM d WHERE decisive GROUP BY target_id)
+      SELECT doc_id, target_id, hard, seen, n_hard, editorial, decisive FROM d LEFT JOIN f USING (target_id) WHERE seen <= coalesce(stop, 20)""",
     "referral_profiles": f"{_P} SELECT target_id, n, count, n_surface, n_sure, editorial, round(share, 9) AS share, round(risk, 9) AS risk, alignment, status, found AS discovery, confidence, suspected, soft_band, elevated FROM p2",
     "referral_actions": f"""{_P}, a AS (SELECT *, CASE WHEN coalesce(suspected, false) THEN ['attribute_only', 'block_endorsement'] WHEN status = 'sparse_suspicious' THEN ['attribute_only']
         WHEN elevated OR soft_band OR (n = 0 AND found IN ('success', 'partial') AND status <> 'inconclusive' AND role NOT IN ('editorial', 'institutional') AND (engine_cited OR n_cited > 0)) THEN ['downrank'] ELSE [] END AS m,
