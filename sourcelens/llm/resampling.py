@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourcelens.llm import common
@@ -125,7 +126,7 @@ def _rank_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def largest(rows: DataFrame, k: int) -> DataFrame:
-    """The k rows with the largest key, ties cut by the smaller doc_id: rows has doc_id, key and bits."""
+    """The k rows with the largest key, ties cut by the smaller doc_id; rows that share the last doc_id all stay. rows has doc_id, key and bits."""
     low, left = 0, k  # rows whose bits exceed the prefix are in; `left` of those that have it
     prefix: int | None = None
     for shift in (48, 32, 16, 0):
@@ -140,7 +141,8 @@ def largest(rows: DataFrame, k: int) -> DataFrame:
     low = prefix
     ties = rows.where(F.col("bits") == low)
     sure = rows.where(F.col("bits") > low)
-    last = ties.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).orderBy("doc_id").limit(left).agg(F.max("doc_id")).first()[0]
+    before = F.coalesce(F.sum("n").over(W.orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # ids that share 64 bits of a random key: few
+    last = ties.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before).where(F.col("before") < left).agg(F.max("doc_id")).first()[0]
     return sure.union(ties.where(F.col("doc_id") <= F.lit(last)))
 
 

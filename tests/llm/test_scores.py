@@ -121,6 +121,12 @@ def test_largest_is_exact_with_ties(spark):
         assert {x.doc_id for x in resampling.largest(table, k).collect()} == {i for i, _ in want[:k]}
 
 
+def test_largest_keeps_repeated_ids_whole_and_no_more(spark):
+    rows = spark.createDataFrame([(1, 0.5), (1, 0.5), (2, 0.5), (3, 0.5), (4, 9.0)], "doc_id long, key double").mapInArrow(resampling._rank_bits, "doc_id long, key double, bits long")
+    got = {k: sorted(x.doc_id for x in resampling.largest(rows, k).collect()) for k in (1, 2, 3, 4, 5)}
+    assert got == {1: [4], 2: [1, 1, 4], 3: [1, 1, 4], 4: [1, 1, 2, 4], 5: [1, 1, 2, 3, 4]}
+
+
 def test_resampling_of_nothing(spark):
     docs, labels = toxic_tables(spark, 5)
     assert resampling.resample(docs.limit(0), labels).count() == 0
