@@ -27,6 +27,10 @@ def hostname(url: Column) -> Column:
     return F.regexp_replace(F.lower(authority(url)), r"^www\.", "")
 
 
+def bare_host(host: Column) -> Column:
+    return F.regexp_replace(F.lower(host), r"^www\.|:\d*$", "")
+
+
 def registrable_domain(host: Column) -> Column:
     """The last two labels, or three where those two are a public suffix."""
     parts = F.split(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.")

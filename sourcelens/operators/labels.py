@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourcelens.functions import urls as U
-from sourcelens.operators import agreement
+from sourcelens.operators import agreement, numbering
 
 # Fields with their levels in rising strictness, blocks of labels by preference, comparisons of a sheet.
 LEVELS = {
@@ -72,8 +72,7 @@ def disagreements(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def error_order(errors: DataFrame, active: list[str]) -> DataFrame:
     """errors with place: those of active fields first, then by field and id."""
-    order = W.partitionBy().orderBy(~F.col("field").isin(active), "field", "id")
-    return errors.withColumn("place", F.row_number().over(order))  # a report on a hand-labelled sheet: small
+    return numbering.numbered(errors, "place", ~F.col("field").isin(active), "field", "id")
 
 
 def knobs(scores: DataFrame, bars: dict[str, float], monitored: list[str]) -> DataFrame:
@@ -114,9 +113,9 @@ def picked(urls: Column, most: int) -> Column:
 
 
 def sheet_rows(queries: DataFrame, prefix: str) -> DataFrame:
-    """id, query, url, domain: a blank sheet with running ids. queries: ord, query, urls; an order over all rows, as a sheet is for people."""
-    rows = queries.select("ord", "query", F.posexplode("urls").alias("k", "url"))
-    n = F.row_number().over(W.partitionBy().orderBy("ord", "k"))
+    """id, query, url, domain: a blank sheet with running ids. queries: ord (unique), query, urls."""
+    rows = numbering.numbered(queries.select("ord", "query", F.posexplode("urls").alias("k", "url")), "n", "ord", "k")
+    n = F.col("n")
     domain = F.regexp_replace(F.lower(U.authority(F.col("url"))), r"^www\.", "")
     padded = F.when(n < 10, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
     return rows.select(F.concat(F.lit(prefix), padded).alias("id"), "query", "url", domain.alias("domain"))

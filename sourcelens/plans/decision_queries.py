@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcelens import config as C
-from sourcelens.operators import commerce, decisions, guard, signals
+from sourcelens.operators import commerce, decisions, guard, signals, similarity
 from sourcelens.plans import role_sql
 from sourcelens.plans.sheet import QUERY, SQL, sheet
 
@@ -70,11 +70,13 @@ def answer_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus from how far a query's texts are one text, dominance from what is seen."""
     rows = sheet(spark, sf_dir)
-    clusters = rows.groupBy("query_id").agg(F.count_distinct("url").alias("n_urls"), F.max("n_clusters").alias("n_clusters"), F.max("comparative").alias("max_similarity"))
+    texts = rows.select(F.col("query_id").alias("scope"), F.col("doc_id").alias("ident"), "text")
+    clusters = similarity.independence(spark, texts).withColumnsRenamed({"scope": "query_id", "n_texts": "n_urls"})
     visibility = rows.where("query_id % 4 <> 0").groupBy("query_id").agg(F.max(F.col("dominance") * 100).alias("dominant_share")).withColumn("alert", F.col("dominant_share") >= 60)
     out = guard.query_context(clusters, visibility)
-    return out.select("query_id", "consensus", F.round("dominance", 9).alias("dominance"))
+    return out.join(clusters, "query_id").select("query_id", "n_clusters", F.round("max_similarity", 3).alias("max_similarity"), "consensus", F.round("dominance", 9).alias("dominance"))
 
 
 QUERIES = {f.__name__: f for f in (source_subscores, source_decisions, commercial_influence, query_permissions, guard_verdicts, claim_corroboration, answer_disclosures, query_context)}
@@ -189,6 +191,11 @@ ORACLE_SQL = {
       d AS (SELECT query_id, url, rank, disclosure_text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t, b, rank = min(rank) OVER (PARTITION BY query_id) AS lead, disclosure_level = 'label' AND tier = 'high' AS labelled FROM tight JOIN a USING (query_id)),
       s AS (SELECT query_id, list(url ORDER BY rank, url, disclosure_text) AS urls, list(disclosure_text ORDER BY rank, url, disclosure_text) AS texts FROM d WHERE labelled AND (lead OR len(list_intersect(t, b)) / (len(t) + len(b) - len(list_intersect(t, b))) >= 15e-2) GROUP BY query_id)
       SELECT query_id, len(urls)::INT AS n_disclosures, array_to_string(urls, ' ') AS urls, '## Disclosure' || chr(10) || array_to_string(list_filter(texts, lambda x, i: list_position(texts, x) = i), chr(10) || chr(10)) || chr(10) || chr(10) || 'A' AS shown FROM s""",
-    "query_context": f"""WITH {SQL}, q AS (SELECT query_id, count(DISTINCT url) AS n, max(n_clusters) AS k, max(comparative) AS m, CASE WHEN query_id % 4 <> 0 THEN max(dominance * 100) END AS d FROM sheet GROUP BY query_id)
-      SELECT query_id, CASE WHEN k = 1 AND n >= 2 AND m >= 35e-2 THEN 'coordinated' WHEN k < 2 THEN 'shaky' ELSE 'healthy' END AS consensus, round(CASE WHEN d >= 60 THEN greatest(d / 100, 65e-2) ELSE coalesce(d / 100, 0) END, 9) AS dominance FROM q""",
+    "query_context": f"""WITH RECURSIVE {SQL}, x1 AS (SELECT query_id, doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS k FROM sheet),
+      x2 AS (SELECT a.query_id, a.doc_id AS u, b.doc_id AS v, len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) AS sim FROM x1 a JOIN x1 b ON a.query_id = b.query_id AND a.doc_id <> b.doc_id),
+      x3(query_id, u, v) AS (SELECT query_id, doc_id, doc_id FROM x1 UNION SELECT x3.query_id, x3.u, x2.v FROM x3 JOIN x2 ON x3.v = x2.u AND x2.sim >= 45e-2),
+      c AS (SELECT query_id, count(DISTINCT low) AS k FROM (SELECT query_id, u, min(v) AS low FROM x3 GROUP BY ALL) GROUP BY query_id),
+      t AS (SELECT query_id, round(max(sim), 3) AS m FROM x2 WHERE round(sim, 9) >= 35e-2 GROUP BY query_id),
+      q AS (SELECT query_id, count(*) AS n, CASE WHEN query_id % 4 <> 0 THEN max(dominance * 100) END AS d FROM sheet GROUP BY query_id)
+      SELECT query_id, k AS n_clusters, m AS max_similarity, CASE WHEN k = 1 AND n >= 2 AND m >= 35e-2 THEN 'coordinated' WHEN k < 2 THEN 'shaky' ELSE 'healthy' END AS consensus, round(CASE WHEN d >= 60 THEN greatest(d / 100, 65e-2) ELSE coalesce(d / 100, 0) END, 9) AS dominance FROM q JOIN c USING (query_id) LEFT JOIN t USING (query_id)""",
 }

@@ -131,9 +131,14 @@ def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", U.query_intent(F.col("text")).alias("intent"))
 
 
+#: The driver's pages link to themselves only: every one gets three links more, one of them to another page's host, one twice in other case.
+MORE_LINKS = """'<p><a href="https://www.partner' || page_id % 7 || '.com/deal?tag=a' || page_id % 3 || '">see  the deal</a> <a href="HTTPS://WWW.PARTNER' || page_id % 7 || '.COM/DEAL?TAG=A' || page_id % 3 || '/">again</a></p><nav><a href="//shop.partner' || page_id % 5 || '.co.uk/x" rel="sponsored">shop</a><a href="#top">top</a></nav>'"""
+
+
 def outbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of the pages' markup to other sites."""
-    return graph.link_edges(html.page_links(html.parse_pages(table(spark, sf_dir, "pages"))))
+    rows = table(spark, sf_dir, "pages").select("url", F.concat("html", F.expr(MORE_LINKS)).alias("html"))
+    return graph.link_edges(html.page_links(html.parse_pages(rows)))
 
 
 def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +233,7 @@ QUERIES = {
 QUERIES |= answer_queries.QUERIES | decision_queries.QUERIES | list_queries.QUERIES | web_queries.QUERIES | referral_queries.QUERIES | sheet_queries.QUERIES
 
 _WORDS = lambda t: f"list_filter(string_split_regex({t}, '{SPACE_SQL}'), lambda x: x <> '')"
+_PAGE_TEXT = lambda t: f"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({t}, '<[^>]*>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _TFIDF = """
 terms AS (SELECT doc_id, term, ln(count(*)) + 1 AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
@@ -334,6 +340,18 @@ ORACLE_SQL = {
     "registrable_domains": f"SELECT {role_sql.domain(role_sql.AUTHORITY)} AS domain, count(*) AS n FROM pages GROUP BY 1",
     "page_roles": f"SELECT role, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share FROM (SELECT {role_sql.page_role()} AS role FROM pages) GROUP BY role",
     "query_intents": _intent_sql(),
+    "page_links": rf"""WITH l AS (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS anchor, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) AS i FROM pages),
+      t AS (SELECT url, i, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href ELSE href END AS target, anchor FROM l WHERE NOT starts_with(href, '#')),
+      o AS (SELECT url, replace(target, '&amp;', '&') AS target, min_by(trim(regexp_replace(replace(anchor, '&amp;', '&'), '\s+', ' ', 'g')), i) AS anchor FROM t GROUP BY url, target)
+      SELECT url, target, anchor, false AS sponsored, true AS chrome, {role_sql.domain(role_sql.AUTHORITY.replace("url", "target"))} AS target_domain, {role_sql.domain(role_sql.AUTHORITY.replace("url", "target"))} <> {role_sql.domain(role_sql.AUTHORITY)} AS external FROM o""",
+    "outbound_links": f"""WITH p AS (SELECT url, page_id, {role_sql.page_role()} AS source_role FROM pages)
+      SELECT url AS source_url, source_role, 'main' AS segment, 'HTTPS://WWW.PARTNER' || page_id % 7 || '.COM/DEAL?TAG=A' || page_id % 3 || '/' AS target_url, 'partner' || page_id % 7 || '.com' AS target_domain, 'again' AS anchor, true AS affiliate FROM p
+      UNION ALL SELECT url, source_role, 'chrome', regexp_extract(url, '^[a-z]+:') || '//shop.partner' || page_id % 5 || '.co.uk/x', 'partner' || page_id % 5 || '.co.uk', 'shop', false FROM p""",
+    "page_chunks": rf"""WITH a AS (SELECT url, page_id, html, {_PAGE_TEXT("regexp_extract(html, '<article>(.*?)</article>', 1, 's')")} AS main, {_PAGE_TEXT("regexp_extract(html, '<footer>(.*?)(?:</footer>|$)', 1, 's')")} AS foot FROM pages),
+      s AS (SELECT url, 'main_post' AS segment, substr(main, 1, {html.SEGMENT_MOST}) AS text FROM a WHERE len({_WORDS("main")}) >= 8 UNION ALL SELECT url, 'footer', substr(foot, 1, {html.SEGMENT_MOST}) FROM a WHERE len({_WORDS("foot")}) >= 8),
+      g AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY segment DESC) - 1 AS place FROM s),
+      {answer_queries._cut("g", "url, segment, place")}
+      SELECT url, segment || '__' || segment || '_' || place || '_' || chunk_id AS chunk_id, segment, len({_WORDS("text")}) AS n_words FROM pieces""",
     "embedding_cosine_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
       s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
       SELECT query_id, vec_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",

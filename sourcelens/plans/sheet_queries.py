@@ -60,7 +60,7 @@ def sheet_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blank_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sheet.sheet(spark, sf_dir).where("query_id < 4")
+    rows = sheet.sheet(spark, sf_dir)
     lists = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "url"))), lambda x: x["url"]).alias("urls"))  # eight a query
     return labels.sheet_rows(lists.select(F.col("query_id").alias("ord"), F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query"), "urls"), "v1p")
 
@@ -206,7 +206,7 @@ ORACLE_SQL = {
       CASE WHEN field = 'mention_permission' THEN 'monitor_only' WHEN field = 'parasitic' THEN 'unknown' WHEN macro_f1 >= CASE field WHEN 'retrieve_permission' THEN 2e-1 WHEN 'factual_permission' THEN 65e-2 ELSE 3e-1 END THEN 'freeze' ELSE 'active' END AS action FROM m WHERE comparison = 'anti_vs_adjudicated'""",
     "sheet_checks": f"""WITH {_as_cte("w", {f: pick(f"doc_id * {k + 2}", *text(*v), "'bad'", "NULL") for k, (f, v) in enumerate(labels.LEVELS.items())})} SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN NOT coalesce({f} IN ({', '.join(repr(x) for x in v)}), false) THEN '{f}' END" for f, v in labels.LEVELS.items())}], lambda x: x IS NOT NULL), ',') AS invalid,
       array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'predictions' END, CASE WHEN doc_id % 4 = 0 THEN 'llm_action' END], lambda x: x IS NOT NULL), ',') AS leaks, CASE WHEN doc_id % 5 = 0 THEN 'suspected' WHEN doc_id % 4 = 0 OR doc_id % 7 = 0 THEN 'elevated' ELSE 'none' END AS tier FROM w""",
-    "blank_sheet": f"""WITH {sheet.SQL}, r AS (SELECT *, row_number() OVER (ORDER BY query_id, doc_id) AS n FROM sheet WHERE query_id < 4) SELECT 'v1p' || CASE WHEN n < 10 THEN '0' || n ELSE n::VARCHAR END AS id, 'q' || query_id AS query, url, regexp_replace(host, '^www[.]', '') AS domain FROM r""",
+    "blank_sheet": f"""WITH {sheet.SQL}, r AS (SELECT *, row_number() OVER (ORDER BY query_id, doc_id) AS n FROM sheet) SELECT 'v1p' || CASE WHEN n < 10 THEN '0' || n ELSE n::VARCHAR END AS id, 'q' || query_id AS query, url, regexp_replace(host, '^www[.]', '') AS domain FROM r""",
     "sheet_matches": f"""WITH {sheet.SQL}, a AS (SELECT doc_id, query_id, rank, CASE WHEN doc_id % 3 = 0 THEN lower(rtrim(url, '/')) ELSE lower(url || '?x=A') END AS key FROM sheet),
       r AS (SELECT query_id, rank, doc_id AS value, unnest([CASE WHEN doc_id % 2 = 0 THEN lower(rtrim(url, '/')) ELSE 'https://z.org' END, lower(url || '?x=A')]) AS key FROM sheet WHERE doc_id % 5 <> 0), u AS (SELECT query_id, key, arg_min(value, rank) AS v FROM r GROUP BY ALL)
       SELECT a.doc_id AS id, coalesce(u.v, CASE WHEN a.doc_id % 5 <> 0 THEN a.doc_id END) AS value, CASE WHEN u.v IS NOT NULL THEN 'url' WHEN a.doc_id % 5 <> 0 THEN 'position' END AS matched_by FROM a LEFT JOIN u USING (query_id, key)""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourcelens.functions import urls as U
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,8 +70,18 @@ def replay(queries: DataFrame, answers: DataFrame, default_text: str = "") -> Da
     return queries.join(last, "query", "left").select("query", F.coalesce("a.text", F.lit(default_text)).alias("text"), F.coalesce("a.cited_urls", none).alias("cited_urls"), F.coalesce("a.cited_domains", none).alias("cited_domains"))
 
 
+# What a registry calls a creation date, and in which formats it writes it.
+CREATED = [r"creation date", r"created(?: on)?", r"registered(?: on)?"]
+DATES = [(r"\d{4}-\d\d-\d\d", "yyyy-MM-dd"), (r"\d\d-[A-Za-z]{3}-\d{4}", "dd-MMM-yyyy"), (r"\d{4}\.\d\d\.\d\d", "yyyy.MM.dd"), (r"\d{4}/\d\d/\d\d", "yyyy/MM/dd"), (r"\d\d\.\d\d\.\d{4}", "dd.MM.yyyy")]
+
+
 def whois_age_days(whois: DataFrame, as_of) -> DataFrame:
-    """host, whois_age_days from raw registry texts (host, raw): the first creation date in one of five formats."""
-    line = F.regexp_extract("raw", r"(?im)^\s*(?:creation date|created(?: on)?|registered(?: on)?)\s*:\s*(\S+(?: \S+)?)", 1)
-    made = F.coalesce(*(F.try_to_timestamp(F.regexp_extract(line, p, 0), F.lit(f)) for p, f in ((r"\d{4}-\d\d-\d\d", "yyyy-MM-dd"), (r"\d\d-[A-Za-z]{3}-\d{4}", "dd-MMM-yyyy"), (r"\d{4}\.\d\d\.\d\d", "yyyy.MM.dd"), (r"\d{4}/\d\d/\d\d", "yyyy/MM/dd"), (r"\d\d\.\d\d\.\d{4}", "dd.MM.yyyy"))))
+    """host, whois_age_days from raw registry texts (host, raw): the creation date in the block that names the host's own apex.
+
+    What a registrar or a top-level domain says of itself before that block doesn't count; without the block the age is unknown.
+    """
+    named = F.concat(F.lit(r"(?is)domain name:\s*\Q"), U.apex(U.bare_host(F.col("host"))), F.lit(r"\E\b.*"))
+    block = F.regexp_substr("raw", named)
+    lines = [F.regexp_extract(block, rf"(?im)^\s*{word}\s*:\s*(\S+(?: \S+)?)", 1) for word in CREATED]
+    made = F.coalesce(*(F.try_to_timestamp(F.regexp_extract(line, p, 0), F.lit(f)) for line in lines for p, f in DATES))
     return whois.select("host", F.datediff(F.lit(as_of).cast("date"), made).alias("whois_age_days"))

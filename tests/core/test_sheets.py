@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sourcelens.operators import labels, plants, referrals, signals
+from sourcelens.operators import labels, numbering, plants, referrals, signals
 from sourcelens.sources import tables
 
 
@@ -27,9 +27,19 @@ def test_answer_log_round_trip_and_replay(spark, tmp_path):
 
 
 def test_registry_dates(spark):
-    raw = [("a.com", "Domain: a.com\nCreation Date: 2020-01-01T00:00:00Z"), ("b.com", "created: 01-Feb-2021"), ("c.com", "registered on: 2022.03.04"), ("d.com", "nothing"), ("e.com", "Created: 05.06.2023")]
+    raw = [
+        ("a.com", "Domain Name: A.COM\nCreation Date: 2020-01-01T00:00:00Z"), ("www.b.com", "domain name: b.com\ncreated: 01-Feb-2021"), ("c.com", "domain name:   c.com\n registered on: 2022.03.04"), ("d.com", "domain name: d.com\nnothing"), ("e.com", "domain name: e.com\nCreated: 05.06.2023"),
+        ("f.com", "registrar\nCreation Date: 1990-01-01\nDomain Name: f.com\nCreated: 2023-12-31"), ("g.com", "Creation Date: 1990-01-01"), ("h.com", "Domain Name: other.com\nCreation Date: 1990-01-01"), ("i.com", "Domain Name: i.com\nRegistered on: 2020-01-01\nCreation Date: 2023-12-31"), ("j.com", None),
+    ]
     got = {r.host: r.whois_age_days for r in tables.whois_age_days(spark.createDataFrame(raw, "host string, raw string"), "2024-01-01").collect()}
-    assert got == {"a.com": 1461, "b.com": 1064, "c.com": 668, "d.com": None, "e.com": 210}
+    assert got == {"a.com": 1461, "www.b.com": 1064, "c.com": 668, "d.com": None, "e.com": 210, "f.com": 1, "g.com": None, "h.com": None, "i.com": 1, "j.com": None}
+
+
+def test_running_numbers(spark):
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 AS k", "id").repartition(7)
+    got = numbering.numbered(rows, "place", F.desc("k")).collect()
+    assert sorted(r.place for r in got) == list(range(1, 1001)) and all(r.place == 1000 - r.k for r in got)
+    assert numbering.numbered(rows.limit(0), "place", "k").count() == 0
 
 
 def test_citations_of_raw_responses(spark):
