@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourcelens.functions import text as T
-from sourcelens.operators import decisions
+from sourcelens.functions import urls as U
+from sourcelens.operators import decisions, signals
 
 LISTICLES = ["expert_listicle", "review_profile"]
 
@@ -21,6 +22,72 @@ def valid(value: Column, allowed: list[str]) -> Column:
     return F.when(tidy.isin(allowed), tidy)
 
 
+def reply(raw: Column) -> Column:
+    """The JSON object that a model's reply holds, as VARIANT: the whole reply, without a code fence around it, else what stands between its first and last brace, of several objects the first; null where neither is an object."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*", ""), r"\s*```\s*$", "")
+    text = F.when(F.trim(raw).startswith("```"), bare).otherwise(F.trim(raw))
+    whole, inner = F.try_parse_json(text), F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    return F.when(is_object(whole), whole).when(is_object(inner), inner)
+
+
+def said(answer: Column, name: str) -> Column:
+    """A field of a reply if it is a text; a number, a list or an object is none."""
+    value = F.try_variant_get(answer, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def suggested(rows: DataFrame, raw: str) -> DataFrame:
+    """rows with what the replies in column raw suggest: suggested_ and each permission (null: nothing valid) and suggestion_reason."""
+    own = rows.withColumn("_reply", reply(F.col(raw)))
+    levels = {f"suggested_{p}": valid(said(F.col("_reply"), p), allowed) for p, allowed in decisions.STRICTNESS.items()}
+    reason = F.substring(F.trim(F.regexp_replace(F.coalesce(said(F.col("_reply"), "reason"), F.lit("")), r"\s+", " ")), 1, REASON_CHARS)
+    return own.withColumns(levels | {"suggestion_reason": reason}).drop("_reply")
+
+
+# Characters of a reason, from when on a source is trusted, and how far concealment leaves a model a say.
+REASON_CHARS, TRUSTED = 240, 0.7
+SOFT_CONCEALMENT, HARD_CONCEALMENT, LOW_CONFIDENCE, COMMERCE = 0.5, 0.9, 0.25, 0.45
+
+
+def skipped(rows: DataFrame) -> Column:
+    """Why a model isn't asked about a row, or null where it is: only rows on which the rules are blunt are worth a call.
+
+    rows: role, intent, url, ok, failure, confidence, trust, concealment_risk, commercial_score, commercial_tier,
+    context_flags, flags, comparative, text and the permissions that the rules gave.
+    """
+    retrieve, _, factual, endorse = (F.col(p) for p in decisions.STRICTNESS)
+    role, shopping, hidden = F.col("role"), F.col("intent").isin("commercial", "navigational"), F.col("concealment_risk")
+    has = lambda column, *names: F.arrays_overlap(column, F.array(*map(F.lit, names)))
+    sells = F.coalesce(F.col("commercial_tier").isin("medium", "high") | (F.col("commercial_score") > COMMERCE) | has("context_flags", "affiliate_link_params", "commercial_cta"), F.lit(False))
+    persuades = has("flags", "comparative_superlatives", "authority_stacking") | signals.endorses(F.substring("text", 1, signals.EXCERPT), F.col("comparative"), F.col("flags"))
+    trusted = (F.col("trust") >= TRUSTED) | U.hostname(F.col("url")).rlike(r"\.(gov|edu)$")
+    spared = role.isin("ugc_thread", "institutional") | ((role == "factual_blog") & (F.col("trust") >= 0.55))
+    fetched = F.col("failure").isNull() & F.col("ok")
+    blunt = (
+        (shopping & ((hidden >= SOFT_CONCEALMENT) | (endorse == "allow") | sells | role.isin("expert_listicle", "editorial", "review_profile") | trusted))
+        | ((endorse == "allow") & (persuades | sells))
+        | ((factual == "allow") & ((role == "commercial_product") | sells))
+    )
+    return (
+        F.when(hidden >= HARD_CONCEALMENT, "concealment_hot")
+        .when(F.col("failure").eqNullSafe("reject") | (retrieve == "reject"), "hard_floor")
+        .when(fetched & (F.col("confidence") < LOW_CONFIDENCE) & spared, "soft_fetch_floor")
+        .when(~fetched | ~blunt, "not_ambiguous")
+    )
+
+
+def from_replies(rows: DataFrame, raw: str) -> DataFrame:
+    """rows with permissions after a model's replies: gate, parse, floors and merge. Adds skipped, merge_source and suggestion_reason.
+
+    A row outside the gate keeps its permissions whatever its reply says, as does one whose reply holds nothing valid.
+    """
+    told = suggested(rows.withColumn("skipped", skipped(rows)), raw)
+    names = [f"suggested_{p}" for p in decisions.STRICTNESS]
+    told = told.withColumns({n: F.when(F.col("skipped").isNull(), F.col(n)) for n in names})
+    return merged_permissions(told).drop(*names)
+
+
 def merged_permissions(rows: DataFrame) -> DataFrame:
     """rows with permissions, their suggested_ columns merged in, and merge_source.
 

@@ -119,6 +119,30 @@ def suggested_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggestions.merged_permissions(rows).select("doc_id", *decision_queries.PERMISSIONS, "merge_source")
 
 
+#: Replies of all kinds, by doc_id modulo their number, and what each suggests: retrieve, mention, factual, endorsement, reason.
+REPLIES = [
+    ('{"retrieve_permission":"downrank","mention_permission":"allow","factual_permission":"attribute_only","endorsement_permission":"deny","reason":"it  sells"}', ("downrank", "allow", "attribute_only", "deny", "it sells")),
+    ('```json\n{"endorsement_permission": " DENY ", "reason": 3}\n```', (None, None, None, "deny", "")),
+    ('Sure: {"factual_permission":"require_corroboration","mention_permission":7,"reason":"see {this}"} so it is', (None, None, "require_corroboration", None, "see {this}")),
+    ("no object here", (None,) * 4 + ("",)),
+    ('["downrank"]', (None,) * 4 + ("",)),
+    (None, (None,) * 4 + ("",)),
+    ('{"retrieve_permission":"never","endorsement_permission":"allow","factual_permission":["deny"]}', (None, None, None, "allow", "")),
+    ('{"retrieve_permission": "reject"', (None,) * 4 + ("",)),
+    ('[{"factual_permission":"deny","retrieve_permission":"allow"}]', ("allow", None, "deny", None, "")),
+    ('{"retrieve_permission":null,"mention_permission":"deny","factual_permission":"none"}', (None, "deny", None, None, "")),
+    ("```\n{}\n```", (None,) * 4 + ("",)),
+]
+
+
+def reply_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of the sheet after raw replies of a model, with why some rows were not put to one."""
+    literal = lambda v: F.lit(None).cast("string") if v is None else F.lit(v)
+    raw = F.get(F.array(*(literal(r) for r, _ in REPLIES)), (F.col("doc_id") % len(REPLIES)).cast("int"))
+    rows = similarity.written(decision_queries._decided(spark, sf_dir).withColumn("raw", raw), "decided")
+    return suggestions.from_replies(rows, "raw").select("doc_id", "skipped", *decision_queries.PERMISSIONS, "merge_source", "suggestion_reason")
+
+
 def decisive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Referrers of each target up to the one that settles their mix, and the mix at that point."""
     rows = referrals.counted(_referrers(spark, sf_dir).withColumn("coordinated", F.col("target_id") % 7 == 0)).withColumn("ord", F.col("doc_id"))
@@ -154,7 +178,7 @@ def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    decisive_prefix, referral_profiles, referral_actions, referral_freeze, referrer_roles, referrers_to_score, referrer_surfaces, stance_candidates, suggested_permissions, chunk_penalties, dominance_rerank, exclusions,
+    decisive_prefix, reply_permissions, referral_profiles, referral_actions, referral_freeze, referrer_roles, referrers_to_score, referrer_surfaces, stance_candidates, suggested_permissions, chunk_penalties, dominance_rerank, exclusions,
 )}
 
 _PARASITIC = f"({role_sql.OPEN_POSTING} OR {role_sql.PUBLISH} OR {role_sql.DIRECTORY} OR role IN ('review_profile', 'ugc_thread'))"
@@ -193,6 +217,14 @@ _PENALTY = doubles(f"""pen AS (SELECT *, (doc_id * 41 % 97 + 3) / 100 AS score,
 _PEN = f"WITH {decision_queries._ALL}, {_PENALTY}"
 _div = lambda source, by: f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, {by} DESC, doc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, host3 ORDER BY {by} DESC, doc_id) > 1 AS later FROM {source})"
 
+_MERGE = f"""h AS (SELECT *, concealment_risk >= 0.9 OR failure IS NOT NULL OR (confidence < 0.25 AND floored) OR coalesce(g0, g1, g2, g3) IS NULL AS held, held OR concealment_risk >= 0.5 AS most, coalesce(g0, retrieve_permission) AS s0, coalesce(g1, mention_permission) AS s1, coalesce(g2, factual_permission) AS s2,
+        shopping AND ((role IN ('expert_listicle', 'review_profile') AND factual_permission IN ('allow', 'attribute_only')) OR (role IN ('ugc_thread', 'review_profile') AND factual_permission = 'attribute_only' AND NOT legit)) AS attributed,
+        CASE WHEN attributed AND s2 IN ('require_corroboration', 'deny') THEN factual_permission ELSE s2 END AS t1, CASE WHEN shopping AND role IN ('expert_listicle', 'review_profile', 'factual_blog') AND factual_permission = 'attribute_only' AND t1 = 'allow' THEN 'attribute_only' ELSE t1 END AS t2,
+        CASE WHEN role = 'institutional' AND factual_permission = 'allow' THEN 'allow' WHEN factual_permission = 'require_corroboration' AND t2 IN ('allow', 'attribute_only') THEN 'require_corroboration' ELSE t2 END AS t3 FROM g)"""
+_MERGED = f"""SELECT doc_id, CASE WHEN most THEN retrieve_permission WHEN {_ALLOW} THEN 'allow' WHEN retrieve_permission = 'downrank' AND s0 = 'allow' AND ((role = 'commercial_product' AND (shopping OR legit)) OR (role = 'ugc_thread' AND legit) OR (shopping AND role IN ('institutional', 'factual_blog'))) THEN 'downrank' ELSE s0 END AS retrieve_permission,
+        CASE WHEN most THEN mention_permission ELSE s1 END AS mention_permission, CASE WHEN most THEN factual_permission ELSE t3 END AS factual_permission,
+        CASE WHEN held THEN endorsement_permission WHEN endorsement_permission = 'deny' OR coalesce(g3, '') = 'deny' THEN 'deny' ELSE 'allow' END AS endorsement_permission, CASE WHEN held THEN 'heuristic' ELSE 'llm_hybrid' END AS merge_source"""
+
 ORACLE_SQL = {
     "decisive_prefix": f"""WITH {SQL}, counted AS (SELECT r.*, target_id % 7 = 0 AS coordinated, llm_parasitic OR {_PARASITIC} OR (r.role = 'factual_blog' AND high_risk) AS surface, r.role IN ('ugc_thread', 'review_profile') OR {role_sql.OPEN_POSTING} AS gated,
         CASE WHEN stance NOT IN ('', 'unknown') THEN stance = 'promotional' ELSE high_risk OR marks <> '' END AS promotes FROM referrers r),
@@ -222,14 +254,14 @@ ORACLE_SQL = {
       SELECT doc_id, round(thread, 9) AS thread, round(edit, 9) AS edit, round(greatest(thread, edit), 9) AS manipulable,
         CASE WHEN doc_id % 5 = 0 THEN 23 WHEN doc_id % 2 = 0 THEN 20 + length(doc_id::VARCHAR) WHEN doc_id % 7 = 0 THEN 1200 ELSE least(hit, 400) + 1200 END AS n_chars, CASE WHEN doc_id % 5 = 0 THEN 'nested_comment' WHEN doc_id % 2 = 0 THEN 'main_post' ELSE 'body' END AS segment FROM s"""),
     "stance_candidates": f"""WITH {SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY CASE role WHEN 'ugc_thread' THEN 0 WHEN 'review_profile' THEN 1 ELSE 2 END, manipulability DESC, url, doc_id) AS place FROM referrers WHERE stance IN ('unknown', 'neutral')) SELECT target_id, doc_id, place FROM k WHERE place <= 4""",
-    "suggested_permissions": doubles(f"""WITH {decision_queries._ALL}, g AS (SELECT *, {", ".join(f"{_got(p, e.replace('STRING', 'VARCHAR'))} AS g{k}" for k, (p, e) in enumerate(zip(decisions.STRICTNESS, SUGGESTED.values(), strict=True)))} FROM acted),
-      h AS (SELECT *, concealment_risk >= 0.9 OR failure IS NOT NULL OR (confidence < 0.25 AND floored) OR coalesce(g0, g1, g2, g3) IS NULL AS held, held OR concealment_risk >= 0.5 AS most, coalesce(g0, retrieve_permission) AS s0, coalesce(g1, mention_permission) AS s1, coalesce(g2, factual_permission) AS s2,
-        shopping AND ((role IN ('expert_listicle', 'review_profile') AND factual_permission IN ('allow', 'attribute_only')) OR (role IN ('ugc_thread', 'review_profile') AND factual_permission = 'attribute_only' AND NOT legit)) AS attributed,
-        CASE WHEN attributed AND s2 IN ('require_corroboration', 'deny') THEN factual_permission ELSE s2 END AS t1, CASE WHEN shopping AND role IN ('expert_listicle', 'review_profile', 'factual_blog') AND factual_permission = 'attribute_only' AND t1 = 'allow' THEN 'attribute_only' ELSE t1 END AS t2,
-        CASE WHEN role = 'institutional' AND factual_permission = 'allow' THEN 'allow' WHEN factual_permission = 'require_corroboration' AND t2 IN ('allow', 'attribute_only') THEN 'require_corroboration' ELSE t2 END AS t3 FROM g)
-      SELECT doc_id, CASE WHEN most THEN retrieve_permission WHEN {_ALLOW} THEN 'allow' WHEN retrieve_permission = 'downrank' AND s0 = 'allow' AND ((role = 'commercial_product' AND (shopping OR legit)) OR (role = 'ugc_thread' AND legit) OR (shopping AND role IN ('institutional', 'factual_blog'))) THEN 'downrank' ELSE s0 END AS retrieve_permission,
-        CASE WHEN most THEN mention_permission ELSE s1 END AS mention_permission, CASE WHEN most THEN factual_permission ELSE t3 END AS factual_permission,
-        CASE WHEN held THEN endorsement_permission WHEN endorsement_permission = 'deny' OR coalesce(g3, '') = 'deny' THEN 'deny' ELSE 'allow' END AS endorsement_permission, CASE WHEN held THEN 'heuristic' ELSE 'llm_hybrid' END AS merge_source FROM h"""),
+    "suggested_permissions": doubles(f"""WITH {decision_queries._ALL}, g AS (SELECT *, {", ".join(f"{_got(p, e.replace('STRING', 'VARCHAR'))} AS g{k}" for k, (p, e) in enumerate(zip(decisions.STRICTNESS, SUGGESTED.values(), strict=True)))} FROM acted), {_MERGE}
+      {_MERGED} FROM h"""),
+    "reply_permissions": doubles(f"""WITH {decision_queries._ALL}, k AS (SELECT *, coalesce(commercial_tier IN ('medium', 'high') OR commercial_score > 0.45 OR {decision_queries.has("context", "commercial_cta")} OR {decision_queries.has("context", "affiliate_link_params")}, false) AS vends,
+        CASE WHEN concealment_risk >= 0.9 THEN 'concealment_hot' WHEN coalesce(failure, '') = 'reject' OR retrieve_permission = 'reject' THEN 'hard_floor' WHEN failure IS NULL AND ok AND weak AND floored THEN 'soft_fetch_floor'
+          WHEN failure IS NOT NULL OR NOT ok OR NOT ((shopping AND (concealment_risk >= 0.5 OR endorsement_permission = 'allow' OR vends OR role IN ('expert_listicle', 'editorial', 'review_profile') OR trust >= 0.7 OR public))
+            OR (endorsement_permission = 'allow' AND (vends OR endorses OR {decision_queries.has("marks", "authority_stacking")})) OR (factual_permission = 'allow' AND (role = 'commercial_product' OR vends))) THEN 'not_ambiguous' END AS skipped FROM acted),
+      g AS (SELECT *, {", ".join(f"CASE WHEN skipped IS NULL THEN CASE doc_id % {len(REPLIES)} " + " ".join(f"WHEN {n} THEN '{v[k]}'" for n, (_, v) in enumerate(REPLIES) if v[k]) + f" END END AS g{k}" for k in range(4))}, CASE doc_id % {len(REPLIES)} {" ".join(f"WHEN {n} THEN '{v[4]}'" for n, (_, v) in enumerate(REPLIES))} END AS suggestion_reason FROM k), {_MERGE}
+      {_MERGED}, skipped, suggestion_reason FROM h"""),
     "chunk_penalties": f"{_PEN} SELECT doc_id, round(chunk_trust, 9) AS chunk_trust, round(l1, 9) AS l1, round(l2, 9) AS l2, defended FROM live",
     "dominance_rerank": doubles(f"""{_PEN}, d AS (SELECT *, 'h' || doc_id % 3 AS host3 FROM live), a AS ({_div("d", "defended")}),
       v AS (SELECT query_id, host3, sum([1.0, 0.62, 0.38, 0.22][place] * n_words) AS part FROM a WHERE place <= 4 GROUP BY query_id, host3),

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sourcelens.operators import labels, numbering, plants, referrals, signals
+from sourcelens.operators import labels, numbering, plants, referrals, signals, suggestions
 from sourcelens.sources import tables
 
 
@@ -137,3 +137,12 @@ def test_subjective_scores(spark):
     rows = spark.createDataFrame([(1, 1, 2.0, None), (1, 1, 4.0, 5.0), (1, 2, None, None)], "answer_id int, source int, relevance double, influence double")
     got = {r.source: (r.relevance, r.influence, r.subjective) for r in impressions.subjective(rows, ["relevance", "influence"]).collect()}
     assert got == {1: (3.0, 5.0, 4.0), 2: (None, None, None)}
+
+
+def test_replies_of_a_model(spark):
+    raw = {
+        1: '{"a":"x"}', 2: '  ```JSON\n{"a":"x"}\n```', 3: '```json\n{"a":"x"}```  ', 4: 'first {"a":"x","b":{"c":"}"}} last', 5: 'two {"a":"x"} and {"a":"y"}', 6: '{"a":1}', 7: '{"a":["x"]}', 8: '"x"', 9: "", 10: None, 11: "[]", 12: '{"a":"x"', 13: '{"a":null}', 14: "{}",
+    }
+    table = spark.createDataFrame(list(raw.items()), "k int, raw string")
+    got = {r.k: (r.whole, r.a) for r in table.select("k", suggestions.reply(F.col("raw")).isNotNull().alias("whole"), suggestions.said(suggestions.reply(F.col("raw")), "a").alias("a")).collect()}
+    assert got == {1: (True, "x"), 2: (True, "x"), 3: (True, "x"), 4: (True, "x"), 5: (True, "x"), 6: (True, None), 7: (True, None), 8: (False, None), 9: (False, None), 10: (False, None), 11: (False, None), 12: (False, None), 13: (True, None), 14: (True, None)}
