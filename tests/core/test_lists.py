@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sourcelens.functions import urls as U
 from sourcelens.operators import hosts, pages, plants, ties
-from sourcelens.sources import html
+from sourcelens.sources import html, saved
 
 
 @pytest.mark.parametrize("shard_chars", [40, 1 << 20])
@@ -111,3 +111,15 @@ def test_placed_names(spark):
     table = spark.createDataFrame([(k, t, n) for k, (t, n, _) in enumerate(rows)], "k int, text string, name string")
     got = {r.k: r.p for r in table.select("k", plants.name_placement(F.col("text"), F.col("name")).alias("p")).collect()}
     assert [got[k] for k in range(len(rows))] == [p for *_, p in rows]
+
+
+def test_pages_from_a_folder(spark, tmp_path):
+    body = "plain words of a page that is long enough to be more than a wall of any kind for readers " * 3
+    page = f"<title>T</title><p>{body}</p>".encode()
+    for name, content in {"site.com_a_b.html": page, "site.com_index.html": page, "other.com_.html": page, "bad.com_x.html": b"\xff" + page, "blank.com_x.html": b"  \n", "notes.txt": page}.items():
+        (tmp_path / name).write_bytes(content)
+    urls = ["https://www.site.com/a/b/", "https://site.com", "https://other.com/", "https://bad.com/x", "https://blank.com/x", "https://gone.com/", "https://site.com/a/b?q=1", None]
+    table = spark.createDataFrame([(u,) for u in [*urls, urls[0]]], "url string")
+    got = {r.url: (r.ok, r.status_code, r.error, r.broken_link_ratio) for r in saved.fetched(spark, str(tmp_path), table).collect()}
+    fine, failed = (True, 200, None, 0.0), (False, None, "no response", 1.0)
+    assert {u: got[u] for u in urls if u} == dict(zip(urls[:-1], [fine, fine, fine, fine, failed, failed, fine], strict=True))
