@@ -113,8 +113,8 @@ def _pieces(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
         for batch in batches:
-            for part in common.slices(batch, "text", 2 << 20):
-                ids, offsets = with_end(*encode(part.column("text").to_pylist()), end_id)
+            for part in common.slices(batch, "text", 4 << 20):
+                ids, offsets = with_end(*encode(part.column("text")), end_id)
                 total = np.diff(offsets)
                 n = -(-total // capacity)
                 first = total - (n - 1) * capacity

@@ -179,8 +179,8 @@ def _records(vocabulary: str, end_id: int, block_tokens: int, record_tokens: int
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "record", "n_docs", "n_tokens", "data"])
 
         for batch in batches:
-            for piece in common.slices(batch, "text", 2 << 20):
-                ids, offsets = with_end(*encode(piece.column("text").to_pylist()), end_id)
+            for piece in common.slices(batch, "text", 4 << 20):
+                ids, offsets = with_end(*encode(piece.column("text")), end_id)
                 held.append((np.asarray(piece.column("doc_id")), np.diff(offsets), ids))
                 if sum(len(h[2]) for h in held) >= record_tokens:
                     yield done()
