@@ -121,22 +121,32 @@ def group_starts(columns: list[np.ndarray]) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
+#: Rows up to which Spark may broadcast a side of a join whose size it can't tell: it goes by a file's compressed bytes.
+BROADCAST_ROWS = 100_000
+
+
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """df of n rows as a side of a join: both sides are merged if it is long, whatever Spark takes its size for."""
+    return df.hint("merge") if n > BROADCAST_ROWS else df
+
+
 def dealt(rows: DataFrame, key: list[str], ident: str, limit: int) -> DataFrame:
     """Split groups of equal key into cells of bounded size such that every pair of a group meets in exactly one cell.
 
     Adds cell_a, cell_b and side. A group of at most limit rows is one cell (0, 0). A larger one is dealt by hash into
     m chunks, and each row goes to the m cells that name its chunk; where cell_a != cell_b only rows of different
-    sides are to be compared. Groups of one row go.
+    sides are to be compared. Groups of one row go. Rows are merged with their groups' sizes and not broadcast: Spark takes
+    rows that an explode or a Python step makes of one row for one.
     """
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return _chunks(rows.join(sizes, key), ident, limit)
+    return _chunks(rows.hint("merge").join(sizes, key), ident, limit)
 
 
 def dealt_once(rows: DataFrame, key: list[str], ident: str, limit: int) -> DataFrame:
     """As dealt(), but of the groups with the same members (each once, named together by 128 bits) only one stays: near-copies meet in many groups."""
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64(ident)).alias("_s"), F.bit_xor(F.xxhash64(F.lit(1), ident)).alias("_h")).where("_n > 1")
     one = sizes.groupBy("_n", "_s", "_h").agg(F.min(F.struct(*key)).alias("_k")).select("_n", *(F.col("_k")[k].alias(k) for k in key))
-    return _chunks(rows.join(one, key), ident, limit)
+    return _chunks(rows.hint("merge").join(one, key), ident, limit)
 
 
 def _chunks(rows: DataFrame, ident: str, limit: int) -> DataFrame:
@@ -199,11 +209,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", contracted: bool =
     while True:
         state = now.agg(F.count(F.lit(1)), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return sized(now.select(F.col("u").alias("node"), F.col("v").alias("component")), state[0])
         seen, old = state, now
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sized(both.where("v > u"), state[0]).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = cut(small.distinct(), "edges")

@@ -137,7 +137,8 @@ def near_components(prints: DataFrame, radius: int = RADIUS, cell: int = 4096) -
     """doc_id, fp -> doc_id, fp, component_id: the smallest doc_id reachable over fingerprints within the radius."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tables = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(masks(radius))]))
-    parts = common.parts_for(prints.count(), 50_000)
+    n = prints.count()
+    parts = common.parts_for(n, 50_000)
     rows = nodes.select("fp").repartition(parts, "fp").select("fp", tables.alias("t")).select("t.mask", "t.bucket", "fp")  # dealt out before they multiply
     cells = common.dealt_once(rows, ["mask", "bucket"], "fp", cell)
     keys = ["mask", "bucket", "cell_a", "cell_b"]
@@ -146,7 +147,7 @@ def near_components(prints: DataFrame, radius: int = RADIUS, cell: int = 4096) -
     edges = pairs.distinct().join(least, "u").join(least.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
     found = common.components(edges)
     known = nodes.join(found, nodes["least"] == found["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    return common.sized(prints, n).join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
