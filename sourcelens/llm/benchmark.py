@@ -61,7 +61,7 @@ def item_index(items: DataFrame, n: int = WORDS, containment: float = CONTAINMEN
 
 
 def _few(rows: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(rows) if n <= BROADCAST_HASHES else rows
+    return F.broadcast(rows) if n <= BROADCAST_HASHES else rows.hint("merge")  # else Spark may broadcast the documents' hashes, which it takes for one a document
 
 
 def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = WORDS, containme
     some = _hashed(own.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     shingles = some.select("doc_id", F.explode(F.concat(*made) if len(made) > 1 else made[0]).alias("s")).select("doc_id", "s.*").distinct()
     wanted = found.join(_few(index, total), "item_id").select("doc_id", "item_id", "width", "h", "shingle", "n_shingles")
-    pairs = wanted.join(shingles, ["doc_id", "width", "h", "shingle"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_shingles").alias("n_shingles"))
+    pairs = wanted.join(shingles.hint("merge"), ["doc_id", "width", "h", "shingle"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_shingles").alias("n_shingles"))
     out = pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * containment))
     return common.unkeyed(out)
 

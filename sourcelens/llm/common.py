@@ -121,7 +121,8 @@ def group_starts(columns: list[np.ndarray]) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-#: Rows up to which Spark may broadcast a side of a join whose size it can't tell: it goes by a file's compressed bytes.
+#: Rows up to which Spark may broadcast a side of a join whose size it can't tell beforehand: it goes by a file's compressed
+#: bytes, and a broadcast once planned stays, even where what comes from a shuffle is found to be large, if to merge takes one more.
 BROADCAST_ROWS = 100_000
 
 
@@ -215,7 +216,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", contracted: bool =
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sized(both.where("v > u"), state[0]).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = sized(large, state[0]).join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = cut(small.distinct(), "edges")
         drop(old)
 

@@ -340,8 +340,10 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a column more, and its name: 0 where no other row has the doc_id, else a number that grows with the text; such rows are written, so that it stays."""
     name, own = common.fresh(docs, "_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID))
     many = common.cut(docs.groupBy(own.alias("_many")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_many"), "repeated")
-    if many.isEmpty():
+    n = many.count()
+    if not n:
         return docs.withColumn(name, F.lit(0).cast("long")), name
+    many = common.sized(many, n)
     some = docs.join(many, own == many["_many"], "left_semi").orderBy(own, docs["text"])
     some = common.cut(some.withColumn(name, F.monotonically_increasing_id() + 1), "repeated-rows")
     return docs.join(many, own == many["_many"], "left_anti").withColumn(name, F.lit(0).cast("long")).union(some), name
@@ -368,7 +370,7 @@ def line_occurrences(docs: DataFrame, row: str, similarity: float = SIMILARITY,
     texts = base.select("text").mapInArrow(_texts(min_chars), "h long, h2 long, line_text string").join(wanted.hint("shuffle_hash"), "h", "left_semi")
     texts = texts.groupBy("h").agg(F.min_by("line_text", "h2").alias("line_text"))
     keys = ["key", "cell_a", "cell_b"]
-    edges = cells.join(texts, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_forest_of(_verified(similarity)), "u long, v long")
+    edges = cells.hint("merge").join(texts, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_forest_of(_verified(similarity)), "u long, v long")
     parts = common.components(edges, "u", "v", contracted=True)
     common.drop(cells)
     parts = parts.union(parts.select(F.col("component").alias("node"), "component").distinct())  # the least nodes too

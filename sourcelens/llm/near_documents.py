@@ -114,12 +114,13 @@ def links(base: DataFrame, similarity: float, words: int, cell: int) -> DataFram
     cells = common.cut(common.dealt_once(met, ["key"], "h", cell), "cells")
     common.drop(met)
     wanted = cells.select("h").union(stars.select("u")).union(stars.select("v")).distinct()
-    texts = base.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("h2", "text")).alias("t")).select("h", "t.text")
+    n = stars.count()
+    texts = base.join(common.sized(wanted, cells.count() + 2 * n), "h", "left_semi").groupBy("h").agg(F.min(F.struct("h2", "text")).alias("t")).select("h", "t.text")
     sets = common.cut(texts.mapInArrow(_sets(words), "h long, shingles binary"), "shingles")
     keys = ["key", "cell_a", "cell_b"]
-    banded = cells.join(sets, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified(similarity), "u long, v long")
+    banded = cells.hint("merge").join(sets, "h").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified(similarity), "u long, v long")
     left, right = sets.select(F.col("h").alias("u"), F.col("shingles").alias("left")), sets.select(F.col("h").alias("v"), F.col("shingles").alias("right"))
-    covered = stars.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_paired(similarity), "u long, v long")
+    covered = common.sized(stars, n).join(left, "u").join(right.hint("merge"), "v").select("u", "v", "left", "right").mapInArrow(_paired(similarity), "u long, v long")
     return banded.union(covered)
 
 

@@ -143,7 +143,7 @@ def near_components(prints: DataFrame, radius: int = RADIUS, cell: int = 4096) -
     cells = common.dealt_once(rows, ["mask", "bucket"], "fp", cell)
     keys = ["mask", "bucket", "cell_a", "cell_b"]
     pairs = cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cells(radius), "u long, v long")
-    least = nodes.select(F.col("fp").alias("u"), F.col("least").alias("a"))
+    least = common.sized(nodes.select(F.col("fp").alias("u"), F.col("least").alias("a")), n)
     edges = pairs.distinct().join(least, "u").join(least.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
     found = common.components(edges)
     known = nodes.join(found, nodes["least"] == found["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
